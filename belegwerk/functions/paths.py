@@ -22,7 +22,7 @@ def parent(path: Column | str) -> Column:
 
 
 def suffix(name: Column | str) -> Column:
-    return F.regexp_extract(_col(name), r"[^.](\.[^.]+)$", 1)
+    return F.regexp_extract(_col(name), r"[^.].*(\.[^.]+)$", 1)
 
 
 def stem(name: Column | str) -> Column:
