@@ -196,14 +196,19 @@ def top_terms(model: Model, terms: int = 10, classes: int = 20) -> DataFrame:
     first = model.classes.orderBy("label_id").limit(classes).select("label_id", "label", "log_unseen")
     first = F.broadcast(first)  # at most ``classes`` rows
     met = model.weights.join(first.select("label_id", "label"), "label_id")
-    # Unseen terms all weigh the same and less than any met one, so the first few in term order are
-    # enough: at most ``terms`` of those tested can be met ones that are in the list already.
-    by_weight = Window.partitionBy("label_id").orderBy(F.desc("w"), "term_id")
+    # The first ``terms`` terms are enough to fill up from: as many as a class lacks are unseen in it.
+    opening = model.vocab.orderBy("term_id").limit(terms)
+    opening = opening.agg(F.collect_list("term_id").alias("ids")).select("ids").scalar()
+    unseen = (
+        first.select("label_id", "label", F.explode(opening).alias("term_id"), F.col("log_unseen").alias("log_prob"))
+        .join(model.weights.select("label_id", "term_id"), ["label_id", "term_id"], "left_anti")
+        .select(*met.columns)
+    )
+    by_weight = Window.partitionBy("label_id").orderBy(F.desc(F.round("log_prob", 9)), "term_id")
     best = (
-        met.withColumn("w", F.round("log_prob", 9))
+        met.unionByName(unseen)
         .withColumn("rank", F.row_number().over(by_weight))
         .where(F.col("rank") <= terms)
-        .select("label_id", "label", "rank", "term_id", "log_prob")
     )
     return lookup_join(best, model.vocab.select("term_id", "term"), "term_id").select(
         "label", "rank", "term", "log_prob"

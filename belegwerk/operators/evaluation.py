@@ -11,6 +11,9 @@ from belegwerk.operators.ranking import numbered
 from belegwerk.workspace import Workspace
 
 MIN_SAMPLES = 2
+REPORT_SCHEMA = (
+    "label string, kind string, precision double, recall double, f1_score double, support long"
+)
 
 
 def label_sizes(ws: Workspace, docs: DataFrame) -> DataFrame:

@@ -22,8 +22,16 @@ def split_corpus(ws: Workspace, corpus: DataFrame) -> DataFrame:
 
 
 def evaluate(ws: Workspace, corpus: DataFrame) -> DataFrame:
-    """Classification report of a staged corpus ``doc_id, label, norm``."""
-    parts = split_corpus(ws, corpus)
+    """Classification report of a staged corpus ``doc_id, label, norm``.
+
+    Where there is too little data, the one row has the kind ``refused`` and the reason as label.
+    """
+    try:
+        parts = split_corpus(ws, corpus)
+    except NotEnoughData as refusal:
+        return corpus.sparkSession.createDataFrame(
+            [(str(refusal), "refused", None, None, None, 0)], ev.REPORT_SCHEMA
+        )
     both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts")
     model = fit(ws, both.where("not is_test").select("doc_id", "label", "norm"))
     test = both.where("is_test")

@@ -73,7 +73,7 @@ NO_SUBJECT = "No Subject"
 UNKNOWN_SUBJECT = "Unbekannt"
 TAX_FOLDER = "Steuererklärung/neue Belege"
 TAX_WORDS = ("tax", "steuer")
-SETTLE_GAP = "5 seconds"
+SETTLE_SECONDS = 5.0
 
 PAYROLL_FOLDER = "Lohnabrechnungen/2016.06.01 Canway"
 FUND_FOLDER = "Versicherungen/Investmentfonds Riester - Deka"

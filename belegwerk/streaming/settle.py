@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from belegwerk import settings
 
 
-def settle(events: DataFrame, gap: str = settings.SETTLE_GAP) -> DataFrame:
-    """``inbox, first_event, settled_at, n_events`` of ``inbox, ts``, batch or stream.
+def settle(events: DataFrame, gap_seconds: float = settings.SETTLE_SECONDS) -> DataFrame:
+    """``inbox, first_event, settled_at, n_events`` of a table ``inbox, ts``.
 
-    Events up to exactly ``gap`` apart belong together; ``settled_at`` is the last event plus the
-    gap. Partial sessions are merged before the shuffle where the session setting allows it.
+    Events up to exactly the gap apart belong together; ``settled_at`` is the last event plus the
+    gap. Events of one inbox within one slice of gap length always belong together, so each slice is
+    reduced to a row before the sort. A busy inbox then costs one row per slice, however many events
+    it has.
     """
+    gap = round(gap_seconds * 1_000_000)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    slices = (
+        events.select("inbox", micros.alias("at"))
+        .groupBy("inbox", F.floor(F.col("at") / gap).alias("slice"))
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    )
+    in_order = Window.partitionBy("inbox").orderBy("slice")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(in_order) > gap, F.lit(True))
+    marked = slices.withColumn("opens", opens.cast("long"))
     return (
-        events.groupBy("inbox", F.session_window("ts", gap).alias("session"))
-        .agg(F.count(F.lit(1)).alias("n_events"))
+        marked.withColumn("session", F.sum("opens").over(in_order))
+        .groupBy("inbox", "session")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_events"))
         .select(
             "inbox",
-            F.col("session.start").alias("first_event"),
-            F.col("session.end").alias("settled_at"),
+            F.timestamp_micros("first").alias("first_event"),
+            F.timestamp_micros(F.col("last") + gap).alias("settled_at"),
             "n_events",
         )
     )
 
 
 def settle_stream(
-    events: DataFrame, gap: str = settings.SETTLE_GAP, late: str = "0 seconds"
+    events: DataFrame, gap_seconds: float = settings.SETTLE_SECONDS, late: str = "0 seconds"
 ) -> DataFrame:
-    """``settle`` on a stream: a session comes out once the watermark has passed its end."""
-    return settle(events.withWatermark("ts", late), gap)
+    """``settle`` on a stream: a session comes out once the watermark has passed its end.
+
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` lets Spark merge the
+    sessions of a busy inbox before the shuffle.
+    """
+    window = F.session_window("ts", f"{round(gap_seconds * 1000)} milliseconds")
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("inbox", window.alias("session"))
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .select(
+            "inbox",
+            F.col("session.start").alias("first_event"),
+            F.col("session.end").alias("settled_at"),
+            "n_events",
+        )
+    )
