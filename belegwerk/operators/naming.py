@@ -36,11 +36,13 @@ def _free_numbers(ws: Workspace, docs: DataFrame, used: DataFrame) -> DataFrame:
     """
     name = ["folder", "base", "ext"]
     wanted = docs.select(*name).distinct()
-    used = used.join(wanted, name, "left_semi")
+    used = ws.stage(used.join(wanted, name, "left_semi"), "taken")
+    newcomers = numbered(ws, docs, name, ["doc_id"], "_k")
+    if used.isEmpty():
+        return newcomers.withColumn("number", F.col("_k") - 1).drop("_k")
     gaps = numbered(ws, used, name, ["number"], "_j").select(
         *name, (F.col("number") - F.col("_j") + 1).alias("_at"), F.col("number").alias("_seq")
     )
-    newcomers = numbered(ws, docs, name, ["doc_id"], "_k")
     both = gaps.withColumn("_new", F.lit(0)).unionByName(
         newcomers.withColumns({"_at": F.col("_k") - 1, "_seq": F.col("_k"), "_new": F.lit(1)}),
         allowMissingColumns=True,
@@ -71,13 +73,15 @@ def resolve_names(ws: Workspace, docs: DataFrame, existing: DataFrame) -> DataFr
     # Only families that hold a wanted name ending in a number can meet across names.
     family = F.regexp_replace("base", r"( \([1-9][0-9]*\))+$", "")
     docs = ws.stage(docs.withColumn("_family", family), "wanted")
-    mixed = docs.where(F.col("base") != F.col("_family")).select("folder", "_family", "ext").distinct()
-    keys = ["folder", "_family", "ext"]
-    plain = docs.join(mixed, keys, "left_anti")
-    tangled = ws.stage(docs.join(mixed, keys, "left_semi"), "tangled")
-    out = _free_numbers(ws, plain, used)
-    if not tangled.isEmpty():
-        out = out.unionByName(_settle(ws, tangled, used), allowMissingColumns=True)
+    ends_in_number = docs.where(F.col("base") != F.col("_family"))
+    if ends_in_number.isEmpty():
+        out = _free_numbers(ws, docs, used)
+    else:
+        keys = ["folder", "_family", "ext"]
+        mixed = ends_in_number.select(*keys).distinct()
+        out = _free_numbers(ws, docs.join(mixed, keys, "left_anti"), used).unionByName(
+            _settle(ws, ws.stage(docs.join(mixed, keys, "left_semi"), "mixed"), used)
+        )
     return out.withColumn("final_name", final_name()).drop("base", "ext", "_family")
 
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belegwerk.operators.joins import BROADCAST_BYTES
-from belegwerk.workspace import Workspace, measure
+from belegwerk.workspace import Workspace
 
 
 def running_sum(
@@ -38,17 +37,14 @@ def running_sum(
         .where("_shift is not null")
         .drop("_total")
     )
-    # Only groups that cross a slice border are left: one row per slice and border, not per group.
-    shifts = ws.stage(shifts, "shifts")
-    _, size = measure(shifts)
-    if size <= BROADCAST_BYTES:
-        shifts = F.broadcast(shifts)
+    # A group that goes on into a slice has filled the one before, so each slice border is crossed
+    # by one group at most: there are fewer shifts than slices.
     within = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         cut.withColumn("_run", F.sum("_value").over(within))
-        .join(shifts, keys, "left")
+        .join(F.broadcast(shifts), keys, "left")
         .withColumn(out, F.col("_run") + F.coalesce("_shift", F.lit(0)))
         .drop("_value", "_slice", "_run", "_shift")
     )

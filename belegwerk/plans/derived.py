@@ -144,14 +144,15 @@ class Tables:
     @property
     def page_files(self) -> DataFrame:
         """``page_id, line``: a page as one line of a file."""
-        return self.read("pages").select(
-            "page_id", F.base64(F.concat(F.col("page_id").cast("string"), F.lit("|"), F.col("html")).cast("binary")).alias("line")
-        )
+        body = F.concat(F.col("page_id").cast("string"), F.lit("|"), F.col("html"))
+        line = F.regexp_replace(F.base64(body.cast("binary")), "[\r\n]", "")
+        return self.read("pages").select("page_id", line.alias("line"))
 
     def write_files(self, rows: DataFrame, root: str, extension: str) -> None:
         """Add one file per row to a folder."""
         (
             rows.select("line")
+            .repartition(self.spark.sparkContext.defaultParallelism)
             .write.mode("append")
             .option("extension", extension)
             .option("maxRecordsPerFile", 1)
@@ -171,7 +172,7 @@ class Tables:
 
 def page_of_file(files: DataFrame) -> DataFrame:
     """``path, page_id, html`` of file rows written by ``write_files``."""
-    body = F.unbase64(F.trim(F.regexp_replace(F.col("content").cast("string"), "[\r\n]+", ""))).cast("string")
+    body = F.unbase64(F.rtrim(F.col("content").cast("string"), F.lit("\n"))).cast("string")
     return files.select("path", body.alias("body")).select(
         "path",
         F.substring_index("body", "|", 1).cast("long").alias("page_id"),

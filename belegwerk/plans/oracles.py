@@ -425,7 +425,7 @@ def oracles() -> dict[str, str]:
           FROM (SELECT *, doc_id % 3 = 0 OR doc_id % 2 <> 0 AS asked FROM documents)""",
         "label_from_path": "SELECT doc_id, lang || '/' || source AS label FROM documents WHERE doc_id % 50 <> 0",
         "path_parts": rf"""SELECT page_id, left(path, length(path) - length({name}) - 1) AS parent, {name} AS name,
-          left({name}, length({name}) - length({suffix})) AS stem, {suffix} AS suffix, substring(path, 8) AS relative
+          left({name}, length({name}) - length({suffix})) AS stem, {suffix} AS suffix, CASE WHEN starts_with(path, 'http:/') THEN substring(path, 7) END AS relative
           FROM (SELECT page_id, {path} AS path FROM pages)""",
         "suffix_filter": build("SELECT doc_id, path FROM inbox WHERE lower(path) LIKE '%.pdf'", "inbox"),
         "min_text": build(f"SELECT doc_id, length(norm)::INTEGER AS n FROM norms WHERE length(trim(norm)) > {settings.MIN_TEXT}", "norms"),
