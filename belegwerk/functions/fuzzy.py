@@ -22,7 +22,8 @@ from belegwerk.functions.text import _col, normalize_text
 
 LIMB = 62
 LIMB_MASK = np.uint64((1 << LIMB) - 1)
-CHUNK_CHARS = 1 << 20
+# Small enough for the arrays of one step to stay in the processor's cache.
+CHUNK_CHARS = 1 << 16
 
 
 def similarity(common, total):
@@ -195,7 +196,7 @@ def month_near_year(texts: list[str], cutoff: int, newest: int) -> list[tuple[st
 
 
 def _chunks(texts: pd.Series) -> Iterator[list[str]]:
-    """The texts in order, in groups of about a million characters; a text is never cut."""
+    """The texts in order, in groups of about ``CHUNK_CHARS`` characters; a text is never cut."""
     group: list[str] = []
     size = 0
     for text in texts:

@@ -71,7 +71,7 @@ def term_freq(t: Tables) -> DataFrame:
 
 
 def _freqs(t: Tables) -> tuple[DataFrame, DataFrame, int]:
-    corpus = t.ws.stage(t.corpus, "corpus")
+    corpus = t.corpus
     n_docs = corpus.count()
     tf = t.ws.stage(features.term_freq(corpus), "tf")
     return tf, features.doc_freq(tf, n_docs), n_docs
@@ -100,12 +100,12 @@ def tfidf(t: Tables) -> DataFrame:
 
 
 def _model(t: Tables) -> Model:
-    return bayes.fit(t.ws, t.ws.stage(t.corpus, "corpus"))
+    return bayes.fit(t.ws, t.corpus)
 
 
 @query
 def class_priors(t: Tables) -> DataFrame:
-    corpus = t.ws.stage(t.corpus.select("doc_id", "label"), "corpus")
+    corpus = t.corpus.select("doc_id", "label")
     priors = bayes.class_priors(bayes.label_table(t.ws, corpus), corpus.count())
     return priors.select("label", "n_docs", F.round("log_prior", 9).alias("log_prior"))
 
@@ -126,7 +126,7 @@ def label_count(t: Tables) -> DataFrame:
 
 @query
 def classify(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "text", txt.normalize_text("text").alias("norm"))
+    docs = t.spread("documents", "doc_id").select("doc_id", "text", txt.normalize_text("text").alias("norm"))
     rows = bayes.classify(t.ws, _model(t), docs)
     return rows.select("doc_id", "subfolder", F.round("confidence", 6).alias("confidence"))
 
@@ -191,7 +191,7 @@ def excluded_classes(t: Tables) -> DataFrame:
 
 @query
 def split(t: Tables) -> DataFrame:
-    corpus = t.ws.stage(t.corpus.select("doc_id", "label"), "corpus")
+    corpus = t.corpus.select("doc_id", "label")
     sizes = evaluation.label_sizes(t.ws, corpus).where("n_docs >= 2")
     kept = evaluation.drop_small_classes(t.ws, corpus, sizes)
     rows = evaluation.split(t.ws, kept, sizes)
@@ -312,12 +312,12 @@ def fuzzy_match(t: Tables) -> DataFrame:
 @query
 def fuzzy_contains(t: Tables) -> DataFrame:
     hit = fuzzy.fuzzy_contains("text", NEEDLE, 0.6)
-    return t.documents.select("doc_id", hit.cast("int").alias("hit"))
+    return t.spread("documents", "doc_id").select("doc_id", hit.cast("int").alias("hit"))
 
 
 @query
 def fuzzy_find(t: Tables) -> DataFrame:
-    span = t.documents.select("doc_id", fuzzy.fuzzy_find("text", NEEDLE, 0.6).alias("s"))
+    span = t.spread("documents", "doc_id").select("doc_id", fuzzy.fuzzy_find("text", NEEDLE, 0.6).alias("s"))
     return span.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
@@ -745,4 +745,4 @@ def ingest(t: Tables) -> DataFrame:
 
 @query
 def evaluate(t: Tables) -> DataFrame:
-    return _report(evaluate_plan.evaluate(t.ws, t.ws.stage(t.corpus, "corpus")))
+    return _report(evaluate_plan.evaluate(t.ws, t.corpus))

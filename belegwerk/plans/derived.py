@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.functions.text import long_enough, normalize_text
-from belegwerk.workspace import Workspace
+from belegwerk.workspace import Workspace, spread
 
 AS_OF = datetime.date(2026, 1, 1)
 MONTH_TITLES = (
@@ -32,9 +32,12 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.read("documents")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        return spread(self.read(name), key)
+
     @property
     def norms(self) -> DataFrame:
-        return self.documents.select("doc_id", normalize_text("text").alias("norm"))
+        return self.spread("documents", "doc_id").select("doc_id", normalize_text("text").alias("norm"))
 
     @property
     def doc_paths(self) -> DataFrame:
@@ -46,11 +49,12 @@ class Tables:
 
     @property
     def corpus(self) -> DataFrame:
-        """``doc_id, label, norm`` of the labelled documents with enough text."""
-        labelled = self.documents.where("doc_id % 50 <> 0").select(
+        """Staged ``doc_id, label, norm`` of the labelled documents with enough text."""
+        labelled = self.spread("documents", "doc_id").where("doc_id % 50 <> 0").select(
             "doc_id", F.concat_ws("/", "lang", "source").alias("label"), normalize_text("text").alias("norm")
         )
-        return labelled.where(long_enough("norm"))
+        # A filter before the write would normalise every text twice.
+        return self.ws.stage(labelled, "corpus").where(long_enough("norm"))
 
     @property
     def fine_labels(self) -> DataFrame:
@@ -83,7 +87,7 @@ class Tables:
         blank = F.when(key % 3 == 0, F.lit("")).otherwise(F.lit(" "))
         year = (F.year("o_orderdate") + 4).cast("string")
         text = F.concat(F.lit("Abrechnung "), title, blank, year, F.lit(" Blatt "), key.cast("string"))
-        return self.read("orders").withColumn("text", text)
+        return self.spread("orders", "o_orderkey").withColumn("text", text)
 
     @property
     def replies(self) -> DataFrame:
@@ -126,7 +130,7 @@ class Tables:
     @property
     def inbox_docs(self) -> DataFrame:
         """Documents as inbox files with a modification time and some replies."""
-        return self.documents.select(
+        return self.spread("documents", "doc_id").select(
             "doc_id",
             F.expr(
                 """concat('/inbox/Beleg ', doc_id, case when doc_id % 10 = 0 then ' Steuer' else '' end,

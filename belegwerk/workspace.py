@@ -46,6 +46,17 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores when its source has too few splits for them; a large source stays as it is.
+
+    Text work costs far more than the shuffle of the text itself, and a small file is one split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def measure(df: DataFrame) -> tuple[int, int]:
     """Row count and an upper estimate of the bytes a table takes as JSON."""
     row = df.agg(
