@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from belegwerk import settings
+from belegwerk.functions.fuzzy import _norm
+from belegwerk.plans import fuzzy_sql
+from belegwerk.plans.catalog import NEEDLE
 from belegwerk.plans.derived import AS_OF, MONTH_TITLES
 
 NEWEST = AS_OF.year + 1
@@ -271,6 +274,24 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+STEPS["month_texts"] = (("doc_months",), "SELECT o_orderkey AS id, text FROM doc_months")
+STEPS["rule_docs"] = (
+    ("doc_months",),
+    """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 3 THEN 'de/src1' WHEN 2 THEN '{fund}' ELSE '{pay}' END AS subfolder,
+      CASE o_orderkey % 6 WHEN 0 THEN 'Meldebescheinigung zur Sozialversicherung ' WHEN 2 THEN 'Quartalsbericht ERTRAGSAUSSCHÜTTUNG '
+        WHEN 3 THEN 'Quartalsbericht ' WHEN 4 THEN 'Abrechnungder Brutto/Netto-Bezüge ' ELSE 'Brutto Abrechnung ' END || text AS text
+    FROM doc_months""".replace("{fund}", settings.FUND_FOLDER).replace("{pay}", settings.PAYROLL_FOLDER),
+)
+STEPS["rule_norms"] = (("rule_docs",), f"SELECT id, {norm('text')} AS norm FROM rule_docs")
+
+
+def _with_months(final: str, texts: str, *needs: str) -> str:
+    """``final`` behind the steps that end in ``near_months``."""
+    steps = fuzzy_sql.months(texts, norm, NEWEST)
+    own = ",\n".join(f"{n} AS MATERIALIZED (\n  {sql}\n)" for n, sql in steps)
+    return build("", texts, *needs).rstrip() + ",\n" + own + "\n" + final
+
+
 def build(final: str, *needs: str, **replaced: str) -> str:
     """``final`` with the steps it needs in front; ``replaced`` puts other text in for a step."""
     order: list[str] = []
@@ -494,6 +515,45 @@ def oracles() -> dict[str, str]:
         "stream_once": "SELECT page_id, 1 AS n_times, page_id % 2 AS batch_id FROM pages",
         "stream_metrics": "SELECT page_id % 2 AS batch_id, count(*) AS n_files, count(*) AS n_rows FROM pages GROUP BY 1",
         "stream_retry": "SELECT page_id, 1 AS n_times FROM pages WHERE page_id % 4 <> 3",
+        "fuzzy_match": build(
+            f"""SELECT id AS p_partkey, ((1.0::DOUBLE - (n + 18 - 2 * l) / (n + 18)::DOUBLE) * 100 >= 60)::INTEGER AS hit FROM (
+              SELECT id, length(norm) AS n, 18 - bit_count(list_reduce(list_transform(string_split(norm, ''),
+                lambda c: ({fuzzy_sql.mask('c', 'small ring economy')})::BIGINT),
+                lambda s, b: ((s + (s & b)) | (s - (s & b))) & {(1 << 18) - 1}, {(1 << 18) - 1}::BIGINT)) AS l
+              FROM (SELECT p_partkey AS id, {norm("p_name || ', ' || p_type")} AS norm FROM part))"""
+        ),
+        "fuzzy_contains": build(
+            f"""SELECT doc_id, coalesce(score >= {0.6 * 100}::DOUBLE, false)::INTEGER AS hit FROM norms
+            LEFT JOIN ({fuzzy_sql.part_scores('(SELECT doc_id AS id, norm FROM norms)', _norm(NEEDLE))}) p ON p.id = doc_id""",
+            "norms",
+        ),
+        "fuzzy_find": build(
+            f"""SELECT doc_id, span_start::INTEGER AS span_start, span_end::INTEGER AS span_end FROM norms
+            LEFT JOIN ({fuzzy_sql.spans('(SELECT doc_id AS id, norm FROM norms)', _norm(NEEDLE), 60)}) p ON p.id = doc_id""",
+            "norms",
+        ),
+        "month_fuzzy": _with_months(
+            "SELECT m.id AS o_orderkey, month, year FROM month_texts m LEFT JOIN near_months USING (id)", "month_texts"
+        ),
+        "month_year": _with_months(
+            f"""SELECT m.id AS o_orderkey, CASE WHEN {plausible} THEN {month} ELSE near.month END AS month,
+              CASE WHEN {plausible} THEN {year} ELSE near.year END AS year
+            FROM month_texts m LEFT JOIN near_months near USING (id)""",
+            "month_texts",
+        ),
+        "rules": _with_months(
+            f"""SELECT d.id AS o_orderkey, CASE
+              WHEN subfolder = '{settings.FUND_FOLDER}' THEN CASE WHEN contains(text, 'ERTRAGSAUSSCHÜTTUNG') THEN 'Ertragsausschüttung'
+                WHEN contains(text, 'Quartalsbericht') THEN 'Quartalsbericht' END
+              WHEN subfolder = '{settings.PAYROLL_FOLDER}' THEN CASE WHEN b.score >= 65 THEN 'Meldebescheinigung zur Sozialversicherung'
+                WHEN a.score >= 65 THEN 'Abrechnung Canway ' || CASE WHEN {plausible} THEN {year} ELSE near.year END || '.' ||
+                  CASE WHEN {plausible} THEN {month} ELSE near.month END END END AS subject
+            FROM rule_docs d LEFT JOIN near_months near USING (id)
+            LEFT JOIN ({fuzzy_sql.part_scores('rule_norms', 'abrechnung der brutto')}) a ON a.id = d.id
+            LEFT JOIN ({fuzzy_sql.part_scores('rule_norms', 'meldebescheinigung zur sozialversicherung')}) b ON b.id = d.id""",
+            "rule_docs",
+            "rule_norms",
+        ),
         "ingest": build(
             f"""SELECT doc_id, path AS src, dst, bucket, subfolder, 'MOVE' AS action FROM named
             UNION ALL
