@@ -28,8 +28,9 @@ class Model:
     """Tables of a fitted classifier.
 
     ``vocab(term, df, cf, idf, term_id)``, ``classes(label, label_id, n_docs, log_prior,
-    log_unseen)`` and ``weights(label_id, term_id, log_prob)``. Pairs of class and term that never
-    met are not stored; their weight is the ``log_unseen`` of the class.
+    log_unseen)`` and ``weights(label_id, term_id, log_prob, gain)``. Pairs of class and term that
+    never met are not stored; their weight is the ``log_unseen`` of the class, and ``gain`` is what a
+    stored one adds to that.
     """
 
     vocab: DataFrame
@@ -76,8 +77,12 @@ def class_weights(
         .drop("total"),
         "classes",
     )
+    met = F.log(F.col("mass") + alpha)
     weights = lookup_join(sums, classes.select("label_id", "log_total"), "label_id").select(
-        "label_id", "term_id", (F.log(F.col("mass") + alpha) - F.col("log_total")).alias("log_prob")
+        "label_id",
+        "term_id",
+        (met - F.col("log_total")).alias("log_prob"),
+        (met - F.log(F.lit(alpha))).alias("gain"),
     )
     return classes.drop("log_total"), ws.stage(weights, "weights")
 
@@ -107,10 +112,7 @@ def fit(
 
 
 def _signed_weights(model: Model) -> DataFrame:
-    """``term_id, label_id, gain``: what a term adds beyond the unseen weight, and the two shared terms."""
-    gains = lookup_join(
-        model.weights, model.classes.select("label_id", "log_unseen"), "label_id"
-    ).select("term_id", "label_id", (F.col("log_prob") - F.col("log_unseen")).alias("gain"))
+    """``term_id, label_id, gain`` of all weights and of the two terms that every document has."""
     shared = model.classes.select(
         "label_id",
         F.inline(
@@ -120,10 +122,10 @@ def _signed_weights(model: Model) -> DataFrame:
             )
         ),
     ).select("term_id", "label_id", "gain")
-    return gains.unionByName(shared)
+    return model.weights.select("term_id", "label_id", "gain").unionByName(shared)
 
 
-def class_scores(ws: Workspace, model: Model, docs: DataFrame) -> DataFrame:
+def class_scores(model: Model, docs: DataFrame) -> DataFrame:
     """One row per document of ``doc_id, norm``: ``doc_id, ranked, best``.
 
     ``ranked`` is ``array<struct<down, label_id>>`` with the negated joint log likelihood of every
@@ -136,9 +138,8 @@ def class_scores(ws: Workspace, model: Model, docs: DataFrame) -> DataFrame:
         F.struct(F.lit(UNSEEN_TERM).cast("long").alias("term_id"), F.col("mass").alias("raw")),
     )
     long = long_vectors(rows.withColumn("terms", F.concat(shared, "terms")), ("doc_id",))
-    gains = ws.stage(_signed_weights(model), "gains")
     joint = (
-        lookup_join(long, gains, "term_id")
+        lookup_join(long, _signed_weights(model), "term_id")
         .groupBy("doc_id", "label_id")
         .agg(F.sum(F.col("tfidf") * F.col("gain")).alias("score"))
     )
@@ -149,11 +150,11 @@ def class_scores(ws: Workspace, model: Model, docs: DataFrame) -> DataFrame:
     return joint.groupBy("doc_id").agg(ranked.alias("ranked"), best)
 
 
-def top_classes(ws: Workspace, model: Model, docs: DataFrame, k: int = 3) -> DataFrame:
+def top_classes(model: Model, docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, rank, label, p`` of the ``k`` best classes; ``p`` is the softmax over all classes."""
     weigh = F.aggregate("ranked", F.lit(0.0), lambda acc, c: acc + F.exp(-c.down - F.col("best")))
     rows = (
-        class_scores(ws, model, docs)
+        class_scores(model, docs)
         .select("doc_id", "best", weigh.alias("total"), F.posexplode(F.slice("ranked", 1, k)).alias("pos", "c"))
         .select(
             "doc_id",
@@ -166,20 +167,20 @@ def top_classes(ws: Workspace, model: Model, docs: DataFrame, k: int = 3) -> Dat
     return lookup_join(rows, names, "label_id").select("doc_id", "rank", "label", "p")
 
 
-def best_class(ws: Workspace, model: Model, docs: DataFrame) -> DataFrame:
+def best_class(model: Model, docs: DataFrame) -> DataFrame:
     """``doc_id, subfolder, confidence`` of the best class."""
-    return top_classes(ws, model, docs, 1).select(
+    return top_classes(model, docs, 1).select(
         "doc_id", F.col("label").alias("subfolder"), F.col("p").alias("confidence")
     )
 
 
-def classify(ws: Workspace, model: Model, docs: DataFrame) -> DataFrame:
+def classify(model: Model, docs: DataFrame) -> DataFrame:
     """Add ``subfolder`` and ``confidence`` to rows with ``doc_id, text, norm``.
 
     An empty text is not classified: subfolder empty, confidence 0.
     """
     has_text = F.length(F.coalesce("text", F.lit(""))) > 0
-    best = best_class(ws, model, docs.where(has_text).select("doc_id", "norm"))
+    best = best_class(model, docs.where(has_text).select("doc_id", "norm"))
     return docs.join(best, "doc_id", "left").withColumns(
         {
             "subfolder": F.coalesce("subfolder", F.lit("")),

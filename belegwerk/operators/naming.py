@@ -27,19 +27,23 @@ def used_numbers(names: DataFrame) -> DataFrame:
     return parts.select("folder", "ext", F.inline(takes)).distinct()
 
 
-def _free_numbers(ws: Workspace, docs: DataFrame, used: DataFrame) -> DataFrame:
-    """Add ``number``: the k-th newcomer of a name takes the k-th number not used.
+def _in_turn(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """Add ``_k``, the turn of each newcomer of a name, from 1."""
+    return numbered(ws, docs, ["folder", "base", "ext"], ["doc_id"], "_k")
+
+
+def _free_numbers(ws: Workspace, newcomers: DataFrame, used: DataFrame) -> DataFrame:
+    """Add ``number`` to rows with a turn: the k-th newcomer of a name takes the k-th number not used.
 
     With the used numbers of a name in order, the j-th one (from 0) has ``number - j`` free numbers
     below it. The k-th free number is k plus the count of used ones with at most k free below. One
     running sum over both kinds of rows gives that count, so no list per name is built.
     """
     name = ["folder", "base", "ext"]
-    wanted = docs.select(*name).distinct()
+    wanted = newcomers.select(*name).distinct()
     used = ws.stage(used.join(wanted, name, "left_semi"), "taken")
-    newcomers = numbered(ws, docs, name, ["doc_id"], "_k")
     if used.isEmpty():
-        return newcomers.withColumn("number", F.col("_k") - 1).drop("_k")
+        return newcomers.withColumn("number", F.col("_k") - 1)
     gaps = numbered(ws, used, name, ["number"], "_j").select(
         *name, (F.col("number") - F.col("_j") + 1).alias("_at"), F.col("number").alias("_seq")
     )
@@ -51,7 +55,7 @@ def _free_numbers(ws: Workspace, docs: DataFrame, used: DataFrame) -> DataFrame:
     return (
         counted.where("_new = 1")
         .withColumn("number", F.col("_at") + F.col("_skipped"))
-        .drop("_at", "_seq", "_new", "_k", "_skipped")
+        .drop("_at", "_seq", "_new", "_skipped")
     )
 
 
@@ -75,34 +79,43 @@ def resolve_names(ws: Workspace, docs: DataFrame, existing: DataFrame) -> DataFr
     docs = ws.stage(docs.withColumn("_family", family), "wanted")
     ends_in_number = docs.where(F.col("base") != F.col("_family"))
     if ends_in_number.isEmpty():
-        out = _free_numbers(ws, docs, used)
+        out = _free_numbers(ws, _in_turn(ws, docs), used)
     else:
         keys = ["folder", "_family", "ext"]
         mixed = ends_in_number.select(*keys).distinct()
-        out = _free_numbers(ws, docs.join(mixed, keys, "left_anti"), used).unionByName(
-            _settle(ws, ws.stage(docs.join(mixed, keys, "left_semi"), "mixed"), used)
+        plain = _in_turn(ws, docs.join(mixed, keys, "left_anti"))
+        tangled = _in_turn(ws, docs.join(mixed, keys, "left_semi"))
+        out = _free_numbers(ws, plain, used).unionByName(
+            _settle(ws, ws.stage(tangled, "tangled"), used)
         )
-    return out.withColumn("final_name", final_name()).drop("base", "ext", "_family")
+    return out.withColumn("final_name", final_name()).drop("base", "ext", "_family", "_k")
 
 
 def _settle(ws: Workspace, docs: DataFrame, used: DataFrame) -> DataFrame:
     keys = ["folder", "_family", "ext"]
-    blocked = used
+    settled: DataFrame | None = None
     while True:
         given = ws.stage(
-            _free_numbers(ws, docs, blocked).withColumn("_final", final_name()), "given"
+            _free_numbers(ws, docs, used).withColumn("_final", final_name()), "given"
         )
-        owner = given.groupBy("folder", "_final").agg(
+        owners = given.groupBy("folder", "_final").agg(
             F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")
-        ).where("_n > 1")
+        )
         lost = ws.stage(
-            given.join(owner, ["folder", "_final"]).where("doc_id > _first"), "lost"
+            given.join(owners.where("_n > 1"), ["folder", "_final"])
+            .where("doc_id > _first")
+            .select(*keys, "base", "number", "doc_id", "_first"),
+            "lost",
         )
+        # Families without a meeting are done; only the others go into another round.
+        open_families = lost.groupBy(*keys).agg(F.min("doc_id").alias("_earliest"))
+        done = given.join(open_families, keys, "left_anti").drop("_final")
+        settled = done if settled is None else settled.unionByName(done)
+        if lost.isEmpty():
+            return settled
         # A loss is certain if the winner came before every loser of the family: up to there all
         # names are final. The earliest loser always passes, so each round makes progress.
-        earliest = lost.groupBy(*keys).agg(F.min("doc_id").alias("_earliest"))
-        sure = lost.join(earliest, keys).where("_first < _earliest")
-        sure = ws.stage(sure.select("folder", "base", "ext", "number"), "blocks")
-        if sure.isEmpty():
-            return given.drop("_final")
-        blocked = ws.stage(blocked.unionByName(sure.select(*blocked.columns)).distinct(), "used")
+        sure = lost.join(open_families, keys).where("_first < _earliest")
+        names = open_families.select(*keys)
+        docs = ws.stage(docs.join(names, keys, "left_semi"), "open")
+        used = ws.stage(used.unionByName(sure.select(*used.columns)).distinct(), "used")

@@ -127,13 +127,13 @@ def label_count(t: Tables) -> DataFrame:
 @query
 def classify(t: Tables) -> DataFrame:
     docs = t.spread("documents", "doc_id").select("doc_id", "text", txt.normalize_text("text").alias("norm"))
-    rows = bayes.classify(t.ws, _model(t), docs)
+    rows = bayes.classify(_model(t), docs)
     return rows.select("doc_id", "subfolder", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def top3(t: Tables) -> DataFrame:
-    rows = bayes.top_classes(t.ws, _model(t), t.norms)
+    rows = bayes.top_classes(_model(t), t.norms)
     return rows.select("doc_id", "rank", "label", F.round("p", 6).alias("p"))
 
 

@@ -35,7 +35,7 @@ def evaluate(ws: Workspace, corpus: DataFrame) -> DataFrame:
     both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts")
     model = fit(ws, both.where("not is_test").select("doc_id", "label", "norm"))
     test = both.where("is_test")
-    guesses = best_class(ws, model, test.select("doc_id", "norm"))
+    guesses = best_class(model, test.select("doc_id", "norm"))
     pairs = test.join(guesses, "doc_id").select(
         F.col("label").alias("truth"), F.col("subfolder").alias("predicted")
     )

@@ -29,7 +29,7 @@ def understand(
     Replies come from ``extractor`` or from a column ``reply`` of the input; both may be absent.
     """
     rows = docs.where(is_pdf("path")).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = classify(ws, model, rows.withColumn("norm", normalize_text("text"))).drop("norm")
+    rows = classify(model, rows.withColumn("norm", normalize_text("text"))).drop("norm")
     rows = apply_rules(rows, job.rules, job.as_of, "subject").withColumn("date", F.lit(None).cast("date"))
     if extractor is not None:
         rows = extract_missing(rows.drop("reply"), extractor)

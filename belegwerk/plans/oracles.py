@@ -461,6 +461,21 @@ def oracles() -> dict[str, str]:
             list_filter(range(k + len(coalesce(taken, []))), lambda i: NOT list_contains(coalesce(taken, []), i))[k] AS n
             FROM turns LEFT JOIN used USING (folder, p_name))
           SELECT doc_id, folder, p_name || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.pdf' AS final_name FROM free""",
+        "collisions_mixed": """WITH RECURSIVE parts AS (SELECT p_partkey AS doc_id, 'Review/' || p_brand AS folder, p_name,
+              p_name || CASE WHEN p_partkey % 7 = 0 THEN ' (' || (p_partkey % 5 + 1) || ')' ELSE '' END AS base FROM part),
+            turns AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS turn FROM parts),
+            there AS (SELECT folder, list(p_name || CASE WHEN doc_id % 40 = 3 THEN '' ELSE ' (' || (doc_id % 40) || ')' END) AS taken
+              FROM parts WHERE doc_id % 10 = 3 GROUP BY folder),
+            placed AS (
+              SELECT folder, 0::BIGINT AS turn, coalesce(taken, []) AS taken, NULL::BIGINT AS doc_id, NULL::VARCHAR AS final
+              FROM (SELECT DISTINCT folder FROM parts) LEFT JOIN there USING (folder)
+              UNION ALL
+              SELECT folder, turn, list_append(taken, final), doc_id, final FROM (
+                SELECT p.folder, t.turn, p.taken, t.doc_id, list_filter(
+                  list_transform(range(len(p.taken) + 1), lambda k: CASE WHEN k = 0 THEN t.base ELSE t.base || ' (' || k || ')' END),
+                  lambda f: NOT list_contains(p.taken, f))[1] AS final
+                FROM placed p JOIN turns t ON t.folder = p.folder AND t.turn = p.turn + 1))
+            SELECT doc_id, folder, final || '.pdf' AS final_name FROM placed WHERE doc_id IS NOT NULL""",
         "manifest": build("SELECT doc_id, path AS src, dst, bucket, subfolder, 'COPY' AS action FROM filed", "filed"),
         "manifest_view": build(
             """SELECT doc_id, string_split(path, '/')[-1] AS source,
@@ -514,6 +529,15 @@ def oracles() -> dict[str, str]:
         "stream_intake": f"SELECT {DIGEST} FROM pages WHERE page_id % 4 <> 3",
         "stream_once": "SELECT page_id, 1 AS n_times, page_id % 2 AS batch_id FROM pages",
         "stream_metrics": "SELECT page_id % 2 AS batch_id, count(*) AS n_files, count(*) AS n_rows FROM pages GROUP BY 1",
+        "stream_process": build(
+            """SELECT doc_id, CASE WHEN k = 0 THEN base ELSE base || ' (' || k || ')' END || '.pdf' AS dst, bucket, subfolder, 'MOVE' AS action
+            FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id % 2, doc_id) - 1 AS k
+              FROM (SELECT *, bucket || '/' || subfolder || '/2024.05.01 ' || n || ' Zeichen' AS base
+                FROM (SELECT doc_id, subfolder, CASE WHEN confidence >= 0.75 THEN 'Review' ELSE 'Unsure' END AS bucket, least(length(html), 4000) AS n
+                  FROM best JOIN pages ON page_id = doc_id)))""",
+            "best",
+            scored_docs=f"SELECT page_id AS doc_id, {norm('html')} AS norm FROM pages",
+        ),
         "stream_retry": "SELECT page_id, 1 AS n_times FROM pages WHERE page_id % 4 <> 3",
         "fuzzy_match": build(
             f"""SELECT id AS p_partkey, ((1.0::DOUBLE - (n + 18 - 2 * l) / (n + 18)::DOUBLE) * 100 >= 60)::INTEGER AS hit FROM (

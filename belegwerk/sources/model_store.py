@@ -10,7 +10,7 @@ from belegwerk.operators.bayes import Model
 TABLES = {
     "vocab": "term string, df long, cf long, idf double, term_id long",
     "classes": "label_id long, label string, n_docs long, log_prior double, log_unseen double",
-    "weights": "label_id long, term_id long, log_prob double",
+    "weights": "label_id long, term_id long, log_prob double, gain double",
 }
 
 
