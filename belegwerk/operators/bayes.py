@@ -196,7 +196,7 @@ def top_terms(model: Model, terms: int = 10, classes: int = 20) -> DataFrame:
     """
     first = model.classes.orderBy("label_id").limit(classes).select("label_id", "label", "log_unseen")
     first = F.broadcast(first)  # at most ``classes`` rows
-    met = model.weights.join(first.select("label_id", "label"), "label_id")
+    met = model.weights.drop("gain").join(first.select("label_id", "label"), "label_id")
     # The first ``terms`` terms are enough to fill up from: as many as a class lacks are unseen in it.
     opening = model.vocab.orderBy("term_id").limit(terms)
     opening = opening.agg(F.collect_list("term_id").alias("ids")).select("ids").scalar()
