@@ -19,6 +19,7 @@ from belegwerk.settings import JobSettings, Rule
 from belegwerk.sources import files as src
 from belegwerk.sources.model_store import load_model, save_model
 from belegwerk.streaming import intake, settle
+from belegwerk.workspace import empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,7 +451,7 @@ def collisions_mixed(t: Tables) -> DataFrame:
 
 def _manifest(t: Tables, mode: str = "MOVE") -> DataFrame:
     rows = _scored(t).withColumn("root", F.col("bucket"))
-    nothing = t.spark.createDataFrame([], "folder string, name string")
+    nothing = empty(t.spark, "folder string, name string")
     return t.ws.stage(filing.manifest(t.ws, rows, nothing, mode), "manifest")
 
 
@@ -738,7 +739,7 @@ INGEST_RULES = (
 @query
 def ingest(t: Tables) -> DataFrame:
     job = JobSettings(as_of=AS_OF, rules=INGEST_RULES, threshold=0.5)
-    nothing = t.spark.createDataFrame([], "folder string, name string")
+    nothing = empty(t.spark, "folder string, name string")
     rows = ingest_plan.ingest(t.ws, t.inbox_docs, _model(t), nothing, job)
     return rows.select("doc_id", "src", "dst", "bucket", "subfolder", "action")
 

@@ -14,7 +14,7 @@ from belegwerk.operators.bayes import Model
 from belegwerk.operators.metadata import Extractor
 from belegwerk.plans.ingest import ingest
 from belegwerk.settings import JobSettings
-from belegwerk.workspace import Workspace
+from belegwerk.workspace import Workspace, empty
 
 Process = Callable[[DataFrame, int], DataFrame]
 
@@ -88,5 +88,5 @@ def earlier_names(ws: Workspace, out: str, batch_id: int) -> DataFrame:
     try:
         rows = sink_rows(ws.spark, out).where(F.col("batch_id") < batch_id)
     except AnalysisException:
-        return ws.spark.createDataFrame([], "folder string, name string")
+        return empty(ws.spark, "folder string, name string")
     return rows.select(parent("dst").alias("folder"), file_name("dst").alias("name"))

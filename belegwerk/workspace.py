@@ -46,6 +46,12 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, made without Python workers; ``schema`` is ``name type, ...``."""
+    fields = [field.strip().split(" ", 1) for field in schema.split(",")]
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over all cores when its source has too few splits for them; a large source stays as it is.
 

@@ -61,6 +61,7 @@ def docs(spark):
 @pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, -1])
 def test_probabilities(spark, ws, docs, limit, monkeypatch):
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", limit))
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
     model = bayes.fit(ws, docs)
     got = defaultdict(dict)
     for r in bayes.top_classes(model, docs.select("doc_id", "norm"), 3).collect():
@@ -132,7 +133,8 @@ def test_report(spark, ws):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, how):
+def test_salted_join(spark, how, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
     big = spark.range(600).select(
         "id", F.expr("case when id % 3 = 0 then 1 when id % 50 = 7 then null else id % 40 end").alias("k")
     )
