@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ from belegwerk.operators.features import (
     vectors,
 )
 from belegwerk.operators.joins import lookup_join
-from belegwerk.workspace import Workspace
+from belegwerk.workspace import Workspace, measure
 
 # Terms that every document has: one that carries the priors, one for the unseen-term weights.
 PRIOR_TERM = -1
 UNSEEN_TERM = -2
+# Largest part of the weights that is broadcast at once.
+SCORE_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -125,12 +128,35 @@ def _signed_weights(model: Model) -> DataFrame:
     return model.weights.select("term_id", "label_id", "gain").unionByName(shared)
 
 
+def _joint_scores(long: DataFrame, weights: DataFrame) -> DataFrame:
+    """``doc_id, label_id, score``: sums of weight times gain over the terms of a document.
+
+    Frequent terms are in most documents, so a shuffle by term would be badly skewed. The weights
+    are broadcast instead, whole or, if they are too large for that, in blocks of classes. A class
+    has at most one row per vocabulary term, which keeps the blocks close to the target size.
+    """
+    _, size = measure(weights)
+    blocks = max(1, -(-size // SCORE_BYTES))
+    if blocks > 1:
+        long = Workspace(long.sparkSession).stage(long, "long")
+    block = F.pmod(F.xxhash64("label_id"), F.lit(blocks))
+    parts = [
+        long.join(F.broadcast(weights.where(block == b) if blocks > 1 else weights), "term_id")
+        .groupBy("doc_id", "label_id")
+        .agg(F.sum(F.col("tfidf") * F.col("gain")).alias("score"))
+        for b in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def class_scores(model: Model, docs: DataFrame) -> DataFrame:
     """One row per document of ``doc_id, norm``: ``doc_id, ranked, best``.
 
     ``ranked`` is ``array<struct<down, label_id>>`` with the negated joint log likelihood of every
-    class, the best one first, equal ones in label order; ``best`` is the highest likelihood. The documents are shuffled once, as single rows. All later steps
-    group by ``doc_id`` and stay where they are.
+    class, the best one first, equal ones in label order; ``best`` is the highest likelihood.
+
+    The documents are shuffled once, as single rows. All later steps group by ``doc_id`` and stay
+    where they are.
     """
     rows = vectors(term_freq(docs), model.vocab)
     shared = F.array(
@@ -138,11 +164,7 @@ def class_scores(model: Model, docs: DataFrame) -> DataFrame:
         F.struct(F.lit(UNSEEN_TERM).cast("long").alias("term_id"), F.col("mass").alias("raw")),
     )
     long = long_vectors(rows.withColumn("terms", F.concat(shared, "terms")), ("doc_id",))
-    joint = (
-        lookup_join(long, _signed_weights(model), "term_id")
-        .groupBy("doc_id", "label_id")
-        .agg(F.sum(F.col("tfidf") * F.col("gain")).alias("score"))
-    )
+    joint = _joint_scores(long, _signed_weights(model))
     # Scores that differ by rounding noise only count as equal.
     down = (-F.round("score", 9)).alias("down")
     ranked = F.sort_array(F.collect_list(F.struct(down, "label_id")))

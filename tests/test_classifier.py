@@ -62,6 +62,8 @@ def docs(spark):
 def test_probabilities(spark, ws, docs, limit, monkeypatch):
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", limit))
     monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    if limit < 0:
+        monkeypatch.setattr(bayes, "SCORE_BYTES", 800)
     model = bayes.fit(ws, docs)
     got = defaultdict(dict)
     for r in bayes.top_classes(model, docs.select("doc_id", "norm"), 3).collect():
