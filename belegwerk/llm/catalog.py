@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import decontaminate, licenses, line_dedup, mixing, ppm, quality, simhash
+from belegwerk.llm import cover_tree, decontaminate, licenses, line_dedup, mixing, ppm, quality, simhash, suffixes
 from belegwerk.llm.common import table
 from belegwerk.workspace import Workspace
 
@@ -41,13 +41,32 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(Workspace(spark), table(spark, sf_dir, "embeddings"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(Workspace(spark), table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licensed(Workspace(spark), table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_mix, op3_quality, op5_ppm, op6_simhash, op7_line_dedup, op10_licenses)
+    for f in (
+        op1_decontaminate,
+        op2_mix,
+        op3_quality,
+        op5_ppm,
+        op6_simhash,
+        op7_line_dedup,
+        op8_top_k,
+        op9_repeats,
+        op10_licenses,
+    )
 }
 
-ORACLES = {"op7_line_dedup": line_dedup.SQL, "op10_licenses": licenses.SQL}
+ORACLES = {"op7_line_dedup": line_dedup.SQL, "op8_top_k": cover_tree.SQL, "op10_licenses": licenses.SQL}
