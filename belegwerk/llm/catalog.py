@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import cover_tree, decontaminate, licenses, line_dedup, mixing, ppm, quality, simhash, suffixes
+from belegwerk.llm import cover_tree, decontaminate, licenses, line_dedup, mixing, ppm, quality, simhash, suffixes, wrappers
 from belegwerk.llm.common import table
 from belegwerk.workspace import Workspace
 
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(Workspace(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(Workspace(spark), table(spark, sf_dir, "pages"))
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(Workspace(spark), table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontaminate,
         op2_mix,
         op3_quality,
+        op4_wrappers,
         op5_ppm,
         op6_simhash,
         op7_line_dedup,
