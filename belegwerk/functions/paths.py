@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from belegwerk.functions.text import _col
 
+# ``file:/a``, ``file:///a`` and ``hdfs://host:8020/a`` all stand for ``/a``.
+SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/"
 
 
 def is_pdf(path: Column | str) -> Column:
@@ -31,11 +33,25 @@ def stem(name: Column | str) -> Column:
     return F.substring(n, F.lit(1), F.length(n) - F.length(suffix(n)))
 
 
+def local_path(path: Column | str) -> Column:
+    """The path without scheme and authority, which file listings put in front."""
+    return F.regexp_replace(_col(path), SCHEME, "/")
+
+
 def relative_to(path: Column | str, root: Column | str) -> Column:
-    """Path below ``root``, or null if it lies elsewhere."""
-    p = _col(path)
-    base = F.concat(_col(root) if isinstance(root, Column) else F.lit(root.rstrip("/")), F.lit("/"))
-    return F.when(p.startswith(base), F.substring(p, F.length(base) + 1, F.length(p)))
+    """Path below ``root``, or null if it lies elsewhere.
+
+    Either may have a scheme and an authority or not; where both have a scheme it must be the same.
+    """
+    p, base = _col(path), root if isinstance(root, Column) else F.lit(root)
+    schemes = [F.regexp_extract(x, "^([a-zA-Z][a-zA-Z0-9+.-]*):/", 1) for x in (p, base)]
+    alike = (schemes[0] == schemes[1]) | (schemes[0] == "") | (schemes[1] == "")
+
+    def below(full: Column, folder: Column) -> Column:
+        folder = F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"))
+        return F.when(full.startswith(folder), F.substring(full, F.length(folder) + 1, F.length(full)))
+
+    return F.coalesce(below(p, base), F.when(alike, below(local_path(p), local_path(base))))
 
 
 def label_of(path: Column | str, root: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk import settings
@@ -53,24 +55,21 @@ def data_guard(sizes: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
     return total.withColumn("reason", reason)
 
 
-def test_quota(sizes: DataFrame, share: float = settings.TEST_SHARE) -> DataFrame:
+def test_quota(ws: Workspace, sizes: DataFrame, share: float = settings.TEST_SHARE) -> DataFrame:
     """``label, n_docs, n_test``: a share rounded up over all, spread over the labels in proportion.
 
-    Whole parts go first; what is left goes to the largest remainders, equal ones by label. The
-    input has one row per label, not per document.
+    Whole parts go first; what is left goes to the largest remainders, equal ones by label.
     """
-    everything = Window.partitionBy()
-    by_rest = Window.orderBy(F.desc("rest"), "label")
-    return (
-        sizes.withColumn("total", F.sum("n_docs").over(everything))
-        .withColumn("total_test", F.ceil(F.col("total") * F.lit(share)))
-        .withColumn("whole", F.expr("total_test * n_docs div total"))
-        # An integer remainder: no rounding can change the order.
-        .withColumn("rest", (F.col("total_test") * F.col("n_docs")) % F.col("total"))
-        .withColumn("left", F.col("total_test") - F.sum("whole").over(everything))
-        .withColumn("turn", F.row_number().over(by_rest))
-        .select("label", "n_docs", (F.col("whole") + (F.col("turn") <= F.col("left")).cast("long")).alias("n_test"))
+    total = sizes.agg(F.sum("n_docs")).first()[0] or 0
+    total_test = math.ceil(total * share)
+    # An integer remainder: no rounding can change the order.
+    parts = sizes.withColumn("whole", F.expr(f"{total_test} * n_docs div {total or 1}")).withColumn(
+        "minus", -((F.lit(total_test) * F.col("n_docs")) % F.lit(total or 1))
     )
+    left = total_test - (parts.agg(F.sum("whole")).first()[0] or 0)
+    ranked = numbered(ws, parts, [], ["minus", "label"], "turn")
+    n_test = F.col("whole") + (F.col("turn") <= left).cast("long")
+    return ranked.select("label", "n_docs", n_test.alias("n_test"))
 
 
 def split(
@@ -80,7 +79,7 @@ def split(
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
     keyed = docs.select("doc_id", "label", key.alias("draw"))
     drawn = numbered(ws, keyed, ["label"], ["draw", "doc_id"], "place")
-    quota = ws.stage(test_quota(sizes).select("label", "n_test"), "quota")
+    quota = ws.stage(test_quota(ws, sizes).select("label", "n_test"), "quota")
     return lookup_join(drawn, quota, "label").select(
         "doc_id", "label", (F.col("place") <= F.col("n_test")).alias("is_test")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from belegwerk import settings
-from belegwerk.functions.paths import file_name, join_path, parent, relative_to
+from belegwerk.functions.paths import file_name, join_path, local_path, parent, relative_to
 from belegwerk.operators.naming import resolve_names
 from belegwerk.workspace import Workspace
 
@@ -84,23 +84,32 @@ def write_manifest(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def promotion_plan(review: DataFrame, review_root: str, dest_root: str) -> DataFrame:
-    """``src, dst`` with the same relative path below the destination."""
-    return review.select(
-        F.col("path").alias("src"),
-        join_path(F.lit(dest_root.rstrip("/")), relative_to("path", review_root)).alias("dst"),
-    )
+    """``src, dst`` with the same relative path below the destination; a null ``dst`` for files elsewhere."""
+    inside = relative_to("path", review_root)
+    target = F.when(inside.isNotNull(), join_path(F.lit(dest_root.rstrip("/")), inside))
+    return review.select(F.col("path").alias("src"), target.alias("dst"))
 
 
 def promotion_conflicts(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """Planned rows whose target is there already; ``existing`` has ``path``."""
-    return plan.join(existing.select(F.col("path").alias("dst")), "dst", "left_semi")
+    """Planned rows whose target is there already; ``existing`` has ``path``, with a scheme or not."""
+    taken = existing.select(local_path("path").alias("_taken")).distinct()
+    return plan.join(taken, local_path("dst") == F.col("_taken"), "left_semi")
 
 
 def promote(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """The plan, after a check that no target exists. All targets are checked before any is used."""
+    """The plan, after a check that every row has a target of its own that does not exist.
+
+    All targets are checked before any is used.
+    """
+    lost = plan.where("dst is null").select("src").take(1)
+    if lost:
+        raise PromotionConflict(f"not below the review folder: {lost[0].src}")
     clash = promotion_conflicts(plan, existing).select("dst").take(1)
     if clash:
         raise PromotionConflict(f"destination exists: {clash[0].dst}")
+    double = plan.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    if double:
+        raise PromotionConflict(f"two files for one destination: {double[0].dst}")
     return plan
 
 
@@ -112,25 +121,24 @@ def move_summary(outcome: DataFrame) -> DataFrame:
 
 
 def parents_below(path: Column, root: str) -> Column:
-    """All folders above a path that lie below ``root``, the nearest one last."""
+    """All folders above a path, relative to ``root`` above them, the nearest one last."""
     parts = F.split(parent(relative_to(path, root)), "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.concat(F.lit(root.rstrip("/") + "/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
-    )
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
 def empty_dirs(dirs: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """Folders below ``root`` with no file at any depth, deepest first.
 
-    ``dirs`` and ``files`` have ``path``. File counts are summed per folder before the shuffle.
+    ``dirs`` and ``files`` have ``path``, with a scheme or not. File counts are summed per folder
+    before the shuffle.
     """
     inside = files.where(parent(relative_to("path", root)) != "")
-    filled = inside.select(F.explode(parents_below(F.col("path"), root)).alias("dir")).groupBy("dir").agg(
+    filled = inside.select(F.explode(parents_below(F.col("path"), root)).alias("_below")).groupBy("_below").agg(
         F.count(F.lit(1)).alias("n_files")
     )
-    below = dirs.where(relative_to("path", root).isNotNull()).select(F.col("path").alias("dir"))
-    return below.distinct().join(filled, "dir", "left_anti").orderBy(F.desc("dir"))
+    below = dirs.select(F.col("path").alias("dir"), F.rtrim(relative_to("path", root), F.lit("/")).alias("_below"))
+    below = below.where("_below is not null").distinct()
+    return below.join(filled, "_below", "left_anti").select("dir").orderBy(F.desc("dir"))
 
 
 def folder_counts(files: DataFrame) -> DataFrame:

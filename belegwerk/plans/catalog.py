@@ -635,9 +635,14 @@ def settle_stream(t: Tables) -> DataFrame:
     schema = t.read("events").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     events = stream.select(F.col("user_id").alias("inbox"), F.col("ts").cast("timestamp").alias("ts"))
+    # A clock that has passed the end of the last session.
+    passed = F.col("ts").cast("timestamp") + F.make_interval(secs=F.lit(2 * SETTLE_SECONDS))
+    ticks = t.ws.path("clock")
+    t.read("events").agg(F.max(passed).alias("ts")).write.parquet(ticks)
+    clock = t.spark.readStream.schema("ts timestamp").parquet(ticks)
     out = t.ws.path("sessions")
     run = (
-        settle.settle_stream(events, SETTLE_SECONDS)
+        settle.settle_stream(events, SETTLE_SECONDS, clock=clock)
         .writeStream.format("parquet")
         .option("checkpointLocation", t.ws.path("checkpoint"))
         .trigger(availableNow=True)

@@ -49,8 +49,8 @@ class Tables:
 
     @property
     def corpus(self) -> DataFrame:
-        """Staged ``doc_id, label, norm`` of the labelled documents with enough text."""
-        labelled = self.spread("documents", "doc_id").where("doc_id % 50 <> 0").select(
+        """Staged ``doc_id, label, norm`` of all documents with enough text to learn from."""
+        labelled = self.spread("documents", "doc_id").select(
             "doc_id", F.concat_ws("/", "lang", "source").alias("label"), normalize_text("text").alias("norm")
         )
         # A filter before the write would normalise every text twice.
@@ -92,7 +92,7 @@ class Tables:
     @property
     def replies(self) -> DataFrame:
         """Orders with an extractor's reply, some of them broken in different ways."""
-        return self.read("orders").withColumn(
+        rows = self.read("orders").withColumn(
             "reply",
             F.expr(
                 """case when o_orderkey % 7 = 0 then concat('keine Antwort ', o_orderkey)
@@ -107,6 +107,12 @@ class Tables:
                        '"}') end"""
             ),
         )
+        marred = F.expr(
+            """case when o_orderkey % 19 = 0 then concat(reply, ' danke')
+                 when o_orderkey % 23 = 0 then concat(reply, '{"a":1}')
+                 when o_orderkey % 29 = 0 then replace(reply, '"', "'") else reply end"""
+        )
+        return rows.withColumn("reply", marred)
 
     @property
     def rule_docs(self) -> DataFrame:

@@ -28,12 +28,17 @@ def evaluate(ws: Workspace, corpus: DataFrame) -> DataFrame:
     """
     try:
         parts = split_corpus(ws, corpus)
+        both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts")
+        model = fit(ws, both.where("not is_test").select("doc_id", "label", "norm"))
     except NotEnoughData as refusal:
-        return corpus.sparkSession.createDataFrame(
-            [(str(refusal), "refused", None, None, None, 0)], ev.REPORT_SCHEMA
+        # Without Python workers; a fit refuses where no term is left for the vocabulary.
+        refused = corpus.sparkSession.range(1).select(
+            F.lit(str(refusal)).alias("label"),
+            F.lit("refused").alias("kind"),
+            *[F.lit(None).cast("double").alias(m) for m in ("precision", "recall", "f1_score")],
+            F.lit(0).cast("long").alias("support"),
         )
-    both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts")
-    model = fit(ws, both.where("not is_test").select("doc_id", "label", "norm"))
+        return refused
     test = both.where("is_test")
     guesses = best_class(model, test.select("doc_id", "norm"))
     pairs = test.join(guesses, "doc_id").select(

@@ -84,7 +84,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": (
         ("norms",),
         f"""SELECT doc_id, lang || '/' || source AS label, norm FROM documents JOIN norms USING (doc_id)
-        WHERE doc_id % 50 <> 0 AND length(trim(norm)) > {settings.MIN_TEXT}""",
+        WHERE length(trim(norm)) > {settings.MIN_TEXT}""",
     ),
     "fine": ((), "SELECT doc_id, lang || '/' || source || '/' || (n_chars % 12) AS label FROM documents"),
     "fine_sizes": (("fine",), "SELECT label, count(*) AS n_docs FROM fine GROUP BY label"),
@@ -216,14 +216,16 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "reply_rows": (
         (),
-        """SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'keine Antwort ' || o_orderkey
+        """SELECT * REPLACE (CASE WHEN o_orderkey % 19 = 0 THEN reply || ' danke' WHEN o_orderkey % 23 = 0 THEN reply || '{"a":1}'
+          WHEN o_orderkey % 29 = 0 THEN replace(reply, '"', '''') ELSE reply END AS reply) FROM (
+        SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'keine Antwort ' || o_orderkey
           WHEN o_orderkey % 11 = 0 THEN '[' || o_orderkey || ', 2]'
           WHEN o_orderkey % 5 = 0 THEN '{"date":"' || strftime(o_orderdate, '%Y.%-m.%-d') || '"}'
           ELSE '{"date":"' || CASE WHEN o_orderkey % 17 = 0 THEN '2001.2.30'
               WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y.%m.%d')
               ELSE strftime(o_orderdate, '%Y.%-m.%-d') END || '","subject":"' ||
             CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Auftrag ' || o_orderpriority END || '"}' END AS reply
-        FROM orders""",
+        FROM orders)""",
     ),
     "replies": (
         ("reply_rows",),
@@ -381,7 +383,8 @@ def oracles() -> dict[str, str]:
             "SELECT (SELECT count(DISTINCT label) FROM corpus) AS n_classes, (SELECT count(*) FROM vocab) AS n_terms", "vocab"
         ),
         "model_roundtrip": build(MODEL_TABLE, *MODEL),
-        "train": build(MODEL_TABLE, *MODEL),
+        # Files at the top of the folder have no label.
+        "train": build(MODEL_TABLE, *MODEL, fitted="SELECT doc_id, label, norm FROM corpus WHERE doc_id % 50 <> 0"),
         "class_filter": build("SELECT doc_id, label FROM fine JOIN fine_sizes USING (label) WHERE n_docs >= 2", "fine_sizes"),
         "excluded_classes": build("SELECT label FROM fine_sizes WHERE n_docs < 2", "fine_sizes"),
         "data_guard": build(
@@ -523,9 +526,7 @@ def oracles() -> dict[str, str]:
             "hashed",
         ),
         "settle_batch": build(f"SELECT {SESSION_COLUMNS} FROM sessions", "sessions"),
-        "settle_stream": build(
-            f"SELECT {SESSION_COLUMNS} FROM sessions WHERE settled <= (SELECT max(ts) FROM events)", "sessions"
-        ),
+        "settle_stream": build(f"SELECT {SESSION_COLUMNS} FROM sessions", "sessions"),
         "stream_intake": f"SELECT {DIGEST} FROM pages WHERE page_id % 4 <> 3",
         "stream_once": "SELECT page_id, 1 AS n_times, page_id % 2 AS batch_id FROM pages",
         "stream_metrics": "SELECT page_id % 2 AS batch_id, count(*) AS n_files, count(*) AS n_rows FROM pages GROUP BY 1",

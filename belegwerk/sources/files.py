@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.functions.text import _col
+from belegwerk.workspace import empty
 
 PDF_GLOB = "*.[pP][dD][fF]"
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -16,9 +18,20 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 PageReader = Callable[[bytes], Sequence[str]]
 
 
+def _top_level(root: str) -> str:
+    """Only what lies directly in a folder: subfolders are neither listed nor taken for partitions."""
+    return f"{root.rstrip('/')}/{PDF_GLOB}"
+
+
 def scan_inbox(spark: SparkSession, root: str) -> DataFrame:
-    """PDF files directly in a folder, the suffix in any case."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB).load(root)
+    """PDF files directly in a folder, the suffix in any case; a folder without any gives no rows."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        return reader.load(_top_level(root))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty(spark, FILE_SCHEMA)
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -39,12 +52,10 @@ def scan_review(spark: SparkSession, root: str) -> DataFrame:
 
 def watch_inbox(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
     """Streaming form of ``scan_inbox``: each file once, those already there first."""
-    reader = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", PDF_GLOB)
-    )
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(root)
+    return reader.load(_top_level(root))
 
 
 def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:

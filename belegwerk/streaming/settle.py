@@ -40,18 +40,31 @@ def settle(events: DataFrame, gap_seconds: float = settings.SETTLE_SECONDS) -> D
 
 
 def settle_stream(
-    events: DataFrame, gap_seconds: float = settings.SETTLE_SECONDS, late: str = "0 seconds"
+    events: DataFrame,
+    gap_seconds: float = settings.SETTLE_SECONDS,
+    late: str = "0 seconds",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
-    """``settle`` on a stream: a session comes out once the watermark has passed its end.
+    """``settle`` on a stream ``inbox, ts``: a session comes out once the watermark has passed its end.
+
+    The watermark follows the newest time seen less ``late``. Events of a later micro-batch that are older
+    than it are late and dropped. Without further input it stands still, and the last sessions of quiet
+    inboxes would never come out. ``clock`` is a stream with a column ``ts`` of times that have passed (such
+    as a rate source's, or one row at shutdown); its rows move the watermark and make no session.
 
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` lets Spark merge the
     sessions of a busy inbox before the shuffle.
     """
+    rows = events.select("inbox", "ts", F.lit(False).alias("tick"))
+    if clock is not None:
+        ticks = clock.select(F.lit(None).cast(events.schema["inbox"].dataType).alias("inbox"), "ts", F.lit(True).alias("tick"))
+        rows = rows.union(ticks)
     window = F.session_window("ts", f"{round(gap_seconds * 1000)} milliseconds")
     return (
-        events.withWatermark("ts", late)
-        .groupBy("inbox", window.alias("session"))
+        rows.withWatermark("ts", late)
+        .groupBy("inbox", "tick", window.alias("session"))
         .agg(F.count(F.lit(1)).alias("n_events"))
+        .where("not tick")
         .select(
             "inbox",
             F.col("session.start").alias("first_event"),

@@ -117,9 +117,9 @@ def test_refused_evaluation(ws, docs):
     assert (row.kind, row.label) == ("refused", "test part smaller than the number of labels")
 
 
-def test_quota_adds_up(spark):
+def test_quota_adds_up(spark, ws):
     sizes = spark.createDataFrame([("a", 7), ("b", 3), ("c", 5), ("d", 2)], "label string, n_docs long")
-    rows = {r.label: r.n_test for r in evaluation.test_quota(sizes).collect()}
+    rows = {r.label: r.n_test for r in evaluation.test_quota(ws, sizes).collect()}
     assert sum(rows.values()) == math.ceil(17 * 0.2)
     assert rows == {"a": 2, "b": 1, "c": 1, "d": 0}
 

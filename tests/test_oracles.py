@@ -1,28 +1,22 @@
 """Catalogue queries against their SQL twins in DuckDB, on the smallest tables."""
 
-import os
 from pathlib import Path
 
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from belegwerk.plans.catalog import QUERIES
+from belegwerk.plans.oracles import oracles
 
 SF_DIR = "/root/testdata/sf0.001"
-# Minutes together, even on the smallest tables; set BELEGWERK_ALL=1 to run them too.
-SLOW = {
-    "stream_process", "evaluate", "collisions_mixed", "model_roundtrip", "nb_weights", "top_terms", "top3",
-    "train", "tfidf", "model_summary", "stream_intake", "stream_metrics", "stream_retry", "scan_inbox", "manifest",
-}
-# At this size evaluation refuses, which the twin does not do.
-REFUSED = {"evaluate"}
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-
-
-@pytest.fixture(scope="module")
-def duck():
+# At the smallest size evaluation refuses, which the twin does not do.
+LARGER = {"evaluate": "/root/testdata/sf0.01"}
+ORACLES = oracles()
+
+
+def duck(sf_dir):
     connection = duckdb.connect()
-    for path in Path(SF_DIR).glob("*.parquet"):
+    for path in Path(sf_dir).glob("*.parquet"):
         connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return connection
 
@@ -36,13 +30,12 @@ def test_every_query_has_a_twin():
 
 
 @pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - REFUSED))
-def test_same_rows(spark, duck, name):
-    if name in SLOW and not os.environ.get("BELEGWERK_ALL"):
-        pytest.skip("slow")
-    df = QUERIES[name](spark, SF_DIR)
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_same_rows(spark, name):
+    sf_dir = LARGER.get(name, SF_DIR)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
-    cursor = duck.execute(ORACLES[name])
+    cursor = duck(sf_dir).execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
