@@ -307,7 +307,7 @@ def extract(page: str | None, wrapper: list) -> str:
                 tag = part.kind.split(" ", 1)[0]
                 walk(part, inside or mark is None or part.kind == mark or tag == mark)
 
-    walk(parse(page), False)
+    walk(parse(page), mark is None)
     return "\n\n".join(out)
 
 
@@ -334,6 +334,9 @@ def infer(ws: Workspace, pages: DataFrame) -> DataFrame:
                     merge(known[host], node)
                 else:
                     known[host] = node
+        # An empty frame of strings has no Arrow array.
+        if not known:
+            return
         part = TaskContext.get().partitionId()
         yield pd.DataFrame({"host_key": list(known), "part": part, "wrapper": [json.dumps(w) for w in known.values()]})
 
@@ -367,6 +370,8 @@ def main_texts(ws: Workspace, pages: DataFrame, key: str = "page_id", url: str =
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list] = {}
         for pdf in batches:
+            if not len(pdf):
+                continue
             texts = []
             for page, wrapper in zip(pdf["html"], pdf["wrapper"]):
                 if wrapper not in known:
