@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +21,10 @@ from belegwerk.operators.features import (
     vectors,
 )
 from belegwerk.operators.joins import lookup_join
-from belegwerk.workspace import Workspace, measure
+from belegwerk.workspace import Workspace
 
-# Terms that every document has: one that carries the priors, one for the unseen-term weights.
-PRIOR_TERM = -1
-UNSEEN_TERM = -2
-# Largest part of the weights that is broadcast at once.
-SCORE_BYTES = 256 << 20
+# Weights that go out at once.
+SCORE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -114,70 +115,139 @@ def fit(
     return Model(vocab, classes, weights)
 
 
-def _signed_weights(model: Model) -> DataFrame:
-    """``term_id, label_id, gain`` of all weights and of the two terms that every document has."""
-    shared = model.classes.select(
-        "label_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit(PRIOR_TERM).cast("long").alias("term_id"), F.col("log_prior").alias("gain")),
-                F.struct(F.lit(UNSEEN_TERM).cast("long").alias("term_id"), F.col("log_unseen").alias("gain")),
-            )
-        ),
-    ).select("term_id", "label_id", "gain")
-    return model.weights.select("term_id", "label_id", "gain").unionByName(shared)
+@dataclass(frozen=True)
+class _Block:
+    """Some classes of a model as arrays: gains by term, and what every document gets."""
+
+    labels: np.ndarray
+    log_prior: np.ndarray
+    log_unseen: np.ndarray
+    terms: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    gains: np.ndarray
+
+    def scores(self, doc: np.ndarray, term: np.ndarray, tfidf: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Joint log likelihoods, documents by classes, of entries ``doc, term, tfidf``."""
+        n = len(self.labels)
+        out = self.log_prior + mass[:, None] * self.log_unseen
+        at = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+        doc, at, tfidf = doc[known], at[known], tfidf[known]
+        counts = self.starts[at + 1] - self.starts[at]
+        # The entries of a few documents at a time: an entry meets every class that has its term.
+        for low, high in _slices(counts, 1 << 20):
+            c = counts[low:high]
+            ends = np.cumsum(c)
+            spot = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at[low:high]] - ends + c, c)
+            first = doc[low] if high > low else 0
+            cell = (np.repeat(doc[low:high], c) - first) * n + self.places[spot]
+            added = np.bincount(cell, weights=np.repeat(tfidf[low:high], c) * self.gains[spot])
+            out.reshape(-1)[first * n : first * n + len(added)] += added
+        return out
+
+
+def _slices(counts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries with about ``size`` in sum."""
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(sums, sums[low] + size, side="right")) - 1)
+        yield low, high
+        low = high
+
+
+def _blocks(model: Model, limit: int = SCORE_ROWS) -> Iterator[_Block]:
+    """The model in blocks of classes with about ``limit`` weights each; a class has one per term at most."""
+    blocks = max(1, -(-model.weights.count() // limit))
+    part = F.pmod(F.xxhash64("label_id"), F.lit(blocks))
+    for b in range(blocks):
+        classes = model.classes.where(part == b).select("label_id", "log_prior", "log_unseen").toPandas()
+        classes = classes.sort_values("label_id")
+        rows = model.weights.where(part == b).select("term_id", "label_id", "gain").toArrow()
+        term, label, gain = (c.to_numpy() for c in rows.columns)
+        order = np.argsort(term, kind="stable")
+        terms, starts = np.unique(term[order], return_index=True)
+        labels = classes["label_id"].to_numpy()
+        yield _Block(
+            labels,
+            classes["log_prior"].to_numpy(),
+            classes["log_unseen"].to_numpy(),
+            terms,
+            np.append(starts, len(term)),
+            np.searchsorted(labels, label[order]),
+            gain[order],
+        )
 
 
-def _joint_scores(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """``doc_id, label_id, score``: sums of weight times gain over the terms of a document.
+def class_scores(model: Model, docs: DataFrame, k: int) -> DataFrame:
+    """One row per document of ``doc_id, norm``: ``doc_id, ranked, best, total``.
 
-    Frequent terms are in most documents, so a shuffle by term would be badly skewed. The weights
-    are broadcast instead, whole or, if they are too large for that, in blocks of classes. A class
-    has at most one row per vocabulary term, which keeps the blocks close to the target size.
-    """
-    _, size = measure(weights)
-    blocks = max(1, -(-size // SCORE_BYTES))
-    if blocks > 1:
-        long = Workspace(long.sparkSession).stage(long, "long")
-    block = F.pmod(F.xxhash64("label_id"), F.lit(blocks))
-    parts = [
-        long.join(F.broadcast(weights.where(block == b) if blocks > 1 else weights), "term_id")
-        .groupBy("doc_id", "label_id")
-        .agg(F.sum(F.col("tfidf") * F.col("gain")).alias("score"))
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def class_scores(model: Model, docs: DataFrame) -> DataFrame:
-    """One row per document of ``doc_id, norm``: ``doc_id, ranked, best``.
-
-    ``ranked`` is ``array<struct<down, label_id>>`` with the negated joint log likelihood of every
-    class, the best one first, equal ones in label order; ``best`` is the highest likelihood.
-
-    The documents are shuffled once, as single rows. All later steps group by ``doc_id`` and stay
-    where they are.
+    ``ranked`` is ``array<struct<down, label_id>>`` with the negated joint log likelihoods of the ``k``
+    best classes, the best one first, equal ones in label order; ``best`` is the highest likelihood and
+    ``total`` the sum of all, as multiples of it.
+
+    The documents are shuffled once, as single rows, and stay rows: no row per document and class is
+    made. The weights go out in blocks of classes of bounded size; each block leaves the ``k`` best
+    classes and a sum per document, and the blocks of a model that has several are merged.
     """
     rows = vectors(term_freq(docs), model.vocab)
-    shared = F.array(
-        F.struct(F.lit(PRIOR_TERM).cast("long").alias("term_id"), F.col("norm").alias("raw")),
-        F.struct(F.lit(UNSEEN_TERM).cast("long").alias("term_id"), F.col("mass").alias("raw")),
+    blocks = list(_blocks(model))
+    if len(blocks) > 1:
+        rows = Workspace(docs.sparkSession).stage(rows, "vectors")
+    sc = docs.sparkSession.sparkContext
+    parts = [_block_scores(rows, sc.broadcast(block), k) for block in blocks]
+    if len(parts) == 1:
+        return parts[0]
+    every = reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("doc_id").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("ranked"))), 1, k).alias("ranked"),
+        F.max("best").alias("best"),
+        F.collect_list(F.struct("best", "total")).alias("sums"),
+    )
+    total = F.aggregate("sums", F.lit(0.0), lambda acc, s: acc + s.total * F.exp(s.best - F.col("best")))
+    return merged.select("doc_id", "ranked", "best", total.alias("total"))
+
+
+def _block_scores(rows: DataFrame, sent: Broadcast[_Block], k: int) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    flat = rows.select(
+        "doc_id",
+        (F.col("mass") / F.col("norm")).alias("mass"),
+        "norm",
+        F.col("terms.term_id").alias("terms"),
+        F.col("terms.raw").alias("raw"),
     )
-    long = long_vectors(rows.withColumn("terms", F.concat(shared, "terms")), ("doc_id",))
-    joint = _joint_scores(long, _signed_weights(model))
-    # Scores that differ by rounding noise only count as equal.
-    down = (-F.round("score", 9)).alias("down")
-    ranked = F.sort_array(F.collect_list(F.struct(down, "label_id")))
-    best = F.max(F.round("score", 9)).alias("best")
-    return joint.groupBy("doc_id").agg(ranked.alias("ranked"), best)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(batch["terms"].offsets.to_numpy())
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            norm = batch["norm"].to_numpy()
+            tfidf = batch["raw"].flatten().to_numpy() / norm[doc]
+            scores = block.scores(doc, batch["terms"].flatten().to_numpy(), tfidf, batch["mass"].to_numpy())
+            # Scores that differ by rounding noise only count as equal.
+            down = -np.round(scores, 9)
+            top = np.argsort(down, axis=1, kind="stable")[:, :k]
+            best = -down.min(axis=1)
+            total = np.exp(-down - best[:, None]).sum(axis=1)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(np.take_along_axis(down, top, 1).ravel()), pa.array(block.labels[top].ravel())], ["down", "label_id"]
+            )
+            ranked = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * top.shape[1], pairs)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ranked, pa.array(best), pa.array(total)], ["doc_id", "ranked", "best", "total"])
+
+    return flat.mapInArrow(run, f"doc_id {kind}, ranked array<struct<down: double, label_id: long>>, best double, total double")
 
 
 def top_classes(model: Model, docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, rank, label, p`` of the ``k`` best classes; ``p`` is the softmax over all classes."""
-    weigh = F.aggregate("ranked", F.lit(0.0), lambda acc, c: acc + F.exp(-c.down - F.col("best")))
     rows = (
-        class_scores(model, docs)
-        .select("doc_id", "best", weigh.alias("total"), F.posexplode(F.slice("ranked", 1, k)).alias("pos", "c"))
+        class_scores(model, docs, k)
+        .select("doc_id", "best", "total", F.posexplode("ranked").alias("pos", "c"))
         .select(
             "doc_id",
             (F.col("pos") + 1).alias("rank"),

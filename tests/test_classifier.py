@@ -63,7 +63,7 @@ def test_probabilities(spark, ws, docs, limit, monkeypatch):
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", limit))
     monkeypatch.setattr(joins, "HOT_ROWS", 2)
     if limit < 0:
-        monkeypatch.setattr(bayes, "SCORE_BYTES", 800)
+        monkeypatch.setattr(bayes._blocks, "__defaults__", (5,))
     model = bayes.fit(ws, docs)
     got = defaultdict(dict)
     for r in bayes.top_classes(model, docs.select("doc_id", "norm"), 3).collect():
@@ -84,8 +84,9 @@ def test_empty_text_is_not_classified(spark, ws, docs):
 
 
 def test_scoring_shuffles_documents_once(spark, ws, docs):
+    """No row per document and class is made, and no list of all classes."""
     model = bayes.fit(ws, docs)
-    plan = bayes.class_scores(model, docs.select("doc_id", "norm"))._jdf.queryExecution().executedPlan().toString()
+    plan = bayes.class_scores(model, docs.select("doc_id", "norm"), 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
