@@ -38,6 +38,18 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like ``names`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, df.rdd.getNumPartitions())
 

@@ -9,10 +9,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import spread_rows, words
+from belegwerk.llm.common import fresh, spread_rows, words
 from belegwerk.llm.components import components
 from belegwerk.workspace import Workspace
 
@@ -75,6 +75,17 @@ def segments_for(n: int, radius: int = RADIUS) -> int:
     return min(range(1, radius + 1), key=cost)
 
 
+def _probes(segment: int, value: Column, width: int, near: int) -> Column:
+    """Buckets of one segment that a fingerprint looks into: its own, and larger ones within ``near`` bits."""
+    flips = [sum(1 << b for b in c) for r in range(1, near + 1) for c in combinations(range(width), r)]
+    own = F.array(F.struct(F.lit(segment).alias("s"), value.alias("k"), F.lit(True).alias("same")))
+    if not flips:
+        return own
+    ball = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: value.bitwiseXOR(x))
+    larger = F.filter(ball, lambda k: k > value)
+    return F.concat(own, F.transform(larger, lambda k: F.struct(F.lit(segment).alias("s"), k.alias("k"), F.lit(False).alias("same"))))
+
+
 def links(ws: Workspace, fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges ``u, v`` between different fingerprints: same components as linking all within ``radius``.
 
@@ -93,15 +104,9 @@ def links(ws: Workspace, fps: DataFrame, n: int, radius: int = RADIUS) -> DataFr
     cuts = [(BITS * s // m, BITS * (s + 1) // m - BITS * s // m) for s in range(m)]
     home, probe = [], []
     for s, (shift, width) in enumerate(cuts):
-        mask = (1 << width) - 1
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask))
+        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         home.append(F.struct(F.lit(s).alias("s"), value.alias("k")))
-        flips = [sum(1 << b for b in c) for r in range(1, near + 1) for c in combinations(range(width), r)]
-        ball = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, v=value: v.bitwiseXOR(x))
-        ball = F.filter(ball, lambda k, v=value: k > v)
-        own = F.array(F.struct(F.lit(s).alias("s"), value.alias("k"), F.lit(True).alias("same")))
-        rest = F.transform(ball, lambda k, s=s: F.struct(F.lit(s).alias("s"), k.alias("k"), F.lit(False).alias("same")))
-        probe.append(F.concat(own, rest) if flips else own)
+        probe.append(_probes(s, value, width, near))
     homes = fps.select(F.col("fp").alias("v"), F.inline(F.array(*home)))
     dense = homes.groupBy("s", "k").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > DENSE)
     dense = ws.stage(dense, "dense")
@@ -167,9 +172,10 @@ def representatives(
     Of repeated rows of that key one stays. Rows without a key cannot be told apart and all stay.
     """
     found = ws.stage(near_duplicates(ws, docs, key, text, shingle, radius), "found")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    keep = ws.stage(keep.withColumnRenamed("doc_id", "_keep"), "keep")
-    kept = docs.join(keep.select("_keep"), F.col(key) == F.col("_keep"), "left_semi")
-    if not keep.where("_rows > 1").isEmpty():
+    (name,) = fresh(docs, "_keep")
+    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    keep = ws.stage(keep.withColumnRenamed("doc_id", name), "keep")
+    kept = docs.join(keep.select(name), F.col(key) == F.col(name), "left_semi")
+    if not keep.where("n_rows > 1").isEmpty():
         kept = kept.dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
