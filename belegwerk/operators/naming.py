@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from belegwerk.operators.ranking import numbered, running_sum
 from belegwerk.workspace import Workspace
 
 _NUMBERED = r"^(.*) \(([1-9][0-9]*)\)$"
+_ENDINGS = r"( \([1-9][0-9]*\))+$"
 
 
 def used_numbers(names: DataFrame) -> DataFrame:
@@ -69,53 +73,86 @@ def resolve_names(ws: Workspace, docs: DataFrame, existing: DataFrame) -> DataFr
     """Add ``number`` and ``final_name`` to ``doc_id, folder, name``, given ``folder, name`` on disk.
 
     The result is what one would get by placing the documents one by one in ``doc_id`` order. Names
-    that themselves end in a number can meet the numbers given to a shorter name. Such meetings are
-    settled in rounds, the earlier document winning, until none is left.
+    that themselves end in a number can meet the numbers given to the shorter name before it. They
+    are settled by the depth of such endings, shallow names first: the rounds grow with that depth, not
+    with the rows.
     """
     docs = docs.withColumns({"base": stem("name"), "ext": suffix("name")})
-    used = ws.stage(used_numbers(existing), "used")
-    # Only families that hold a wanted name ending in a number can meet across names.
-    family = F.regexp_replace("base", r"( \([1-9][0-9]*\))+$", "")
-    docs = ws.stage(docs.withColumn("_family", family), "wanted")
-    ends_in_number = docs.where(F.col("base") != F.col("_family"))
-    if ends_in_number.isEmpty():
-        out = _free_numbers(ws, _in_turn(ws, docs), used)
-    else:
-        keys = ["folder", "_family", "ext"]
-        mixed = ends_in_number.select(*keys).distinct()
-        plain = _in_turn(ws, docs.join(mixed, keys, "left_anti"))
-        tangled = _in_turn(ws, docs.join(mixed, keys, "left_semi"))
-        out = _free_numbers(ws, plain, used).unionByName(
-            _settle(ws, ws.stage(tangled, "tangled"), used)
-        )
-    return out.withColumn("final_name", final_name()).drop("base", "ext", "_family", "_k")
-
-
-def _settle(ws: Workspace, docs: DataFrame, used: DataFrame) -> DataFrame:
+    docs = docs.withColumn("_family", F.regexp_replace("base", _ENDINGS, ""))
+    endings = F.regexp_extract("base", f"({_ENDINGS})", 1)
+    docs = ws.stage(docs.withColumn("_depth", F.size(F.split(endings, " \\(")) - 1), "wanted")
     keys = ["folder", "_family", "ext"]
-    settled: DataFrame | None = None
-    while True:
-        given = ws.stage(
-            _free_numbers(ws, docs, used).withColumn("_final", final_name()), "given"
-        )
-        owners = given.groupBy("folder", "_final").agg(
-            F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")
-        )
-        lost = ws.stage(
-            given.join(owners.where("_n > 1"), ["folder", "_final"])
-            .where("doc_id > _first")
-            .select(*keys, "base", "number", "doc_id", "_first"),
-            "lost",
-        )
-        # Families without a meeting are done; only the others go into another round.
-        open_families = lost.groupBy(*keys).agg(F.min("doc_id").alias("_earliest"))
-        done = given.join(open_families, keys, "left_anti").drop("_final")
-        settled = done if settled is None else settled.unionByName(done)
-        if lost.isEmpty():
-            return settled
-        # A loss is certain if the winner came before every loser of the family: up to there all
-        # names are final. The earliest loser always passes, so each round makes progress.
-        sure = lost.join(open_families, keys).where("_first < _earliest")
-        names = open_families.select(*keys)
-        docs = ws.stage(docs.join(names, keys, "left_semi"), "open")
-        used = ws.stage(used.unionByName(sure.select(*used.columns)).distinct(), "used")
+    used = used_numbers(existing).withColumn("_family", F.regexp_replace("base", _ENDINGS, ""))
+    used = ws.stage(used.join(docs.select(*keys).distinct(), keys, "left_semi").drop("_family"), "used")
+    depths = [row[0] for row in docs.select("_depth").distinct().orderBy("_depth").collect()]
+    out: DataFrame | None = None
+    for depth in range(depths[-1] + 1 if depths else 0):
+        newcomers = docs.where(F.col("_depth") == depth)
+        if depth not in depths:
+            continue
+        newcomers = ws.stage(_in_turn(ws, newcomers), "turns")
+        blocked, lost = used, None
+        if depth + 1 in depths:
+            skipped, lost = _meetings(ws, newcomers, docs.where(F.col("_depth") == depth + 1), used)
+            blocked = used.unionByName(skipped)
+        given = _free_numbers(ws, newcomers, blocked)
+        out = given if out is None else out.unionByName(given)
+        if lost is not None:
+            used = ws.stage(used.unionByName(lost), "used")
+    if out is None:
+        out = docs.withColumns({"_k": F.lit(1).cast("long"), "number": F.lit(0).cast("long")})
+    return out.withColumn("final_name", final_name()).drop("base", "ext", "_family", "_depth", "_k")
+
+
+def _meetings(ws: Workspace, newcomers: DataFrame, longer: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who gets the names that both a number of a newcomer and a longer wanted name would take.
+
+    Returns the numbers that the newcomers must pass over, and the longer names that are gone, as number
+    0 of themselves, both as ``folder, base, ext, number``.
+
+    Only the first document that wants ``a (n)`` can take that name itself. Newcomers of ``a`` take rising
+    numbers, so the one whose turn is n's place among the free numbers, less the numbers passed over
+    before, is the only one that can want it: it does if it came before that document. Per longer name
+    three integers are enough, and one is carried from number to number.
+    """
+    name = ["folder", "base", "ext"]
+    inner, number = F.regexp_extract("base", _NUMBERED, 1), F.regexp_extract("base", _NUMBERED, 2).try_cast("long")
+    first = longer.groupBy(*name).agg(F.min("doc_id").alias("first"))
+    first = first.select("folder", inner.alias("base"), "ext", number.alias("number"), "first").where("number is not null")
+    first = first.join(newcomers.select(*name).distinct(), name, "left_semi")
+    first = ws.stage(first.join(used, [*name, "number"], "left_anti"), "longer")
+    taken = used.join(first.select(*name).distinct(), name, "left_semi")
+    numbers = taken.withColumns({"first": F.lit(None).cast(first.schema["first"].dataType), "_used": F.lit(1)})
+    numbers = running_sum(ws, numbers.unionByName(first.withColumn("_used", F.lit(0))), name, ["number"], F.col("_used"), "_below")
+    placed = numbers.where("_used = 0").select(*name, "number", "first", (F.col("number") + 1 - F.col("_below")).alias("place"))
+    arrivals = placed.select(*name, F.col("first").alias("doc_id"), "number", "place", F.lit(0).alias("_new"))
+    turns = newcomers.join(first.select(*name).distinct(), name, "left_semi").select(*name, "doc_id", F.lit(1).alias("_new"))
+    arrivals = arrivals.unionByName(turns, allowMissingColumns=True)
+    # A document wants one name, so no two rows of a name share a key.
+    counted = running_sum(ws, arrivals, name, ["doc_id", "number"], F.col("_new"), "before")
+    rows = counted.where("_new = 0").select(*name, "number", "place", "before")
+    total = newcomers.groupBy(*name).agg(F.count(F.lit(1)).alias("turns"))
+    rows = rows.join(total, name).repartition(*name).sortWithinPartitions(*name, "number")
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, passed = None, 0
+        for pdf in batches:
+            gone = []
+            for *of, place, before, turns in zip(*(pdf[c] for c in (*name, "place", "before", "turns"))):
+                if of != current:
+                    current, passed = of, 0
+                turn = place - passed
+                if turn > before:
+                    passed += 1
+                    gone.append(0)
+                else:
+                    gone.append(int(turn <= turns))
+            if len(pdf):
+                yield pdf[[*name, "number"]].assign(gone=gone)
+
+    settled = rows.mapInPandas(settle, "folder string, base string, ext string, number long, gone int")
+    settled = ws.stage(settled, "settled")
+    skipped = settled.where("gone = 0").select(*name, "number")
+    whole = F.concat("base", F.lit(" ("), F.col("number").cast("string"), F.lit(")"))
+    lost = settled.where("gone = 1").select("folder", whole.alias("base"), "ext", F.lit(0).cast("long").alias("number"))
+    return skipped, lost

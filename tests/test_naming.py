@@ -39,7 +39,7 @@ def test_folders_do_not_clash(spark, ws):
     assert resolve(spark, ws, wanted, []) == {1: "a.pdf", 2: "a.pdf"}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(4))
 def test_names_that_end_in_numbers(spark, ws, seed):
     rng = random.Random(seed)
     names = ["a.pdf", "a (1).pdf", "a (2).pdf", "a (1) (1).pdf", "b.pdf", "b (2).pdf"]
@@ -48,6 +48,13 @@ def test_names_that_end_in_numbers(spark, ws, seed):
     assert resolve(spark, ws, wanted, existing) == one_by_one(wanted, existing)
 
 
+def test_many_names_that_alternate(spark, ws):
+    """Rounds follow the depth of the endings, not the rows: a, a (1), a, a (2) and so on."""
+    wanted = [(i, "R", "a.pdf" if i % 2 == 0 else f"a ({i // 2 + 1}).pdf") for i in range(2000)]
+    wanted += [(3000 + i, "R", f"a ({i % 7 + 1}) ({i % 5 + 1}).pdf") for i in range(60)]
+    assert resolve(spark, ws, wanted, []) == one_by_one(wanted, [])
+
+
 def test_hot_group_is_cut_into_slices(spark, ws):
     rows = spark.range(2000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('g', id % 50) end as g")
     got = numbered(ws, rows, ["g"], ["id"], "n").collect()
