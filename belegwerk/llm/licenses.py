@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import lower_ascii, spread_rows
+from belegwerk.llm.common import spread_rows
 from belegwerk.workspace import Workspace
 
 DICE = 0.8
@@ -22,22 +22,27 @@ TEMPLATES = (
 )
 
 
-def _bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words of a normalised text."""
-    words = F.split(text, " ")
-    return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+def _bigrams(words: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(F.array_distinct(pairs), lambda pair: pair.isNotNull())
 
 
 def normalised(text: Column) -> Column:
-    """A-Z lower-cased; each run of anything but a-z and 0-9 becomes one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " "))
+    """Each run of anything but A-Z, a-z and 0-9 becomes one blank, none at the ends; A-Z are lower-cased."""
+    return F.lower(F.btrim(F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")))
+
+
+def _once(value: Column) -> Column:
+    """``value`` as a generated column: plain ones would be worked out anew wherever they are used."""
+    return F.explode(F.array(value))
 
 
 def template_table(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """``license, grams, size`` of the templates, made without Python workers."""
     rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("wording")) for n, t in templates])
     named = docs.sparkSession.range(1).select(F.inline(rows))
-    grams = F.filter(_bigrams(normalised(F.col("wording"))), lambda g: g.isNotNull())
+    grams = _bigrams(F.split(normalised(F.col("wording")), " "))
     return named.select("license", grams.alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
 
 
@@ -70,9 +75,10 @@ def scan(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     # A bigram takes three characters or more, which spares short lines the normalising.
-    rows = lines.where(F.length("line") > low + 1).select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-    blanks = F.length("norm") - F.length(F.translate("norm", " ", ""))
-    rows = rows.where(blanks >= low).withColumn("mine", _grams_of("norm")).withColumn("n", F.size("mine"))
+    rows = lines.where(F.length("line") > low + 1).select("doc_id", "line_no", _once(normalised(F.col("line"))).alias("norm"))
+    blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    rows = rows.where(blanks >= low).select("doc_id", "line_no", _once(F.split("norm", " ")).alias("words"))
+    rows = rows.select("doc_id", "line_no", _once(_bigrams(F.col("words"))).alias("mine")).withColumn("n", F.size("mine"))
     fits = F.filter(
         offer,
         lambda t: (F.col("n") >= t["size"] * dice / (2 - dice)) & (F.col("n") <= t["size"] * (2 - dice) / dice),
@@ -83,10 +89,6 @@ def scan(
     return pairs.select("doc_id", F.col("line_no").cast("long"), "license", score.alias("score")).where(F.col("score") >= dice)
 
 
-def _grams_of(column: str) -> Column:
-    return F.filter(_bigrams(F.col(column)), lambda g: g.isNotNull())
-
-
 def licensed(ws: Workspace, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``doc_id, license, score, n_hits``: its best match, or nulls and zero.
 
@@ -111,7 +113,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_NORM = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = "lower(trim(regexp_replace({0}, '[^a-zA-Z0-9]+', ' ', 'g')))"
 _GRAMS = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))])"
 
 SQL = f"""
