@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import BLANKS, null_safe, spread_rows
+from belegwerk.llm.common import BLANKS, fresh, null_safe, spread_rows
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
@@ -56,20 +56,20 @@ def drop_boilerplate(
     pages of their own. Columns named as the new ones are replaced.
     """
     lists = boilerplate(ws, docs, text, host, ratio, min_pages)
-    keyed = docs.withColumn("_host", null_safe(host))
-    joined = lookup_join(keyed, lists.withColumnRenamed("host_key", "_host").withColumnRenamed("marks", "_marks"), "_host", "left")
+    by, marks, split, kept = fresh(docs, "_host", "_marks", "_lines", "_kept")
+    lists = lists.withColumnsRenamed({"host_key": by, "marks": marks})
+    joined = lookup_join(docs.withColumn(by, null_safe(host)), lists, by, "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_marks"), _mark(line)))
-    found = F.when(F.col("_marks").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("_lines", lines).withColumn("_kept", found)
+    clean = F.filter(lines, lambda line: ~F.array_contains(F.col(marks), _mark(line)))
+    out = joined.withColumn(split, lines).withColumn(kept, F.when(F.col(marks).isNull(), lines).otherwise(clean))
     empty = F.coalesce(F.length(text) == 0, F.lit(True))
-    n_lines = F.when(empty, 0).otherwise(F.size("_lines"))
-    n_dropped = F.when(empty, 0).otherwise(F.size("_lines") - F.size("_kept"))
+    n_lines = F.when(empty, 0).otherwise(F.size(split))
+    n_dropped = F.when(empty, 0).otherwise(F.size(split) - F.size(kept))
     return (
         out.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_dropped", n_dropped.cast("long"))
-        .withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-        .drop("_host", "_marks", "_lines", "_kept")
+        .withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
+        .drop(by, marks, split, kept)
     )
 
 
