@@ -122,6 +122,20 @@ def _best_window(texts: list[str], needle: str) -> np.ndarray:
     return best
 
 
+def _best_part(texts: list[str], pattern: str) -> np.ndarray:
+    """Best similarity of texts of one length to windows of that length of a pattern, cut off at its ends.
+
+    No text may be longer than the pattern. Each window is compared with all texts in step.
+    """
+    n, m = len(texts[0]), len(pattern)
+    windows = {pattern[i : i + n] for i in range(m - n + 1)}
+    windows |= {part for j in range(1, n) for part in (pattern[:j], pattern[-j:])}
+    best = np.zeros(len(texts))
+    for window in windows:
+        best = np.maximum(best, similarity(_whole_common(texts, window), n + len(window)))
+    return best
+
+
 def part_ratio(texts: list[str], pattern: str) -> np.ndarray:
     """Best similarity of the shorter string to a part of the longer one."""
     m = len(pattern)
@@ -129,13 +143,14 @@ def part_ratio(texts: list[str], pattern: str) -> np.ndarray:
     longer = [i for i, t in enumerate(texts) if m and len(t) >= m]
     if longer:
         out[longer] = _best_window([texts[i] for i in longer], pattern)
+    by_length: dict[int, list[int]] = {}
     for i, text in enumerate(texts):
         if not text or not m:
             out[i] = 100.0 if len(text) == m else 0.0
-        elif len(text) < m:
-            out[i] = _best_window([pattern], text)[0]
-        elif len(text) == m:
-            out[i] = max(out[i], _best_window([pattern], text)[0])
+        elif len(text) <= m:
+            by_length.setdefault(len(text), []).append(i)
+    for places in by_length.values():
+        out[places] = np.maximum(out[places], _best_part([texts[i] for i in places], pattern))
     return out
 
 
@@ -173,6 +188,11 @@ def first_span(texts: list[str], pattern: str, cutoff: int) -> np.ndarray:
     return spans
 
 
+def _norm(text: str) -> str:
+    """Python form of ``normalize_text``."""
+    return " ".join(re.findall(r"\w+", text.lower()))
+
+
 def month_near_year(texts: list[str], cutoff: int, newest: int) -> list[tuple[str, int] | None]:
     """First year with a fuzzy month name within 30 characters before to 10 after it."""
     windows: list[str] = []
@@ -182,7 +202,7 @@ def month_near_year(texts: list[str], cutoff: int, newest: int) -> list[tuple[st
             year = int(hit.group())
             if settings.OLDEST_YEAR <= year <= newest:
                 near = text[max(0, hit.start() - 30) : hit.end() + 10]
-                windows.append(" ".join(re.findall(r"\w+", near.lower())))
+                windows.append(_norm(near))
                 marks.append((i, year))
     found = np.full(len(windows), len(settings.MONTHS))
     for k, (name, _) in enumerate(settings.MONTHS):
@@ -214,10 +234,6 @@ def _concat(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _norm(pattern: str) -> str:
-    return " ".join(re.findall(r"\w+", pattern.lower()))
-
-
 def _guarded(text: Column, pattern: str, value: Column) -> Column:
     """False for an empty raw text or pattern."""
     if not pattern:
@@ -225,15 +241,17 @@ def _guarded(text: Column, pattern: str, value: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & value, F.lit(False))
 
 
-def whole_score(text: Column | str, pattern: str) -> Column:
-    """Similarity of the whole normalised text to the pattern, 0 to 100."""
-    target = _norm(pattern)
-
+def _whole_score(norm: Column, target: str) -> Column:
     @F.pandas_udf("double")
     def score(norm: pd.Series) -> pd.Series:
         return pd.Series(_concat([whole_ratio(c, target) for c in _chunks(norm)]))
 
-    return score(normalize_text(text))
+    return score(norm)
+
+
+def whole_score(text: Column | str, pattern: str) -> Column:
+    """Similarity of the whole normalised text to the pattern, 0 to 100."""
+    return _whole_score(normalize_text(text), _norm(pattern))
 
 
 def part_score(text: Column | str, pattern: str) -> Column:
@@ -248,8 +266,16 @@ def part_score(text: Column | str, pattern: str) -> Column:
 
 
 def fuzzy_match(text: Column | str, pattern: str, threshold: float = 0.95) -> Column:
-    """Whether the whole text is like the pattern."""
-    return _guarded(_col(text), pattern, whole_score(text, pattern) >= int(threshold * 100))
+    """Whether the whole text is like the pattern.
+
+    Texts whose length alone rules that out are not looked at: no more characters can be common than
+    the shorter string has.
+    """
+    target, cutoff = _norm(pattern), int(threshold * 100)
+    norm = normalize_text(text)
+    n, m = F.length(norm), len(target)
+    able = F.when(n + m == 0, True).otherwise(200 * F.least(n, F.lit(m)) >= cutoff * (n + m))
+    return _guarded(_col(text), pattern, able & (_whole_score(F.when(able, norm), target) >= cutoff))
 
 
 def fuzzy_contains(text: Column | str, pattern: str, threshold: float = 0.95) -> Column:
