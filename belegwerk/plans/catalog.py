@@ -14,7 +14,7 @@ from belegwerk.operators.bayes import Model
 from belegwerk.plans import evaluate as evaluate_plan
 from belegwerk.plans import ingest as ingest_plan
 from belegwerk.plans import training
-from belegwerk.plans.derived import AS_OF, Tables, decode_page, page_of_file
+from belegwerk.plans.derived import AS_OF, Tables, decode_page, decode_text, page_of_file
 from belegwerk.settings import JobSettings, Rule
 from belegwerk.sources import files as src
 from belegwerk.sources.model_store import load_model, save_model
@@ -316,6 +316,21 @@ def fuzzy_contains(t: Tables) -> DataFrame:
     return t.spread("documents", "doc_id").select("doc_id", hit.cast("int").alias("hit"))
 
 
+@query
+def fuzzy_match_docs(t: Tables) -> DataFrame:
+    hit = fuzzy.fuzzy_match("text", NEEDLE, 0.5)
+    return t.spread("documents", "doc_id").select("doc_id", hit.cast("int").alias("hit"))
+
+
+LONG_NEEDLE = "red small ring and large economy bolt of the year"
+
+
+@query
+def fuzzy_short(t: Tables) -> DataFrame:
+    """Texts shorter than the phrase, which are looked for in the phrase."""
+    return t.read("part").select("p_partkey", fuzzy.fuzzy_contains("p_name", LONG_NEEDLE, 0.7).cast("int").alias("hit"))
+
+
 @query
 def fuzzy_find(t: Tables) -> DataFrame:
     span = t.spread("documents", "doc_id").select("doc_id", fuzzy.fuzzy_find("text", NEEDLE, 0.6).alias("s"))
@@ -752,3 +767,15 @@ def ingest(t: Tables) -> DataFrame:
 @query
 def evaluate(t: Tables) -> DataFrame:
     return _report(evaluate_plan.evaluate(t.ws, t.corpus))
+
+
+@query
+def train_folder(t: Tables) -> DataFrame:
+    return _model_table(training.train_folder(t.ws, t.document_folder(), decode_text))
+
+
+@query
+def ingest_folder(t: Tables) -> DataFrame:
+    nothing = empty(t.spark, "folder string, name string")
+    rows = ingest_plan.ingest_folder(t.ws, t.page_folder(), decode_text, _model(t), nothing, JobSettings(as_of=AS_OF))
+    return rows.groupBy("bucket", "subfolder", "action").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("dst").alias("n_targets"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,6 +170,16 @@ class Tables:
             .csv(root)
         )
 
+    def document_folder(self) -> str:
+        """A folder of documents as files, each in the folder of its language and source."""
+        root = self.ws.path("archive")
+        body = F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text"))
+        line = F.regexp_replace(F.base64(body.cast("binary")), "[\r\n]", "")
+        rows = self.documents.select("lang", "source", line.alias("line"))
+        writer = rows.repartition("lang", "source").write.partitionBy("lang", "source")
+        writer.option("extension", "pdf").option("maxRecordsPerFile", 1).csv(root)
+        return root
+
     def page_folder(self) -> str:
         """A folder of page files: three quarters at the top, a quarter below, and some notes."""
         root = self.ws.path("inbox")
@@ -180,6 +191,17 @@ class Tables:
         return root
 
 
+def _body(content: bytes) -> tuple[str, str]:
+    body = base64.b64decode(content.strip(), validate=True).decode("utf-8")
+    number, _, text = body.partition("|")
+    return number, text
+
+
+def decode_text(content: bytes) -> list[str]:
+    """Page reader for the same files that leaves out the number."""
+    return [_body(content)[1]]
+
+
 def page_of_file(files: DataFrame) -> DataFrame:
     """``path, page_id, html`` of file rows written by ``write_files``."""
     body = F.unbase64(F.rtrim(F.col("content").cast("string"), F.lit("\n"))).cast("string")
@@ -192,8 +214,5 @@ def page_of_file(files: DataFrame) -> DataFrame:
 
 def decode_page(content: bytes) -> list[str]:
     """Page reader for files written by ``write_files``."""
-    import base64
-
-    body = base64.b64decode(content.strip(), validate=True).decode("utf-8")
-    number, _, html = body.partition("|")
-    return [number, "", html]
+    number, text = _body(content)
+    return [number, "", text]

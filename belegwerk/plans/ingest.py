@@ -14,6 +14,7 @@ from belegwerk.operators.filing import manifest, route, tax_copies
 from belegwerk.operators.metadata import Extractor, extract_missing, fill_metadata
 from belegwerk.operators.rules import apply_rules
 from belegwerk.settings import JobSettings
+from belegwerk.sources.files import PageReader, page_text, read_pages, scan_inbox
 from belegwerk.workspace import Workspace
 
 
@@ -66,3 +67,34 @@ def ingest(
     extractor: Callable[[], Extractor] | None = None,
 ) -> DataFrame:
     return file_away(ws, understand(ws, docs, model, job, extractor), existing, job)
+
+
+def read_inbox(ws: Workspace, files: DataFrame, reader: PageReader) -> DataFrame:
+    """Staged ``doc_id, path, text, mtime, error`` of file rows; ``doc_id`` is the path.
+
+    A file that cannot be read has an empty text and the error; the others go on. The contents are read
+    once, here.
+    """
+    pages = read_pages(files, reader, keep="modificationTime timestamp")
+    rows = pages.select(
+        F.col("path").alias("doc_id"),
+        "path",
+        F.coalesce(page_text("pages"), F.lit("")).alias("text"),
+        F.col("modificationTime").alias("mtime"),
+        "error",
+    )
+    return ws.stage(rows, "inbox")
+
+
+def ingest_folder(
+    ws: Workspace,
+    root: str,
+    reader: PageReader,
+    model: Model,
+    existing: DataFrame,
+    job: JobSettings,
+    extractor: Callable[[], Extractor] | None = None,
+) -> DataFrame:
+    """The manifest of the PDF files directly in a folder: scan, read, classify, name, route, file."""
+    docs = read_inbox(ws, scan_inbox(ws.spark, root), reader).drop("error")
+    return ingest(ws, docs, model, existing, job, extractor)

@@ -7,7 +7,7 @@ import re
 from belegwerk import settings
 from belegwerk.functions.fuzzy import _norm
 from belegwerk.plans import fuzzy_sql
-from belegwerk.plans.catalog import NEEDLE
+from belegwerk.plans.catalog import LONG_NEEDLE, NEEDLE
 from belegwerk.plans.derived import AS_OF, MONTH_TITLES
 
 NEWEST = AS_OF.year + 1
@@ -78,6 +78,17 @@ def replied(column: str, key: str) -> str:
     return f"CASE WHEN CASE WHEN json_valid({column}) THEN {complete} ELSE false END THEN json_extract_string({column}, '$.{key}') END"
 
 
+def _whole_match(key: str, norm_sql: str, table: str, pattern: str, cutoff: int) -> str:
+    """``key, hit``: whether the whole normalised text is like the pattern."""
+    m = len(pattern)
+    full = (1 << m) - 1
+    return f"""SELECT id AS {key}, coalesce(n > 0 AND (1.0::DOUBLE - (n + {m} - 2 * l) / (n + {m})::DOUBLE) * 100 >= {cutoff}, false)::INTEGER AS hit FROM (
+      SELECT id, length(norm) AS n, {m} - bit_count(list_reduce(list_transform(string_split(norm, ''),
+        lambda c: ({fuzzy_sql.mask('c', pattern)})::BIGINT),
+        lambda s, b: ((s + (s & b)) | (s - (s & b))) & {full}, {full}::BIGINT)) AS l
+      FROM (SELECT {key} AS id, {norm_sql} AS norm FROM {table}))"""
+
+
 # Named steps with what they need; a query pulls in the ones it uses.
 STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "norms": ((), f"SELECT doc_id, {norm('text')} AS norm FROM documents"),
@@ -383,6 +394,19 @@ def oracles() -> dict[str, str]:
             "SELECT (SELECT count(DISTINCT label) FROM corpus) AS n_classes, (SELECT count(*) FROM vocab) AS n_terms", "vocab"
         ),
         "model_roundtrip": build(MODEL_TABLE, *MODEL),
+        "train_folder": build(
+            MODEL_TABLE,
+            *MODEL,
+            fitted=f"""SELECT doc_id, 'lang=' || lang || '/source=' || source AS label, norm FROM documents JOIN norms USING (doc_id)
+            WHERE length(trim(norm)) > {settings.MIN_TEXT}""",
+        ),
+        "ingest_folder": build(
+            """SELECT bucket, subfolder, 'MOVE' AS action, count(*) AS n_files, count(*) AS n_targets
+            FROM (SELECT subfolder, CASE WHEN confidence >= 0.75 THEN 'Review' ELSE 'Unsure' END AS bucket
+              FROM best JOIN pages ON page_id = doc_id WHERE page_id % 4 <> 3) GROUP BY bucket, subfolder""",
+            "best",
+            scored_docs=f"SELECT page_id AS doc_id, {norm('html')} AS norm FROM pages",
+        ),
         # Files at the top of the folder have no label.
         "train": build(MODEL_TABLE, *MODEL, fitted="SELECT doc_id, label, norm FROM corpus WHERE doc_id % 50 <> 0"),
         "class_filter": build("SELECT doc_id, label FROM fine JOIN fine_sizes USING (label) WHERE n_docs >= 2", "fine_sizes"),
@@ -540,12 +564,11 @@ def oracles() -> dict[str, str]:
             scored_docs=f"SELECT page_id AS doc_id, {norm('html')} AS norm FROM pages",
         ),
         "stream_retry": "SELECT page_id, 1 AS n_times FROM pages WHERE page_id % 4 <> 3",
-        "fuzzy_match": build(
-            f"""SELECT id AS p_partkey, ((1.0::DOUBLE - (n + 18 - 2 * l) / (n + 18)::DOUBLE) * 100 >= 60)::INTEGER AS hit FROM (
-              SELECT id, length(norm) AS n, 18 - bit_count(list_reduce(list_transform(string_split(norm, ''),
-                lambda c: ({fuzzy_sql.mask('c', 'small ring economy')})::BIGINT),
-                lambda s, b: ((s + (s & b)) | (s - (s & b))) & {(1 << 18) - 1}, {(1 << 18) - 1}::BIGINT)) AS l
-              FROM (SELECT p_partkey AS id, {norm("p_name || ', ' || p_type")} AS norm FROM part))"""
+        "fuzzy_match": build(_whole_match("p_partkey", norm("p_name || ', ' || p_type"), "part", "small ring economy", 60)),
+        "fuzzy_match_docs": build(_whole_match("doc_id", norm("text"), "documents", _norm(NEEDLE), 50)),
+        "fuzzy_short": build(
+            f"""SELECT p_partkey, coalesce(score >= {0.7 * 100}::DOUBLE, false)::INTEGER AS hit FROM part
+            LEFT JOIN ({fuzzy_sql.part_scores(f"(SELECT p_partkey AS id, {norm('p_name')} AS norm FROM part)", _norm(LONG_NEEDLE))}) p ON p.id = p_partkey"""
         ),
         "fuzzy_contains": build(
             f"""SELECT doc_id, coalesce(score >= {0.6 * 100}::DOUBLE, false)::INTEGER AS hit FROM norms

@@ -58,14 +58,18 @@ def watch_inbox(spark: SparkSession, root: str, files_per_batch: int | None = No
     return reader.load(_top_level(root))
 
 
-def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
+def read_pages(files: DataFrame, reader: PageReader, keep: str = "") -> DataFrame:
     """``path, pages, error`` of ``path, content`` with a user-supplied reader.
 
-    A file that cannot be read has null pages and the error's text; the other files go on.
+    A file that cannot be read has null pages and the error's text; the other files go on. ``keep`` names
+    further columns to carry along, as ``name type, ...``.
     """
+    kept = [field.split()[0] for field in keep.split(",") if field.strip()]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             pages: list = []
             errors: list = []
             for content in batch["content"]:
@@ -75,11 +79,11 @@ def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
                 except Exception as error:  # whatever a reader raises is data here
                     pages.append(None)
                     errors.append(f"{type(error).__name__}: {error}")
-            yield pd.DataFrame({"path": batch["path"], "pages": pages, "error": errors})
+            found = pd.DataFrame({"path": batch["path"], "pages": pages, "error": pd.Series(errors, dtype=object)})
+            yield found.assign(**{name: batch[name] for name in kept})
 
-    return files.select("path", "content").mapInPandas(
-        read, "path string, pages array<string>, error string"
-    )
+    schema = "path string, pages array<string>, error string" + (f", {keep}" if kept else "")
+    return files.select("path", "content", *kept).mapInPandas(read, schema)
 
 
 def page_text(pages: Column | str) -> Column:

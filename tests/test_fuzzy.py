@@ -132,3 +132,18 @@ def test_pattern_of_several_limbs():
     pattern, text = "abcä" * 35, "xabcäab" * 40
     assert fuzzy.part_ratio([text], pattern)[0] == pytest.approx(part(text, pattern))
     assert fuzzy.whole_ratio([text], pattern)[0] == pytest.approx(ratio(text, pattern))
+
+
+def test_many_short_texts_go_in_step():
+    """Texts shorter than the pattern are compared by length, not one by one."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdef "), rng.integers(1, 14))) for _ in range(20_000)]
+    begin = time.perf_counter()
+    got = fuzzy.part_ratio(texts, "abc def fade bead cab")
+    assert time.perf_counter() - begin < 10
+    for i in range(0, 20_000, 997):
+        assert got[i] == pytest.approx(fuzzy._best_window(["abc def fade bead cab"], texts[i])[0])
