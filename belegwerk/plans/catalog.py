@@ -777,5 +777,5 @@ def train_folder(t: Tables) -> DataFrame:
 @query
 def ingest_folder(t: Tables) -> DataFrame:
     nothing = empty(t.spark, "folder string, name string")
-    rows = ingest_plan.ingest_folder(t.ws, t.page_folder(), decode_text, _model(t), nothing, JobSettings(as_of=AS_OF))
+    rows = ingest_plan.ingest_folder(t.ws, t.page_folder(), decode_text, _model(t), nothing, JobSettings(as_of=AS_OF), CharacterCount)
     return rows.groupBy("bucket", "subfolder", "action").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("dst").alias("n_targets"))

@@ -153,3 +153,88 @@ def test_stream_takes_each_file_once_and_replays_a_failed_batch(spark, tmp_path)
     metrics = intake.metrics(spark, out)
     assert sorted(map(tuple, metrics.collect())) == [(0, 1, 1), (1, 1, 1)]
     assert intake.totals(metrics).first().asDict() == {"n_batches": 2, "n_files": 2, "n_rows": 2}
+
+
+def test_train_folder_reads_each_content_once(spark, ws, tmp_path):
+    from belegwerk.plans.training import folder_corpus
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    root = tmp_path / "root"
+    texts = {"a/x.pdf": "one text to read", "a/copy.pdf": "one text to read", "b/c/y.PDF": "another text here", "top.pdf": "no label at all", "b/bad.pdf": "bad"}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    def reader(content, folder=str(calls)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").write(content.decode())
+        if content == b"bad":
+            raise ValueError("no page")
+        return [content.decode()]
+
+    cache = str(tmp_path / "cache")
+    for total in (3, 4):
+        rows = folder_corpus(ws, f"file://{root}", reader, cache).collect()
+        assert sorted((r.label, r.norm) for r in rows) == [("a", "one text to read")] * 2 + [("b/c", "another text here")]
+        # The unreadable file is tried again, the others are not.
+        assert len(list(calls.iterdir())) == total
+
+
+def test_scanned_paths_have_labels_and_targets(spark, tmp_path):
+    from belegwerk.functions.paths import label_of
+    from belegwerk.sources.files import scan_corpus, scan_inbox, scan_review
+
+    for name in ("a/b/x.pdf", "y.pdf", "year=2024/z.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    root = str(tmp_path)
+    assert {r[0] for r in scan_corpus(spark, root).select(label_of("path", root)).collect()} == {"a/b", None, "year=2024"}
+    assert [r.path.rsplit("/", 1)[1] for r in scan_inbox(spark, root).collect()] == ["y.pdf"]
+    assert scan_inbox(spark, f"{root}/a").count() == 0
+    plan = filing.promotion_plan(scan_review(spark, root), root, "/Archiv")
+    assert {r.dst for r in plan.collect()} == {"/Archiv/a/b/x.pdf", "/Archiv/y.pdf", "/Archiv/year=2024/z.pdf"}
+    dirs = spark.createDataFrame([(f"{root}/a",), (f"file:{root}/a/b",), (f"{root}/none",)], "path string")
+    assert [r.dir for r in filing.empty_dirs(dirs, scan_review(spark, root), root).collect()] == [f"{root}/none"]
+    with pytest.raises(filing.PromotionConflict):
+        filing.promote(filing.promotion_plan(scan_review(spark, root), "/elsewhere", "/Archiv"), plan.selectExpr("dst as path"))
+
+
+def test_unusable_caches_are_replaced(spark, ws, tmp_path):
+    files = spark.createDataFrame([("h1", "A"), ("h2", "B")], "content_hash string, text string")
+
+    def read(rows):
+        return rows.selectExpr("content_hash", "lower(text) as norm_text")
+
+    garbage, foreign, double = (str(tmp_path / n) for n in ("garbage", "foreign", "double"))
+    (tmp_path / "garbage").mkdir()
+    (tmp_path / "garbage" / "part-0.parquet").write_bytes(b"PAR1 no table")
+    spark.range(3).write.parquet(foreign)
+    twice = spark.createDataFrame([("h1", "a"), ("h1", "a")], "content_hash string, norm_text string")
+    twice.write.parquet(double)
+    for path in (garbage, foreign, double):
+        cache = text_cache.refresh_cache(ws, files, path, read)
+        assert sorted(cache.collect()) == [("h1", "a"), ("h2", "b")]
+        assert text_cache.with_cached_text(files, cache).count() == 2
+
+
+def test_replies_must_be_one_object(spark):
+    from belegwerk.functions.replies import parse_reply
+
+    good = '{"date":"2024.1.1","subject":""}'
+    rows = [good, f" {good} ", f"{good} danke", good + '{"a":1}', good.replace('"', "'"), f"[{good}]", good + ',"end":1', "", None]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string")
+    assert [r.i for r in frame.where(parse_reply("r").isNotNull()).orderBy("i").collect()] == [0, 1]
+
+
+def test_refusals_are_data(spark, ws):
+    from belegwerk.plans.evaluate import evaluate
+    from belegwerk.plans.training import try_fit
+
+    apart = spark.createDataFrame([(i, "ab"[i % 2], f"word{i} only{i}") for i in range(20)], "doc_id long, label string, norm string")
+    assert [r.kind for r in evaluate(ws, ws.stage(apart, "apart")).collect()] == ["refused"]
+    model, row = try_fit(ws, apart)
+    assert model is None and row.first().reason and row.first().n_docs == 20
+    model, row = try_fit(ws, apart.limit(0))
+    assert model is None and row.first().reason == "no training data"
