@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,12 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow column one by one, so that a batch never stands there as Python objects."""
+    for value in column:
+        yield value.as_py()
+
+
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Column names like ``names`` that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
