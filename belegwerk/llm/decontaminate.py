@@ -7,11 +7,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import spread_rows
+from belegwerk.llm.common import fresh, spread_rows, texts_of
 from belegwerk.workspace import Workspace
 
 MIN_TILE = 5
@@ -47,6 +47,11 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * _powers(len(ids) - size + 1, inverse)
 
 
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted, non-empty ``table``."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int, first: int = FIRST_LENGTH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(start in item, start in doc, length)`` of non-overlapping equal runs.
 
@@ -62,9 +67,9 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int, first: int = FIRST_LENG
         found: list[tuple[int, int, int]] = []
         restart = 0
         doc_hashes, item_hashes = window_hashes(doc, size), window_hashes(item, size)
-        hit = np.flatnonzero(np.isin(doc_hashes, item_hashes))
+        hit = np.flatnonzero(among(doc_hashes, np.sort(item_hashes))) if len(item_hashes) else []
         places: dict[int, list[int]] = defaultdict(list)
-        for d in hit.tolist():
+        for d in map(int, hit):
             if not marked_doc[d : d + size].any():
                 places[int(doc_hashes[d])].append(d)
         for i, h in enumerate(item_hashes.tolist()):
@@ -133,7 +138,7 @@ class Items:
             if not len(inside):
                 continue
             h = window_hashes(ids, size)[inside]
-            for seed in np.unique(h[np.isin(h, hashes)]).tolist():
+            for seed in set(h[among(h, hashes)].tolist()):
                 for k in of[seed]:
                     shared[k].add(seed)
         out = []
@@ -141,7 +146,7 @@ class Items:
             item_id, item, size = self.items[k]
             # No tiling covers more than the shared seeds do.
             reach = np.zeros(len(item) + 1, np.int64)
-            starts = np.flatnonzero(np.isin(window_hashes(item, size), np.array(list(found), np.uint64)))
+            starts = np.flatnonzero(among(window_hashes(item, size), np.array(sorted(found), np.uint64)))
             np.add.at(reach, starts, 1)
             np.add.at(reach, starts + size, -1)
             if (np.cumsum(reach[:-1]) > 0).mean() < coverage:
@@ -194,19 +199,19 @@ def leaks(
     for block in _blocks(ws, benchmark, item_key, item_text, block_chars):
         sent = sc.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, least)
-            for pdf in batches:
+            for batch in batches:
                 best = []
-                for t in pdf["text"]:
+                for t in texts_of(batch["text"]):
                     found = items.matches(t, coverage)
                     top = min(found, key=lambda m: (-m[1], m[0] is None, m[0] or 0), default=(None, None))
                     best.append((*top, len(found)))
-                frame = pd.DataFrame(best, columns=["item_id", "coverage", "n_items"])
-                frame["item_id"] = frame["item_id"].astype("Int64")
-                yield frame.assign(doc_id=pdf["doc_id"].astype("Int64").array)
+                kinds = (pa.int64(), pa.float64(), pa.int64())
+                columns = [pa.array([b[i] for b in best], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, batch["doc_id"]], ["item_id", "coverage", "n_items", "doc_id"])
 
-        passes.append(rows.mapInPandas(run, "item_id long, coverage double, n_items long, doc_id long"))
+        passes.append(rows.mapInArrow(run, "item_id long, coverage double, n_items long, doc_id long"))
     if not passes:
         return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"), F.lit(0).cast("long").alias("n_items"))
     if len(passes) == 1:
@@ -224,5 +229,7 @@ def leaks(
 
 def clean(ws: Workspace, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null key stay."""
-    found = ws.stage(leaks(ws, docs, benchmark, key, text).where("contaminated").select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, F.col(key) == F.col("_leak"), "left_anti")
+    (name,) = fresh(docs, "_leak")
+    found = leaks(ws, docs, benchmark, key, text).where("contaminated and doc_id is not null")
+    found = ws.stage(found.select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(found, F.col(key) == F.col(name), "left_anti")
