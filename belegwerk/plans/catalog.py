@@ -696,6 +696,28 @@ def stream_once(t: Tables) -> DataFrame:
     )
 
 
+@query
+def stream_settled(t: Tables) -> DataFrame:
+    """Two waves of files while the inbox is busy, then a time at which it has been quiet for long."""
+    root, ticks, out = t.ws.path("busy"), t.ws.path("ticks"), t.ws.path("settled")
+
+    def run(seconds: int) -> None:
+        newest = F.max(F.col("modificationTime") + F.make_dt_interval(secs=F.lit(seconds)))
+        src.scan_inbox(t.spark, root).agg(newest.alias("ts")).write.mode("append").parquet(ticks)
+        clock = t.spark.readStream.schema("ts timestamp").parquet(ticks)
+        files = lambda: src.scan_inbox(t.spark, root)
+        stream = src.watch_inbox(t.spark, root)
+        intake.start_settled(stream, clock, files, _page_rows, out, SETTLE_SECONDS).awaitTermination()
+
+    for wave in (0, 1):
+        t.write_files(t.page_files.where(f"page_id % 2 = {wave}"), root, "pdf")
+        run(SETTLE_SECONDS // 2)
+    run(2 * SETTLE_SECONDS)
+    return intake.sink_rows(t.spark, out).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_times"), F.max("batch_id").cast("long").alias("batch_id")
+    )
+
+
 @query
 def stream_metrics(t: Tables) -> DataFrame:
     out = t.ws.path("metrics")

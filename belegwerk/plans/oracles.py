@@ -553,6 +553,7 @@ def oracles() -> dict[str, str]:
         "settle_stream": build(f"SELECT {SESSION_COLUMNS} FROM sessions", "sessions"),
         "stream_intake": f"SELECT {DIGEST} FROM pages WHERE page_id % 4 <> 3",
         "stream_once": "SELECT page_id, 1 AS n_times, page_id % 2 AS batch_id FROM pages",
+        "stream_settled": "SELECT page_id, 1 AS n_times, 2 AS batch_id FROM pages",
         "stream_metrics": "SELECT page_id % 2 AS batch_id, count(*) AS n_files, count(*) AS n_rows FROM pages GROUP BY 1",
         "stream_process": build(
             """SELECT doc_id, CASE WHEN k = 0 THEN base ELSE base || ' (' || k || ')' END || '.pdf' AS dst, bucket, subfolder, 'MOVE' AS action

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from belegwerk import settings
 from belegwerk.functions.paths import file_name, parent
 from belegwerk.operators.bayes import Model
 from belegwerk.operators.metadata import Extractor
@@ -44,6 +45,59 @@ def start(stream: DataFrame, process: Process, out: str, available_now: bool = T
     return writer.start()
 
 
+def start_settled(
+    stream: DataFrame,
+    clock: DataFrame,
+    files: Callable[[], DataFrame],
+    process: Process,
+    out: str,
+    gap_seconds: float = settings.SETTLE_SECONDS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """``start`` for inboxes that are passed on only once they have been quiet for longer than the gap.
+
+    ``stream`` has file rows with ``path, modificationTime``, the folder of a file is its inbox. ``clock`` is
+    a stream with a column ``ts`` of times that have passed, without which a quiet stream has no batches.
+    Files that are not settled stay in a small table, one version per batch under ``out/pending``;
+    ``files`` lists what is there now with contents, so a file that has been written to since is held
+    back and one that has gone is forgotten. ``process`` gets all files of the settled inboxes. A
+    replayed batch reads the version before it and overwrites its own.
+    """
+    gap = F.make_dt_interval(secs=F.lit(gap_seconds))
+    arrivals = stream.select("path", F.col("modificationTime").alias("ts"))
+    both = arrivals.unionByName(clock.select(F.lit(None).cast("string").alias("path"), "ts"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("path", "ts").unionByName(pending_files(spark, out, batch_id))
+        # The clock's newest time goes along with the pending files, so it never goes back.
+        rows = Workspace(spark).stage(rows, f"arrivals-{batch_id}")
+        now = rows.where("path is null").agg(F.max("ts").alias("now"))
+        there = files().select("path", "modificationTime")
+        waiting = rows.where("path is not null").select("path").distinct().join(there, "path")
+        waiting = waiting.withColumn("inbox", parent("path"))
+        last = waiting.groupBy("inbox").agg(F.max("modificationTime").alias("last"))
+        marked = waiting.join(last.select("inbox", (F.col("last") + gap < now.scalar()).alias("quiet")), "inbox")
+        marked = Workspace(spark).stage(marked, f"marked-{batch_id}")
+        settled = files().join(marked.where("quiet").select("path"), "path", "left_semi")
+        process(settled, batch_id).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        held = marked.where("not coalesce(quiet, false)").select("path", F.col("modificationTime").alias("ts"))
+        held = held.unionByName(now.select(F.lit(None).cast("string").alias("path"), F.col("now").alias("ts")))
+        held.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
+
+    writer = both.writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def pending_files(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """``path, ts`` that the last batch before this one has left; only that version is read."""
+    if batch_id == 0:
+        return empty(spark, "path string, ts timestamp")
+    return spark.read.parquet(f"{out}/pending/batch_id={batch_id - 1}").select("path", "ts")
+
+
 def sink_rows(spark: SparkSession, out: str) -> DataFrame:
     """All rows written so far, with their ``batch_id``."""
     return spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch_id=*")

@@ -1,6 +1,7 @@
 """Manifests, promotion, cache, readers and streams."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,13 @@ def test_refusals_are_data(spark, ws):
     assert model is None and row.first().reason and row.first().n_docs == 20
     model, row = try_fit(ws, apart.limit(0))
     assert model is None and row.first().reason == "no training data"
+
+
+def test_workspace_removes_its_tables(spark):
+    from belegwerk.workspace import Workspace
+
+    with Workspace(spark) as run:
+        assert run.stage(spark.range(3), "some").count() == 3
+        folder = Path(run.root.removeprefix("file:"))
+        assert folder.exists()
+    assert not folder.exists()
