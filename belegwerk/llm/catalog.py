@@ -23,7 +23,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(Workspace(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import fresh, spread_rows, texts_of
+from belegwerk.llm.common import spread_rows, texts_of
+from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
 MIN_TILE = 5
@@ -229,7 +230,6 @@ def leaks(
 
 def clean(ws: Workspace, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null key stay."""
-    (name,) = fresh(docs, "_leak")
     found = leaks(ws, docs, benchmark, key, text).where("contaminated and doc_id is not null")
-    found = ws.stage(found.select(F.col("doc_id").alias(name)).distinct(), "leaks")
-    return docs.join(found, F.col(key) == F.col(name), "left_anti")
+    found = ws.stage(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return lookup_join(docs, found, key, "left_anti")

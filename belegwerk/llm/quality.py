@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from belegwerk.llm.common import crc_mod, partitions, spread_rows
-from belegwerk.workspace import Workspace
+from belegwerk.llm.common import crc_mod, fresh, partitions, spread_rows, texts_of
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -26,7 +27,7 @@ EPOCHS = 60
 THRESHOLD = 0.7
 FAN_IN = 32
 # Texts are handled in pieces of about this many bytes.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _SPACE, _WORD, _MARK = 0, 1, 2
 
@@ -79,18 +80,18 @@ def index_vectors(buckets: int = BUCKETS, dims: int = DIMS, nonzero: int = NONZE
     return out
 
 
-def chunked(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes in runs of about ``size`` bytes, with the place of the first."""
-    run, first, total = [], 0, 0
-    for i, text in enumerate(texts):
+def chunked(texts: Iterable[str | None], size: int = CHUNK) -> Iterator[list[bytes]]:
+    """Texts as bytes in runs of about ``size`` bytes; null is empty."""
+    run, total = [], 0
+    for text in texts:
         data = text.encode() if text else b""
         run.append(data)
         total += len(data)
         if total >= size:
-            yield first, run
-            run, first, total = [], i + 1, 0
+            yield run
+            run, total = [], 0
     if run:
-        yield first, run
+        yield run
 
 
 def _neighbour_sums(bucket: np.ndarray, of: np.ndarray, base: np.ndarray, sums: np.ndarray) -> None:
@@ -120,21 +121,22 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     parts = 16
     per = BUCKETS // parts
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMS), np.float64)
-        for pdf in batches:
-            for _, run in chunked(pdf["text"].tolist()):
+        for batch in batches:
+            for run in chunked(texts_of(batch["text"])):
                 _neighbour_sums(*token_buckets(run), base, sums)
         task = TaskContext.get().partitionId()
         blobs = [sums[p * per : (p + 1) * per].astype("<i4").tobytes() for p in range(parts)]
-        yield pd.DataFrame({"part": range(parts), "task": task, "sums": blobs})
+        columns = [pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "task", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum((np.frombuffer(b, "<f8" if len(b) == per * DIMS * 8 else "<i4").astype(np.float64) for b in pdf["sums"]), np.zeros(per * DIMS))
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "task": pdf["task"].iloc[0] // FAN_IN, "sums": [total.tobytes()]})
 
     schema = "part int, task int, sums binary"
-    table, n = source.mapInPandas(count, schema), partitions(source)
+    table, n = source.mapInArrow(count, schema), partitions(source)
     while True:
         n = -(-n // FAN_IN)
         table = table.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("slice")).applyInPandas(add, schema)
@@ -241,8 +243,61 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, logits) - y * logits))
 
 
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    folds: int = 4,
+    held: int = 2,
+    max_labelled: int = MAX_LABELLED,
+) -> tuple[np.ndarray, Network]:
+    """Word vectors of all texts, ready for ``pool``, and the network.
+
+    The network learns from labelled rows outside the held-out fold only, at most ``max_labelled`` of them,
+    the first by a seeded hash of the key. So few rows are sent to the texts, which stay where they are.
+    """
+    squared = with_squares(word_vectors(docs, text))
+    given = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
+    given = given.where(crc_mod("doc_id", folds) != held).withColumn("_draw", F.xxhash64(F.lit(SEED), "doc_id"))
+    given = given.orderBy("_draw", "doc_id", "y").limit(max_labelled).drop("_draw")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sample = source.join(F.broadcast(given), "doc_id").select("doc_id", "y", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(squared)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], _lists(_pooled(batch["text"], sent.value))], ["doc_id", "y", "x"])
+
+    rows = sample.mapInArrow(features, "doc_id long, y int, x array<float>").toPandas().sort_values(["doc_id", "y"])
+    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), squared.shape[1] + 1)
+    return squared, fit_network(x, (rows["y"].to_numpy() > 0).astype(np.float64))
+
+
+def _pooled(texts: pa.Array, squared: np.ndarray) -> np.ndarray:
+    rows = [pool(run, squared) for run in chunked(texts_of(texts))]
+    return np.concatenate([np.zeros((0, squared.shape[1] + 1), np.float32), *rows])
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
+def with_scores(docs: DataFrame, squared: np.ndarray, net: Network, text: str, out: str) -> DataFrame:
+    """``docs`` with a column ``out``: the network's probability for each whole text. Rows stay where they are."""
+    sent = docs.sparkSession.sparkContext.broadcast((squared, net))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squared, net = sent.value
+            score = net.probability(_pooled(batch[text], squared).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, out])
+
+    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+
+
 def score(
-    ws: Workspace,
     docs: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
@@ -255,33 +310,20 @@ def score(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Word vectors come from all texts. The network learns from labelled rows outside the held-out
-    fold only, at most ``max_labelled`` of them, and sees nothing but the text's pooled vector. Whole
-    texts count; null and empty ones have a zero vector and get a score as well. A null key is never held
-    out. Rows with a null label teach nothing; repeated labels of a key count once each.
+    Word vectors come from all texts, labels from outside the held-out fold, and the network sees nothing
+    but the text's pooled vector. Whole texts count; null and empty ones have a zero vector and get a
+    score as well. A null key is never held out. Rows with a null label teach nothing; repeated labels
+    of a key count once each.
     """
-    vectors = docs.sparkSession.sparkContext.broadcast(with_squares(word_vectors(docs, text)))
+    squared, net = fit(docs, labels, key, text, label, folds, held, max_labelled)
     source = spread_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    scored = with_scores(source, squared, net, "text", "score").drop("text")
+    held_out = (crc_mod("doc_id", folds) == held).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = np.concatenate([np.zeros((0, 2 * DIMS + 1), np.float32), *[pool(run, vectors.value) for _, run in chunked(pdf["text"].tolist())]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": list(rows)})
 
-    pooled = ws.stage(source.mapInPandas(features, "doc_id long, x array<float>"), "pooled")
-    fold = crc_mod("doc_id", folds)
-    given = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
-    given = given.where(fold != held).withColumn("_draw", F.xxhash64(F.lit(SEED), "doc_id"))
-    given = given.orderBy("_draw", "doc_id", "y").limit(max_labelled)
-    rows = pooled.join(given, "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "y"])
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), 2 * DIMS + 1)
-    net = fit_network(x, (rows["y"].to_numpy() > 0).astype(np.float64))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf["x"].tolist(), np.float64)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": net.probability(x)})
-
-    scored = pooled.mapInPandas(apply, "doc_id long, score double")
-    return scored.select("doc_id", (fold == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, as they are; each row is judged on its own."""
+    squared, net = fit(docs, labels, key, text)
+    (name,) = fresh(docs, "_score")
+    return with_scores(spread_rows(docs), squared, net, text, name).where(F.col(name) >= threshold).drop(name)

@@ -7,13 +7,14 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import fresh, spread_rows, words
+from belegwerk.llm.common import spread_rows, texts_of, words
 from belegwerk.llm.components import components
+from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
 SHINGLE = 4
@@ -52,12 +53,12 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -
     """``doc_id, fp`` for every row; a null text counts as empty."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = [fingerprint(t, shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [fingerprint(t, shingle) for t in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return spread_rows(source).mapInPandas(run, "doc_id long, fp long")
+    return spread_rows(source).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments_for(n: int, radius: int = RADIUS) -> int:
@@ -172,10 +173,11 @@ def representatives(
     Of repeated rows of that key one stays. Rows without a key cannot be told apart and all stay.
     """
     found = ws.stage(near_duplicates(ws, docs, key, text, shingle, radius), "found")
-    (name,) = fresh(docs, "_keep")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    keep = ws.stage(keep.withColumnRenamed("doc_id", name), "keep")
-    kept = docs.join(keep.select(name), F.col(key) == F.col(name), "left_semi")
-    if not keep.where("n_rows > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    # Those that go are fewer than those that stay: a small list is sent to the rows, a large one is shuffled.
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    gone = found.where("doc_id is not null").select("doc_id").distinct().join(stay, "doc_id", "left_anti")
+    kept = lookup_join(docs, ws.stage(gone.withColumnRenamed("doc_id", key), "gone"), key, "left_anti")
+    double = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not double.isEmpty():
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    return kept

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belegwerk.llm import decontaminate, line_dedup, mixing, quality, simhash
-from belegwerk.llm.common import fresh, table
+from belegwerk.llm.common import table
 from belegwerk.workspace import Workspace
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; a rejected key takes all its rows."""
-    ws = Workspace(spark)
-    scored = quality.score(ws, docs, table(spark, sf_dir, "labels"))
-    (name,) = fresh(docs, "_bad")
-    bad = scored.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")
+    """Drops the documents that the quality classifier rejects; each row is judged by its own text."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ def test_held_out_accuracy_and_reruns(spark, ws):
     rows, labels, good = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     marks = spark.createDataFrame(labels, "doc_id long, quality int, text string")
-    got = quality.score(ws, frame, marks).collect()
+    got = quality.score(frame, marks).collect()
     held = [r for r in got if r.held_out]
     assert len(got) == len(rows) and 50 < len(held) < 250
     assert np.mean([(r.predicted == 1) == good[r.doc_id] for r in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
-    again = {r.doc_id: r.score for r in quality.score(ws, frame, marks).collect()}
+    again = {r.doc_id: r.score for r in quality.score(frame, marks).collect()}
     assert max(abs(again[r.doc_id] - r.score) for r in got) < 1e-3
 
 
@@ -40,8 +40,8 @@ def test_held_out_labels_teach_nothing(spark, ws):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, text string")
     turned = marks.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a = {r.doc_id: r.score for r in quality.score(ws, frame, marks).collect()}
-    b = {r.doc_id: r.score for r in quality.score(ws, frame, turned).collect()}
+    a = {r.doc_id: r.score for r in quality.score(frame, marks).collect()}
+    b = {r.doc_id: r.score for r in quality.score(frame, turned).collect()}
     assert max(abs(a[i] - b[i]) for i in a) < 1e-3
 
 
@@ -67,7 +67,10 @@ def test_temperature_lowers_the_loss():
 
 def test_odd_rows(spark, ws, odd, none):
     marks = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (2, None)], "doc_id long, quality int")
-    got = quality.score(ws, odd, marks)
+    got = quality.score(odd, marks)
     assert got.count() == odd.count() and got.where("score is null or predicted is null or held_out is null").count() == 0
-    assert quality.score(ws, none, marks).count() == 0
-    assert quality.score(ws, odd, marks.limit(0)).where("abs(score - 0.5) > 1e-9").count() == 0
+    assert quality.score(none, marks).count() == 0
+    kept = quality.accepted(odd, marks, threshold=0.0)
+    assert kept.schema == odd.schema and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert quality.accepted(none, marks).count() == 0
+    assert quality.score(odd, marks.limit(0)).where("abs(score - 0.5) > 1e-9").count() == 0
