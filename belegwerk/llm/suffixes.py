@@ -35,6 +35,8 @@ BIN_BYTES = 1 << 20
 # Rows of one anchor from which its segments are cut into single windows, which spread by content.
 HOT_ROWS = 1_000_000
 ROWS_PER_TASK = 600_000
+# Different segments of one anchor from which they are cut into single windows too, which keeps bins small.
+DENSE_ROWS = 30_000
 # Longer texts are looked at in overlapping pieces.
 PIECE = 1 << 22
 
@@ -125,7 +127,7 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     """
     symbols = np.concatenate(shards)
     shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    block = np.zeros(len(symbols), np.int64)
+    block = np.zeros(len(symbols), np.int32)
     small = np.uint16 if int(symbols.max(initial=0)) < 1 << 16 else np.uint32
     symbols = symbols.astype(small)
     here = np.empty_like(symbols)
@@ -133,8 +135,8 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
         here[np.argsort(shard, kind="stable")] = symbols
         turn = np.argsort(here, kind="stable")
         shard, ordered, before = shard[turn], here[turn], block[turn]
-        block = np.zeros(len(turn), np.int64)
-        block[1:] = np.cumsum((ordered[1:] != ordered[:-1]) | (before[1:] != before[:-1]))
+        block = np.zeros(len(turn), np.int32)
+        np.cumsum((ordered[1:] != ordered[:-1]) | (before[1:] != before[:-1]), out=block[1:])
     return shard, block
 
 
@@ -167,14 +169,15 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH, symbol: int = SYM
         grams = grams << np.uint64(8) | joined[i : i + len(grams)]
     first = np.cumsum(sizes) - sizes
     # All phases of all parts: part, byte of each symbol; -1 ends each phase.
-    texts, places = [], []
+    places = []
     for at, n in zip(first.tolist(), sizes.tolist()):
         for phase in range(symbol):
-            places.append(np.arange(at + phase, at + n - symbol + 1, symbol))
-            places.append(np.full(1, -1))
+            places.append(np.arange(at + phase, at + n - symbol + 1, symbol, dtype=np.int32))
+            places.append(np.full(1, -1, np.int32))
     place = np.concatenate(places)
     _, dense = np.unique(grams[place], return_inverse=True)
-    text = np.where(place >= 0, dense + 1, 0)
+    text = np.where(place >= 0, dense + 1, 0).astype(np.int32)
+    del dense
     cuts, last, total = [0], 0, 0
     ends = np.cumsum([sum(len(p) for p in places[i : i + 2 * symbol]) for i in range(0, len(places), 2 * symbol)])
     for end in ends.tolist():
@@ -277,7 +280,15 @@ def hot_anchors(docs: DataFrame, rows: int = HOT_ROWS, length: int = LENGTH, siz
     return np.array([r.key for r in hot], np.int64).view(np.uint64)
 
 
-def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, size: int = GRAM, hot_rows: int = HOT_ROWS, bin_bytes: int = BIN_BYTES) -> DataFrame:
+def repeats(
+    ws: Workspace,
+    docs: DataFrame,
+    length: int = LENGTH,
+    size: int = GRAM,
+    hot_rows: int = HOT_ROWS,
+    dense_rows: int = DENSE_ROWS,
+    bin_bytes: int = BIN_BYTES,
+) -> DataFrame:
     """Runs ``doc_id, start, n`` of bytes in ``docs(doc_id, text)`` covered by strings that also start earlier."""
     spark = docs.sparkSession
     rows_in = docs.where("doc_id is not null and text is not null")
@@ -343,7 +354,12 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, size: int = GR
     mixed = met.where("mixed")
     total = mixed.agg(F.coalesce(F.sum(F.shiftright("at", _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))), F.lit(0))).first()[0]
     bins = max(1, -(-total // bin_bytes))
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
+    # All segments of an anchor are treated alike, so equal windows still meet.
+    dense = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense_rows)
+    dense = ws.stage(dense.select("key", F.lit(True).alias("cut")), "dense")
+    mixed = mixed.withColumn("cut", F.lit(False)) if dense.isEmpty() else mixed.join(dense, "key", "left")
+    entry = F.struct("key", "at", F.coalesce("cut", F.lit(False)).alias("cut"))
+    wanted = mixed.groupBy("doc_id").agg(F.collect_list(entry).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,9 +368,20 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, size: int = GR
             wanted = batch["wanted"]
             of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
             inner = wanted.flatten()
-            key, at = inner.field("key").to_numpy(), inner.field("at").to_numpy()
-            start, long, _ = unpack(at)
+            key, at, cut = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "cut"))
+            start, long, anchor = unpack(at)
             texts = [t.as_py().encode() for t in batch["text"]]
+            if cut.any():
+                n = np.where(cut, long - length + 1, 1)
+                each = np.repeat(np.arange(len(at)), n)
+                step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                of, cut, start, anchor = of[each], cut[each], start[each] + step, anchor[each] - step
+                long = np.where(cut, length, long[each])
+                at, key = pack(start, long, anchor), key[each]
+                digest = xxhash.xxh3_64_intdigest
+                single = np.flatnonzero(cut)
+                windows = [digest(texts[i][s : s + length], 1) for i, s in zip(of[single].tolist(), start[single].tolist())]
+                key[single] = np.array(windows, np.uint64).view(np.int64)
             data = [texts[i][s : s + n] for i, s, n in zip(of.tolist(), start.tolist(), long.tolist())]
             doc = batch["doc_id"].to_numpy()[of]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, doc, at)] + [pa.array(data, pa.binary())], ["key", "doc_id", "at", "data"])
@@ -380,7 +407,9 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, size: int = GR
     return whole.union(found)
 
 
-def remove_repeats(ws: Workspace, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, size: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_repeats(
+    ws: Workspace, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, size: int = GRAM, hot_rows: int = HOT_ROWS, dense_rows: int = DENSE_ROWS
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans`` for every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a
@@ -389,7 +418,7 @@ def remove_repeats(ws: Workspace, docs: DataFrame, key: str = "doc_id", text: st
     no place in the order: they lose nothing and remove nothing. ``spans`` are the removed ranges.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = repeats(ws, rows, length, size, hot_rows)
+    found = repeats(ws, rows, length, size, hot_rows, dense_rows)
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,11 +46,11 @@ def texts(seed=1, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot_rows", [suffixes.HOT_ROWS, 3])
-def test_remove_repeats_equals_brute_force(spark, ws, hot_rows):
+@pytest.mark.parametrize(("hot_rows", "dense_rows"), [(suffixes.HOT_ROWS, suffixes.DENSE_ROWS), (3, 10**9), (10**9, 1)])
+def test_remove_repeats_equals_brute_force(spark, ws, hot_rows, dense_rows):
     rows = texts()
     frame = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, kept string")
-    found = suffixes.remove_repeats(ws, frame.repartition(5), hot_rows=hot_rows).collect()
+    found = suffixes.remove_repeats(ws, frame.repartition(5), hot_rows=hot_rows, dense_rows=dense_rows).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert len(found) == len(rows)
     assert got == brute(rows)
@@ -95,3 +95,9 @@ def test_pieces_of_a_long_text(monkeypatch):
         return [(int(h), int(p), s) for h, p, a, n in zip(*found) for s in range(a, a + n - suffixes.LENGTH + 1)]
 
     assert anchors(whole) == anchors(pieces)
+
+
+def test_odd_rows(ws, odd, none):
+    got = suffixes.remove_repeats(ws, odd)
+    assert got.count() == odd.count() and suffixes.remove_repeats(ws, none).count() == 0
+    assert got.where("doc_id = 2").first().n_bytes == 0
