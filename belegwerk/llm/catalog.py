@@ -41,7 +41,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_boilerplate(Workspace(spark), table(spark, sf_dir, "documents"))
+    kept = line_dedup.drop_boilerplate(Workspace(spark), table(spark, sf_dir, "documents"), merge_copies=True)
     return kept.select("doc_id", "n_lines", "n_dropped", "text")
 
 

@@ -20,15 +20,26 @@ def _mark(line: Column) -> Column:
 
 
 def boilerplate(
-    ws: Workspace, docs: DataFrame, text: str, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    ws: Workspace,
+    docs: DataFrame,
+    text: str,
+    host: str,
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    merge_copies: bool = False,
 ) -> DataFrame:
     """``host_key, marks``: the marks of each host's boilerplate lines.
 
-    A line counts once a page. It is boilerplate if at least ``min_pages`` pages carry it and they
-    are more than ``ratio`` of the host's pages. A host has fewer such lines than the mean number of
-    lines of its pages divided by ``ratio``, so the list is short however many pages there are.
+    A page is a row, or with ``merge_copies`` all rows of a host with one text, null and empty being
+    one too. A line counts once a page. It is boilerplate if at least ``min_pages`` pages carry it and they are more than ``ratio`` of the
+    host's pages. A host has fewer such lines than the mean number of lines of its pages divided by
+    ``ratio``, so the list is short however many pages there are.
     """
     pages = docs.select(null_safe(host).alias("host_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if merge_copies:
+        # 128 bits stand for a text; copies collapse in their own task before anything is sent.
+        same = [F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q")]
+        pages = pages.groupBy("host_key", *same).agg(F.first("text").alias("text"))
     totals = pages.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_pages"))
     marks = F.array_distinct(F.transform(F.split("text", "\n"), _mark))
     lines = spread_rows(pages).select("host_key", F.inline(marks))
@@ -47,15 +58,17 @@ def drop_boilerplate(
     host: str = "source",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    merge_copies: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Lines end at a line feed and are compared without the blanks at their ends; blank lines stay.
     Kept lines stay as they are. A null host is a host of its own. A null text stays null and an
     empty one empty, with no line counted; a text of boilerplate only becomes empty. Repeated rows are
-    pages of their own. Columns named as the new ones are replaced.
+    pages of their own, or one page with ``merge_copies``: then a document does not become boilerplate by
+    its copies; each row is still cleaned. Columns named as the new ones are replaced.
     """
-    lists = boilerplate(ws, docs, text, host, ratio, min_pages)
+    lists = boilerplate(ws, docs, text, host, ratio, min_pages, merge_copies)
     by, marks, split, kept = fresh(docs, "_host", "_marks", "_lines", "_kept")
     lists = lists.withColumnsRenamed({"host_key": by, "marks": marks})
     joined = lookup_join(docs.withColumn(by, null_safe(host)), lists, by, "left")
@@ -73,6 +86,7 @@ def drop_boilerplate(
     )
 
 
+# Counts rows as pages; it agrees with ``merge_copies`` as long as no copies move a line over the ratio.
 SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS row_no, doc_id, source, text FROM documents),
 lines AS (

@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops each source's boilerplate lines from its texts; ``n_chars`` follows the text."""
-    out = line_dedup.drop_boilerplate(Workspace(spark), docs)
+    out = line_dedup.drop_boilerplate(Workspace(spark), docs, merge_copies=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 
-from belegwerk.llm import line_dedup
+from belegwerk.llm import catalog, line_dedup
 
 
 def brute(rows, ratio, least):
@@ -61,3 +63,19 @@ def test_odd_rows(ws, odd, none):
     assert got.count() == odd.count() and got.where("text is null").count() == odd.where("text is null").count()
     assert {r._host for r in got.collect()} == {"h"}
     assert line_dedup.drop_boilerplate(ws, none).count() == 0
+
+
+def test_copies_are_one_page(spark, tmp_path):
+    copy = "\n".join(f"own line {k}" for k in range(6)) + "\nMenu"
+    data = [(i, copy, "s") for i in range(20)] + [(100 + i, f"text {i}\nMenu", "s") for i in range(40)]
+    data += [(200 + i, f"few {i % 2}\nof a small source", "t") for i in range(10)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    path = str(tmp_path)
+    frame.write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in catalog.op7_line_dedup(spark, path).collect()}
+    staged = corpus_pipeline.drop_lines(spark, frame.withColumn("n_chars", F.length("text").cast("long")), path)
+    assert {r.doc_id: r.text for r in staged.collect()} == {i: t for i, (t, _) in got.items()}
+    # A third of the source are copies: they lose the menu only, which 41 different pages carry.
+    assert all(got[i] == (copy.removesuffix("\nMenu"), 1) for i in range(20))
+    assert all(got[100 + i] == (f"text {i}", 1) for i in range(40))
+    assert all(got[i] == (t, 0) for i, t, s in data if s == "t")
