@@ -237,11 +237,11 @@ def is_noise(kind: str, in_article: bool) -> bool:
     return tag not in ("html", "body", "main") and not names.isdisjoint(words)
 
 
-def main_path(wrapper: list) -> str | None:
-    """What marks the article of a host: 'article', 'main', the kind of a block, or None for the whole body.
+def marks_of(wrapper: list) -> list[str]:
+    """What marks the article on pages of a host, best first: 'article', 'main', kinds of blocks.
 
-    Preferred are article elements, then main ones, then blocks named like content; of several the
-    one whose slots stand on most pages, deepest last.
+    Preferred are article elements, then main ones, then blocks named like content; of those the
+    ones whose slots stand on more pages, deepest last.
     """
     found: dict[str, list] = {"article": [], "main": [], "named": []}
 
@@ -260,11 +260,28 @@ def main_path(wrapper: list) -> str | None:
         return slots
 
     walk(wrapper, 0)
-    if found["article"]:
-        return "article"
-    if found["main"]:
-        return "main"
-    return max(found["named"])[2] if found["named"] else None
+    named = dict.fromkeys(kind for _, _, kind in sorted(found["named"], reverse=True))
+    return [*(tag for tag in ("article", "main") if found[tag]), *named]
+
+
+def mark_on(page: Element, marks: list[str]) -> str | None:
+    """The first of ``marks`` that holds text on this very page; None for its whole body."""
+    held: set[str] = set()
+
+    def walk(element: Element, inside: bool) -> bool:
+        text = False
+        for part in _runs(element):
+            if isinstance(part, str):
+                text = True
+            elif not is_noise(part.kind, inside):
+                mine = {part.kind, part.kind.split(" ", 1)[0]}.intersection(marks)
+                if walk(part, inside or bool(mine)):
+                    held.update(mine)
+                    text = True
+        return text
+
+    walk(page, False)
+    return next((m for m in marks if m in held), None)
 
 
 def template_texts(wrapper: list) -> set[str]:
@@ -295,7 +312,8 @@ def template_texts(wrapper: list) -> set[str]:
 
 def extract(page: str | None, wrapper: list) -> str:
     """The article's blocks in page order, joined by two line feeds."""
-    mark, dull = main_path(wrapper), template_texts(wrapper)
+    root, dull = parse(page), template_texts(wrapper)
+    mark = mark_on(root, marks_of(wrapper))
     out: list[str] = []
 
     def walk(element: Element, inside: bool) -> None:
@@ -307,7 +325,7 @@ def extract(page: str | None, wrapper: list) -> str:
                 tag = part.kind.split(" ", 1)[0]
                 walk(part, inside or mark is None or part.kind == mark or tag == mark)
 
-    walk(parse(page), mark is None)
+    walk(root, mark is None)
     return "\n\n".join(out)
 
 

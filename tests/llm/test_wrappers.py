@@ -72,3 +72,19 @@ def test_odd_rows(spark, ws):
     assert got.count() == len(rows) and got.where("text is null").count() == 0
     assert wrappers.main_texts(ws, frame.limit(0)).count() == 0
     assert len(got.where("page_id = 5").first().text.split("\n\n")) == 5001
+
+
+def test_a_host_with_two_templates_keeps_both(spark, ws):
+    rows, want = [], {}
+    for i in range(24):
+        kind = i % 4
+        body = (
+            f"<article><h1>T {i}</h1><p>one {i}</p></article>",
+            f"<div class=content><p>two {i}</p></div><div>beside</div>",
+            f"<main><p>three {i}</p></main><div>beside</div>",
+            f"<div><p>four {i}</p></div><article></article>",
+        )[kind]
+        want[i] = (f"T {i}\n\none {i}", f"two {i}", f"three {i}", f"four {i}")[kind]
+        rows.append((i, "http://two.example/", f"<body><nav>Menu</nav>{body}<footer>End</footer></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in wrappers.main_texts(ws, frame).collect()} == want
