@@ -18,12 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import null_safe, partitions, spread_rows
+from belegwerk.llm.common import null_safe, spread_rows
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
 FAN_IN = 64
-# A text without a slot is template text once this many different pages of the host agree on it.
+# A text without a slot is template text only if this many different pages of the host agree on it,
+# and they are most of the host's.
 AGREE = 5
 
 # Kinds of elements, and words in class names, ids and roles of what is not article.
@@ -48,6 +49,8 @@ MAIN_WORDS = frozenset("content article post entry story main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
 _NAME = re.compile(r"[a-z]+")
+# For Spark: what a page does not show, and its markup.
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[a-z/!?][^>]*>"
 
 
 @dataclass
@@ -284,48 +287,73 @@ def mark_on(page: Element, marks: list[str]) -> str | None:
     return next((m for m in marks if m in held), None)
 
 
-def template_texts(wrapper: list) -> set[str]:
-    """Texts inside a host's articles that all of ``AGREE`` pages or more share in one place, outside of groups.
+def template_texts(wrapper: list) -> tuple[set[int], set[int]]:
+    """Ids of the wrapper's template texts, and of all nodes that hold one.
 
-    Only if something else in the articles differs: else the pages are copies and nothing tells
-    template from text.
+    Template is a text inside the articles, outside of groups, that stands in one place of most of the
+    host's different pages, of ``AGREE`` at least. Only if something else in the articles differs:
+    else nothing tells template from text.
     """
-    texts: set[str] = set()
+    texts: set[int] = set()
+    above: set[int] = set()
     slots = 0
 
-    def walk(node: list, inside: bool, repeated: bool) -> None:
+    def walk(node: list, inside: bool, repeated: bool) -> bool:
         nonlocal slots
         inside = inside or node[0].split(" ", 1)[0] in ("article", "main")
+        holds = False
         for child in node[4]:
             again = repeated or bool(child[2] & REPEATED)
             if child[0] == "#":
                 if inside and child[3] is None:
                     slots += 1
-                elif inside and not again and child[1] >= AGREE and node[0].split(" ", 1)[0] not in ("h1", "p"):
-                    texts.add(child[3])
-            else:
-                walk(child, inside, again)
+                elif inside and not again and child[1] >= AGREE and child[1] * 2 > wrapper[1] and node[0].split(" ", 1)[0] not in ("h1", "p"):
+                    texts.add(id(child))
+                    holds = True
+            elif walk(child, inside, again):
+                holds = True
+        if holds:
+            above.add(id(node))
+        return holds
 
     walk(wrapper, False, False)
-    return texts if slots else set()
+    return (texts, above) if slots else (set(), set())
+
+
+def places(parts: list[Element | str], node: list) -> list[list | None]:
+    """The child of a wrapper's node that each part of a page's block stands for."""
+    kinds: list[str] = []
+    group = []
+    for part in parts:
+        kind = "#" if isinstance(part, str) else part.kind
+        if not kinds or kinds[-1] != kind:
+            kinds.append(kind)
+        group.append(len(kinds) - 1)
+    child: dict[int, list] = {}
+    for x, y in align([c[0] for c in node[4]], kinds):
+        if x is not None and y is not None:
+            child[y] = node[4][x]
+    return [child.get(g) for g in group]
 
 
 def extract(page: str | None, wrapper: list) -> str:
-    """The article's blocks in page order, joined by two line feeds."""
-    root, dull = parse(page), template_texts(wrapper)
+    """The article's blocks in page order, joined by two line feeds, without texts that are template at their place."""
+    root, (dull, above) = parse(page), template_texts(wrapper)
     mark = mark_on(root, marks_of(wrapper))
     out: list[str] = []
 
-    def walk(element: Element, inside: bool) -> None:
-        for part in _runs(element):
+    def walk(element: Element, inside: bool, node: list | None) -> None:
+        parts = list(_runs(element))
+        stand = places(parts, node) if node is not None and id(node) in above else [None] * len(parts)
+        for part, place in zip(parts, stand):
             if isinstance(part, str):
-                if inside and part not in dull:
+                if inside and not (place is not None and id(place) in dull and place[3] == part):
                     out.append(part)
             elif not is_noise(part.kind, inside):
                 tag = part.kind.split(" ", 1)[0]
-                walk(part, inside or mark is None or part.kind == mark or tag == mark)
+                walk(part, inside or mark is None or part.kind == mark or tag == mark, place)
 
-    walk(root, mark is None)
+    walk(root, mark is None, wrapper)
     return "\n\n".join(out)
 
 
@@ -336,12 +364,17 @@ def host_of(url: str) -> F.Column:
 
 
 def infer(ws: Workspace, pages: DataFrame) -> DataFrame:
-    """``host_key, wrapper`` from ``pages(host_key, html)``, over all pages.
+    """``host_key, wrapper`` from ``pages(host_key, html)``, over all pages; those of a host with equal texts are one.
 
     Each task aligns its pages of a host, then the tasks' wrappers are aligned in a tree of at most
     ``FAN_IN`` a step: a wrapper is as large as a page's template, however many pages a host has.
     """
-    source = spread_rows(pages.select("host_key", "html"))
+    # 128 bits stand for a page's text; copies collapse in their own task before anything is sent.
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), _UNSEEN, " ")
+    shown = F.btrim(F.regexp_replace(shown, r"\s+", " "))
+    hashed = pages.select("host_key", "html", F.explode(F.array(shown)).alias("shown"))
+    hashed = hashed.select("host_key", "html", F.xxhash64("shown").alias("p"), F.xxhash64(F.lit(7), "shown").alias("q"))
+    source = hashed.groupBy("host_key", "p", "q").agg(F.min("html").alias("html")).select("host_key", "html")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list] = {}
@@ -366,7 +399,8 @@ def infer(ws: Workspace, pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host_key": pdf["host_key"].iloc[:1], "part": int(pdf["part"].iloc[0]) // FAN_IN, "wrapper": [json.dumps(nodes[0])]})
 
     schema = "host_key string, part int, wrapper string"
-    table, n = source.mapInPandas(learn, schema), partitions(source)
+    # Counting the partitions of a shuffled table would run it; there are no more than these.
+    table, n = source.mapInPandas(learn, schema), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         n = -(-n // FAN_IN)
         table = table.groupBy("host_key", F.floor(F.col("part") / FAN_IN).alias("slice")).applyInPandas(join, schema)

@@ -1,3 +1,5 @@
+import json
+
 from belegwerk.llm import wrappers
 
 
@@ -88,3 +90,17 @@ def test_a_host_with_two_templates_keeps_both(spark, ws):
         rows.append((i, "http://two.example/", f"<body><nav>Menu</nav>{body}<footer>End</footer></body>"))
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {r.page_id: r.text for r in wrappers.main_texts(ws, frame).collect()} == want
+
+
+def test_template_texts_are_those_of_most_pages_at_their_place(spark, ws):
+    rows, want = [], {}
+    for i in range(30):
+        # Ten copies of one article (their marks differ), ten pages with a heading in common, ten others.
+        text = "copied" if i < 10 else f"text {i}"
+        more = "<blockquote>Quoted</blockquote>" if i < 10 else "<h2>Summary</h2><p>Read on</p>" if i < 20 else f"<ul><li>Read on</li></ul><p>more {i}</p>"
+        rows.append((i, "http://one.example/", f"<body><article data-n='{i}'><h1>T</h1><div class=tip>Read on</div><p>{text}</p>{more}</article></body>"))
+        want[i] = "\n\n".join(["T", text, *(["Quoted"] if i < 10 else ["Summary", "Read on"] if i < 20 else ["Read on", f"more {i}"])])
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in wrappers.main_texts(ws, frame).collect()} == want
+    (wrapper,) = wrappers.infer(ws, frame.selectExpr("'h' AS host_key", "html")).collect()
+    assert json.loads(wrapper.wrapper)[1] == 21
