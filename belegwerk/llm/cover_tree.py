@@ -38,6 +38,9 @@ class Node:
 class CoverTree:
     """A cover tree: the children of a ball are centres more than a level's radius apart that cover it.
 
+    A ball has 16 centres at most. Where these do not reach all points, as is common in many dimensions,
+    a point goes to its nearest centre and the children do not cover at the level's radius. Results stay
+    exact, for the search prunes by measured radii.
     The level's radius falls by ``BASE`` from parent to child, and a parent's centre is the centre of
     its first child. Small balls, and balls of equal points, stay leaves. For the bounds each node keeps
     the ball around the mean of its points, which is the tighter one. ``rows`` has the vectors in the
