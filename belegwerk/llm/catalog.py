@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm import cover_tree, decontaminate, licenses, line_dedup, mixing, ppm, quality, simhash, suffixes, wrappers
+from belegwerk.llm import (
+    cover_tree,
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    ppm,
+    quality,
+    simhash,
+    suffixes,
+    vector_codes,
+    wrappers,
+)
 from belegwerk.llm.common import table
 from belegwerk.workspace import Workspace
 
@@ -58,6 +70,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licensed(Workspace(spark), table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(Workspace(spark), table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_top_k,
         op9_repeats,
         op10_licenses,
+        op11_vector_codes,
     )
 }
 
-ORACLES = {"op7_line_dedup": line_dedup.SQL, "op8_top_k": cover_tree.SQL, "op10_licenses": licenses.SQL}
+ORACLES = {"op7_line_dedup": line_dedup.SQL, "op8_top_k": cover_tree.SQL, "op10_licenses": licenses.SQL, "op11_vector_codes": vector_codes.SQL}
