@@ -14,6 +14,7 @@ from belegwerk.llm import (
     line_dedup,
     mixing,
     ppm,
+    prefix_trie,
     quality,
     simhash,
     suffixes,
@@ -74,6 +75,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(Workspace(spark), table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(Workspace(spark), table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,7 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_repeats,
         op10_licenses,
         op11_vector_codes,
+        op12_prefix_trie,
     )
 }
 
-ORACLES = {"op7_line_dedup": line_dedup.SQL, "op8_top_k": cover_tree.SQL, "op10_licenses": licenses.SQL, "op11_vector_codes": vector_codes.SQL}
+ORACLES = {
+    "op7_line_dedup": line_dedup.SQL,
+    "op8_top_k": cover_tree.SQL,
+    "op10_licenses": licenses.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+}
