@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from belegwerk.llm import (
     cover_tree,
     decontaminate,
+    jaccard_join,
     licenses,
     line_dedup,
     mixing,
@@ -79,6 +80,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(Workspace(spark), table(spark, sf_dir, "conversations"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(Workspace(spark), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_licenses,
         op11_vector_codes,
         op12_prefix_trie,
+        op13_jaccard_join,
     )
 }
 
