@@ -40,6 +40,8 @@ SLICE = 1024
 PIVOTS = 8
 # Rounds of splitting; regions that are still large are joined block by block.
 ROUNDS = 6
+# A region is split further while its open cells have at most so many times its documents.
+GAIN = 1.5
 # Documents that a task compares directly.
 DIRECT = 64
 # Columns of the incidence matrix at a time.
@@ -278,6 +280,17 @@ def _slices(members: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int
     return left.cogroup(right).applyInPandas(run, schema)
 
 
+def _by_blocks(ws: Workspace, rows: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Links within regions ``r, x, n`` of any size: each pair of blocks of a region is joined by one task."""
+    sizes = rows.groupBy("r").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") * 2 / leaf), F.ceil(F.col("total") * 2 / LEAF_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(sizes.select("r", blocks.alias("blocks")), "r").select("r", "x", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("r", "x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return ws.stage(_join_groups(dealt.join(sets, "x"), ["r", "i", "j"], percent), "links")
+
+
 def linked(ws: Workspace, regions: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """Edges ``u, v`` that connect what is connected by links within the regions ``r, x, n``; ``sets`` is ``x, s``.
 
@@ -300,11 +313,7 @@ def linked(ws: Workspace, regions: DataFrame, sets: DataFrame, percent: int = PE
             break
         rows = now.join(large, "r")
         if turn == rounds:
-            blocks = F.greatest(F.ceil(F.col("m") * 2 / leaf), F.ceil(F.col("total") * 2 / LEAF_SHINGLES), F.lit(1)).cast("int")
-            own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-            dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("r", "x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-            edges.append(ws.stage(_join_groups(dealt.join(sets, "x"), ["r", "i", "j"], percent), "links"))
+            edges.append(_by_blocks(ws, rows.select("r", "x", "n"), sets, percent, leaf))
             break
         slices = F.greatest(F.ceil(F.col("m") / SLICE), F.ceil(F.col("total") / LEAF_SHINGLES)).cast("int")
         rows = ws.stage(rows.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("x"), F.col("slices")).cast("int")), "rows")
@@ -317,11 +326,20 @@ def linked(ws: Workspace, regions: DataFrame, sets: DataFrame, percent: int = PE
         for more in edges[1:]:
             so_far = so_far.unionByName(more)
         roots = components(ws, so_far)
-        parts = met.where("inside").select(F.xxhash64("r", "p").alias("r"), "x").join(roots, F.col("x") == F.col("node"), "left")
-        parts = ws.stage(parts.select("r", "x", F.coalesce("root", "x").alias("root")), "cells")
-        open_ = parts.groupBy("r").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("r")
-        named = rows.select("x", "n").distinct()
-        now = ws.stage(parts.join(open_, "r", "left_semi").select("r", "x").distinct().join(named, "x").select("r", "x", "n"), "regions")
+        parts = met.where("inside").select("r", F.xxhash64("r", "p").alias("cell"), "x").join(roots, F.col("x") == F.col("node"), "left")
+        parts = ws.stage(parts.select("r", "cell", "x", F.coalesce("root", "x").alias("root")), "cells")
+        cells_left = parts.groupBy("r", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"))
+        cells_left = ws.stage(cells_left.where("low < high").select("r", "cell", "c"), "open")
+        # Where windows leave too little out, a further split would only copy the region.
+        stalled = cells_left.groupBy("r").agg(F.sum("c").alias("copies")).join(large.select("r", "m"), "r")
+        stalled = ws.stage(stalled.where(F.col("copies") > F.lit(GAIN) * F.col("m")).select("r"), "stalled")
+        left = parts.join(cells_left.select("r", "cell"), ["r", "cell"], "left_semi")
+        left = ws.stage(left.join(rows.select("r", "x", "n"), ["r", "x"]).select("r", "cell", "x", "n"), "left")
+        if not stalled.isEmpty():
+            whole = left.join(stalled, "r", "left_semi").select("r", "x", "n").distinct()
+            edges.append(_by_blocks(ws, ws.stage(whole, "whole"), sets, percent, leaf))
+        now = left.join(stalled, "r", "left_anti").select(F.col("cell").alias("r"), "x", "n").distinct()
+        now = ws.stage(now, "regions")
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)

@@ -71,9 +71,10 @@ def test_same_as_all_pairs(spark, ws):
     assert found(spark, ws, rows) == plain(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_large_regions_are_split(spark, ws, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, gain", [(0, 1.5), (2, 1.5), (1, 9.0)])
+def test_large_regions_are_split(spark, ws, monkeypatch, rounds, gain):
     monkeypatch.setattr(jaccard_join, "SLICE", 16)
+    monkeypatch.setattr(jaccard_join, "GAIN", gain)
     rng = random.Random(5)
     pool = [f"w{i}" for i in range(200)]
     base = [rng.choice(pool) for _ in range(60)]
