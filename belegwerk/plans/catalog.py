@@ -591,9 +591,13 @@ def _hashed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text_cache.content_hash(F.col("text").cast("binary")).alias("content_hash"), "text")
 
 
-def _cache(t: Tables) -> DataFrame:
-    known = _hashed(t).where("doc_id % 3 = 0").dropDuplicates(["content_hash"])
-    return known.select("content_hash", txt.normalize_text("text").alias("norm_text"))
+def _cache(t: Tables) -> text_cache.TextCache:
+    """A cache of two parts that holds the contents of every third document."""
+    cache = text_cache.TextCache(t.spark, t.ws.path("cache"))
+    known = _hashed(t).where("doc_id % 3 = 0").select("content_hash", txt.normalize_text("text").alias("norm_text"), "doc_id")
+    for half in (0, 1):
+        cache = cache.add(t.ws, known.where(f"doc_id % 2 = {half}"))
+    return cache
 
 
 @query
@@ -603,28 +607,28 @@ def content_hash(t: Tables) -> DataFrame:
 
 @query
 def cache_hits(t: Tables) -> DataFrame:
-    return text_cache.cache_hits(_hashed(t).select("doc_id", "content_hash"), _cache(t))
+    return _cache(t).hits(t.ws.stage(_hashed(t).select("doc_id", "content_hash"), "files"))
 
 
 @query
 def cache_misses(t: Tables) -> DataFrame:
-    return text_cache.cache_misses(_hashed(t).select("content_hash"), _cache(t))
+    return _cache(t).misses(t.ws.stage(_hashed(t).select("content_hash"), "files"))
 
 
 @query
 def cache_refresh(t: Tables) -> DataFrame:
-    path = t.ws.path("cache")
-    _cache(t).write.parquet(path)
+    files = t.ws.stage(_hashed(t).drop("text"), "files")
 
-    def read(files: DataFrame) -> DataFrame:
-        return files.select("content_hash", txt.normalize_text("text").alias("norm_text"))
+    def read(new: DataFrame) -> DataFrame:
+        rows = t.documents.select("doc_id", "text").join(new, "doc_id")
+        return rows.select("content_hash", txt.normalize_text("text").alias("norm_text"))
 
-    return text_cache.refresh_cache(t.ws, _hashed(t).drop("doc_id"), path, read)
+    return text_cache.refresh_cache(t.ws, files, _cache(t).path, read)
 
 
 @query
 def cache_stats(t: Tables) -> DataFrame:
-    return text_cache.cache_stats(_hashed(t).select("content_hash"), _cache(t))
+    return text_cache.cache_stats(_hashed(t).select("content_hash"), _cache(t).entries())
 
 
 # --- streams ---

@@ -220,6 +220,58 @@ def test_unusable_caches_are_replaced(spark, ws, tmp_path):
         assert text_cache.with_cached_text(files, cache).count() == 2
 
 
+def test_cache_loses_nothing(spark, ws, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = [(f"hash{i:04d}", f"text {i}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "content_hash string, norm_text string")
+    first = text_cache.TextCache(spark, path)
+    # Two jobs that opened the same empty cache, one of them with entries of the other.
+    second = text_cache.TextCache(spark, path)
+    first.add(ws, frame.where("content_hash < 'hash0400'"))
+    cache = second.add(ws, frame.where("content_hash >= 'hash0300'"))
+    assert len(cache.parts) == 2 and sorted(map(tuple, cache.entries().collect())) == rows
+    asked = spark.createDataFrame([("hash0001",), ("hash0001",), ("hash0350",), ("new",), (None,)], "content_hash string")
+    assert sorted(r[0] for r in cache.hits(asked).collect()) == ["hash0001", "hash0001", "hash0350"]
+    assert [r[0] for r in cache.misses(asked).collect()] == ["new"]
+    assert sorted((r.content_hash or "", r.norm_text) for r in cache.with_text(ws, asked).collect()) == [("", None), ("hash0001", "text 1"), ("hash0001", "text 1"), ("hash0350", "text 350"), ("new", None)]
+    merged = cache.merge_parts(ws)
+    assert len(merged.parts) == 1 and merged.entries().count() == 600
+    # One broken file of many: its entries are read anew, all others stay, and nothing is merged meanwhile.
+    more = merged.add(ws, spark.createDataFrame([("late", "text")], "content_hash string, norm_text string"))
+    broken = next((tmp_path / "cache" / "parts" / merged.parts[0].name / "entries").rglob("part-*.parquet"))
+    kept = broken.read_bytes()
+    broken.write_bytes(b"PAR1 no table")
+    (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
+    files = frame.unionByName(spark.createDataFrame([("late", "")], "content_hash string, norm_text string"))
+    again = []
+
+    def read(new):
+        again.append(new.count())
+        return new.limit(0)
+
+    cache = text_cache.refresh(ws, files, path, read)
+    assert again == [600] and len(cache.merge_parts(ws).parts) == 2
+    broken.write_bytes(kept)
+    assert text_cache.TextCache(spark, path).entries().count() == 601 and len(more.parts) == 2
+
+
+def test_cache_buckets_and_filters(spark, ws, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_cache, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(text_cache, "MOST_PARTS", 2)
+    frame = spark.range(900).selectExpr("md5(cast(id as string)) as content_hash", "cast(id as string) as norm_text")
+    cache = text_cache.TextCache(spark, str(tmp_path / "cache"))
+    for i in range(3):
+        cache = cache.add(ws, frame.where(f"norm_text % 3 = {i}"))
+    # The third part was one too many.
+    assert [p.rows for p in cache.parts] == [900] and cache.parts[0].buckets == 18
+    other = spark.range(900, 2900).selectExpr("md5(cast(id as string)) as content_hash")
+    assert cache._may_hold(cache.parts[0], frame.select("content_hash")).count() == 900
+    assert cache._may_hold(cache.parts[0], other).count() < 120
+    assert cache.misses(other).count() == 2000 and cache.known(other).count() == 0
+    some = frame.where("norm_text in ('5', '77')").select("content_hash")
+    assert sorted(r.norm_text for r in cache.with_text(ws, some).collect()) == ["5", "77"]
+
+
 def test_replies_must_be_one_object(spark):
     from belegwerk.functions.replies import parse_reply
 
