@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +21,12 @@ from belegwerk.operators.features import (
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
-# Weights that go out at once.
+# Weights of a block of classes, and of one row of it.
 SCORE_ROWS = 2_000_000
+SLICE_ROWS = 32_768
+# Documents that meet a block in one task, and cells of the score table that stand in memory.
+SCORE_DOCS = 50_000
+SCORE_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -34,12 +36,13 @@ class Model:
     ``vocab(term, df, cf, idf, term_id)``, ``classes(label, label_id, n_docs, log_prior,
     log_unseen)`` and ``weights(label_id, term_id, log_prob, gain)``. Pairs of class and term that
     never met are not stored; their weight is the ``log_unseen`` of the class, and ``gain`` is what a
-    stored one adds to that.
+    stored one adds to that. ``matrix`` has the gains once more for scoring, see ``weight_matrix``.
     """
 
     vocab: DataFrame
     classes: DataFrame
     weights: DataFrame
+    matrix: DataFrame
 
 
 class NotEnoughData(ValueError):
@@ -112,7 +115,29 @@ def fit(
         raise NotEnoughData("no term is within the frequency limits")
     rows = vectors(tf, vocab, ("label_id",))
     classes, weights = class_weights(ws, labels, rows, n_docs, n_terms, alpha)
-    return Model(vocab, classes, weights)
+    return Model(vocab, classes, weights, ws.stage(weight_matrix(classes, weights), "matrix"))
+
+
+def weight_matrix(classes: DataFrame, weights: DataFrame, limit: int = SCORE_ROWS) -> DataFrame:
+    """``block, label_ids, term_ids, gains, log_prior, log_unseen``: the weights as a sparse matrix in blocks of classes.
+
+    A block has about ``limit`` weights; a class has one per term at most and is whole in its block. Each row
+    is a slice of a block by term, with its entries side by side; one more row a block has the constants of
+    its classes. So a block is some dozens of rows, which are cheap to hand to every task that scores.
+    """
+    n = weights.count()
+    blocks = max(1, -(-n // limit))
+    slices = max(1, -(-n // (blocks * SLICE_ROWS)))
+    block = F.pmod(F.xxhash64("label_id"), F.lit(blocks)).cast("int").alias("block")
+    of_block = F.collect_list(F.struct("label_id", "log_prior", "log_unseen")).alias("c")
+    constants = classes.groupBy(block).agg(of_block)
+    none = F.array().cast("array<double>")
+    entries = weights.groupBy(block, F.pmod(F.xxhash64("term_id"), F.lit(slices)).alias("slice"))
+    entries = entries.agg(F.collect_list(F.struct("label_id", "term_id", "gain")).alias("e"))
+    entries = entries.select("block", F.col("e.label_id").alias("label_ids"), F.col("e.term_id").alias("term_ids"), F.col("e.gain").alias("gains"), none.alias("log_prior"), none.alias("log_unseen"))
+    return entries.unionByName(
+        constants.select("block", F.col("c.label_id").alias("label_ids"), F.array().cast("array<long>").alias("term_ids"), none.alias("gains"), F.col("c.log_prior").alias("log_prior"), F.col("c.log_unseen").alias("log_unseen"))
+    )
 
 
 @dataclass(frozen=True)
@@ -157,90 +182,103 @@ def _slices(counts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def _blocks(model: Model, limit: int = SCORE_ROWS) -> Iterator[_Block]:
-    """The model in blocks of classes with about ``limit`` weights each; a class has one per term at most."""
-    blocks = max(1, -(-model.weights.count() // limit))
-    part = F.pmod(F.xxhash64("label_id"), F.lit(blocks))
-    for b in range(blocks):
-        classes = model.classes.where(part == b).select("label_id", "log_prior", "log_unseen").toPandas()
-        classes = classes.sort_values("label_id")
-        rows = model.weights.where(part == b).select("term_id", "label_id", "gain").toArrow()
-        term, label, gain = (c.to_numpy() for c in rows.columns)
-        order = np.argsort(term, kind="stable")
-        terms, starts = np.unique(term[order], return_index=True)
-        labels = classes["label_id"].to_numpy()
-        yield _Block(
-            labels,
-            classes["log_prior"].to_numpy(),
-            classes["log_unseen"].to_numpy(),
-            terms,
-            np.append(starts, len(term)),
-            np.searchsorted(labels, label[order]),
-            gain[order],
-        )
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """All entries of a column of lists."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _block_of(rows: pa.Table) -> _Block:
+    """The block that the rows of ``weight_matrix`` with one number make up."""
+    constant = np.array([len(x) > 0 for x in rows["log_prior"]], bool)
+    own, entries = rows.filter(pa.array(constant)), rows.filter(pa.array(~constant))
+    labels = _joined(own["label_ids"])
+    by_label = np.argsort(labels)
+    labels = labels[by_label]
+    term, label, gain = (_joined(entries[c]) for c in ("term_ids", "label_ids", "gains"))
+    order = np.lexsort((label, term))
+    terms, starts = np.unique(term[order], return_index=True)
+    return _Block(
+        labels,
+        _joined(own["log_prior"])[by_label],
+        _joined(own["log_unseen"])[by_label],
+        terms,
+        np.append(starts, len(term)),
+        np.searchsorted(labels, label[order]),
+        gain[order],
+    )
 
 
-def class_scores(model: Model, docs: DataFrame, k: int) -> DataFrame:
+def class_scores(model: Model, docs: DataFrame, k: int, score_docs: int = SCORE_DOCS) -> DataFrame:
     """One row per document of ``doc_id, norm``: ``doc_id, ranked, best, total``.
 
     ``ranked`` is ``array<struct<down, label_id>>`` with the negated joint log likelihoods of the ``k``
     best classes, the best one first, equal ones in label order; ``best`` is the highest likelihood and
     ``total`` the sum of all, as multiples of it.
 
-    The documents are shuffled once, as single rows, and stay rows: no row per document and class is
-    made. The weights go out in blocks of classes of bounded size; each block leaves the ``k`` best
-    classes and a sum per document, and the blocks of a model that has several are merged.
+    No row per document and class is made. The documents' vectors are dealt into blocks, and each block of
+    documents meets each block of classes in one task, which gets both through a shuffle: neither weights nor
+    vectors pass the driver, and a task holds a block of either. Each meeting leaves the ``k`` best classes
+    and a sum per document, which are merged where a model has several blocks.
     """
-    rows = vectors(term_freq(docs), model.vocab)
-    blocks = list(_blocks(model))
-    if len(blocks) > 1:
-        rows = Workspace(docs.sparkSession).stage(rows, "vectors")
-    sc = docs.sparkSession.sparkContext
-    parts = [_block_scores(rows, sc.broadcast(block), k) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    every = reduce(DataFrame.unionByName, parts)
-    merged = every.groupBy("doc_id").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("ranked"))), 1, k).alias("ranked"),
-        F.max("best").alias("best"),
-        F.collect_list(F.struct("best", "total")).alias("sums"),
-    )
-    total = F.aggregate("sums", F.lit(0.0), lambda acc, s: acc + s.total * F.exp(s.best - F.col("best")))
-    return merged.select("doc_id", "ranked", "best", total.alias("total"))
-
-
-def _block_scores(rows: DataFrame, sent: Broadcast[_Block], k: int) -> DataFrame:
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    ws = Workspace(docs.sparkSession)
+    rows = ws.stage(vectors(term_freq(docs), model.vocab), "vectors")
+    n_blocks = (model.matrix.agg(F.max("block")).first()[0] or 0) + 1
+    dealt = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // score_docs))
     flat = rows.select(
         "doc_id",
         (F.col("mass") / F.col("norm")).alias("mass"),
         "norm",
         F.col("terms.term_id").alias("terms"),
         F.col("terms.raw").alias("raw"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(dealt)).cast("int").alias("part"),
     )
+    flat = flat.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    matrix = model.matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, ranked array<struct<down: double, label_id: long>>, best double, total double"
+
+    def run(part: pa.Table, weights: pa.Table) -> pa.Table:
+        found = list(_block_scores(part, _block_of(weights), k)) if len(part) and len(weights) else []
+        return pa.concat_tables(found) if found else _no_scores(part.schema.field("doc_id").type)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.diff(batch["terms"].offsets.to_numpy())
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            norm = batch["norm"].to_numpy()
-            tfidf = batch["raw"].flatten().to_numpy() / norm[doc]
-            scores = block.scores(doc, batch["terms"].flatten().to_numpy(), tfidf, batch["mass"].to_numpy())
-            # Scores that differ by rounding noise only count as equal.
-            down = -np.round(scores, 9)
-            top = np.argsort(down, axis=1, kind="stable")[:, :k]
-            best = -down.min(axis=1)
-            total = np.exp(-down - best[:, None]).sum(axis=1)
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(np.take_along_axis(down, top, 1).ravel()), pa.array(block.labels[top].ravel())], ["down", "label_id"]
-            )
-            ranked = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * top.shape[1], pairs)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], ranked, pa.array(best), pa.array(total)], ["doc_id", "ranked", "best", "total"])
-
-    return flat.mapInArrow(run, f"doc_id {kind}, ranked array<struct<down: double, label_id: long>>, best double, total double")
+    keys = ("part", "block")
+    scored = flat.groupBy(*keys).cogroup(matrix.groupBy(*keys)).applyInArrow(run, schema)
+    if n_blocks == 1:
+        return scored
+    merged = scored.groupBy("doc_id").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("ranked"))), 1, k).alias("ranked"),
+        F.max("best").alias("best"),
+        F.collect_list(F.struct("best", "total")).alias("sums"),
+    )
+    total = F.aggregate("sums", F.lit(0.0), lambda acc, s: acc + s.total * F.exp(s.best - F.col("best")))
+    return merged.select("doc_id", "ranked", "best", total.alias("total"))
+
+
+def _no_scores(kind: pa.DataType) -> pa.Table:
+    pairs = pa.list_(pa.struct([("down", pa.float64()), ("label_id", pa.int64())]))
+    return pa.schema([("doc_id", kind), ("ranked", pairs), ("best", pa.float64()), ("total", pa.float64())]).empty_table()
+
+
+def _block_scores(part: pa.Table, block: _Block, k: int) -> Iterator[pa.Table]:
+    """The scores of some documents at a time against the classes of a block."""
+    step = max(1, SCORE_CELLS // max(1, len(block.labels)))
+    for low in range(0, len(part), step):
+        batch = part.slice(low, step).combine_chunks()
+        terms = batch["terms"].combine_chunks()
+        doc = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
+        norm = batch["norm"].to_numpy()
+        tfidf = _joined(batch["raw"]) / norm[doc]
+        scores = block.scores(doc, terms.flatten().to_numpy(), tfidf, batch["mass"].to_numpy())
+        # Scores that differ by rounding noise only count as equal.
+        down = -np.round(scores, 9)
+        top = np.argsort(down, axis=1, kind="stable")[:, :k]
+        best = -down.min(axis=1)
+        total = np.exp(-down - best[:, None]).sum(axis=1)
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(np.take_along_axis(down, top, 1).ravel()), pa.array(block.labels[top].ravel())], ["down", "label_id"]
+        )
+        ranked = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * top.shape[1], pairs)
+        yield pa.Table.from_arrays([batch["doc_id"], ranked, pa.array(best), pa.array(total)], ["doc_id", "ranked", "best", "total"])
 
 
 def top_classes(model: Model, docs: DataFrame, k: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ TABLES = {
     "vocab": "term string, df long, cf long, idf double, term_id long",
     "classes": "label_id long, label string, n_docs long, log_prior double, log_unseen double",
     "weights": "label_id long, term_id long, log_prob double, gain double",
+    "matrix": "block int, label_ids array<long>, term_ids array<long>, gains array<double>, log_prior array<double>, log_unseen array<double>",
 }
 
 

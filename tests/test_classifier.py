@@ -63,7 +63,11 @@ def test_probabilities(spark, ws, docs, limit, monkeypatch):
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", limit))
     monkeypatch.setattr(joins, "HOT_ROWS", 2)
     if limit < 0:
-        monkeypatch.setattr(bayes._blocks, "__defaults__", (5,))
+        # Several blocks of classes, slices of a block and blocks of documents.
+        monkeypatch.setattr(bayes.weight_matrix, "__defaults__", (5,))
+        monkeypatch.setattr(bayes, "SLICE_ROWS", 2)
+        monkeypatch.setattr(bayes, "SCORE_CELLS", 2)
+        monkeypatch.setattr(bayes.class_scores, "__defaults__", (2,))
     model = bayes.fit(ws, docs)
     got = defaultdict(dict)
     for r in bayes.top_classes(model, docs.select("doc_id", "norm"), 3).collect():
@@ -83,11 +87,19 @@ def test_empty_text_is_not_classified(spark, ws, docs):
     assert rows[10].subfolder == "a"
 
 
-def test_scoring_shuffles_documents_once(spark, ws, docs):
-    """No row per document and class is made, and no list of all classes."""
+def test_scoring_stays_off_the_driver(spark, ws, docs, monkeypatch):
+    """Documents and weights meet through one shuffle of either; no row per document and class, nothing collected."""
     model = bayes.fit(ws, docs)
-    plan = bayes.class_scores(model, docs.select("doc_id", "norm"), 1)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert model.matrix.count() == 2
+    collected = []
+    for name in ("toPandas", "toArrow", "collect", "toLocalIterator"):
+        real = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda self, *a, real=real, **b: collected.append(self.columns) or real(self, *a, **b))
+    rows = bayes.class_scores(model, docs.select("doc_id", "norm"), 1)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+    assert all(c not in (["label_id", "term_id", "gain"], model.weights.columns, model.matrix.columns) for c in collected)
+    assert rows.count() == docs.select("doc_id").distinct().count()
 
 
 def test_model_store(spark, ws, docs, tmp_path):
