@@ -167,14 +167,15 @@ def search(
     Queries are the rows whose key is divisible by ``every``; candidates are all rows with another
     key. Components become ``floor(scale * x)``. Rows with a null key, a null or empty vector, or a null or
     non-finite component take no part; vectors meet those of their own length only. Repeated rows are
-    candidates each. Candidates and queries are dealt into blocks of about ``block`` rows; every pair of
+    candidates each, but one query: a repeated query row asks nothing new. A query key that stands with several
+    vectors asks with all of them, and has the best scores of any. Candidates and queries are dealt into blocks of about ``block`` rows; every pair of
     blocks is searched with one tree on either side, and the lists of a query are merged.
     """
     x = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     sound = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0) & sound).select(F.col(key).cast("long").alias("id"), x.alias("v"))
     rows = ws.stage(rows.withColumn("dim", F.size("v")), "vectors")
-    asked = rows.where(F.col("id") % every == 0)
+    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     n, n_asked = rows.count(), asked.count()
     r_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_asked // block))
     own = F.pmod(F.xxhash64("id"), F.lit(r_blocks))
@@ -194,7 +195,6 @@ def search(
 
     groups = ["dim", "q", "r"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    # Repeated query rows give the same list again; repeated candidates of one block and query stay apart.
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -207,7 +207,7 @@ WITH rows AS (
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 pairs AS (
   SELECT q.id AS query_id, r.id AS vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
-  FROM rows q JOIN rows r ON q.id <> r.id AND len(q.v) = len(r.v) WHERE q.id % 100 = 0),
+  FROM (SELECT DISTINCT id, v FROM rows) q JOIN rows r ON q.id <> r.id AND len(q.v) = len(r.v) WHERE q.id % 100 = 0),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}

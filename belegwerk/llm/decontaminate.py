@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import spread_rows, texts_of
+from belegwerk.llm.common import null_safe, spread_rows, texts_of
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace
 
@@ -194,38 +195,53 @@ def leaks(
     item key comes last. The benchmark is sent out in blocks of bounded size, one pass over the
     documents each, so its size does not matter; a document meets only items that share a seed with it.
     """
-    rows = spread_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # A row is known by its key and 128 bits that stand for its text; rows that agree in both have one result.
+    marks = [F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q")]
+    marked = spread_rows(rows).select("doc_id", "text", *marks)
     sc = docs.sparkSession.sparkContext
-    passes = []
-    for block in _blocks(ws, benchmark, item_key, item_text, block_chars):
-        sent = sc.broadcast(block)
+    blocks = _blocks(ws, benchmark, item_key, item_text, block_chars)
+    block, after = next(blocks, []), next(blocks, None)
+    schema = "item_id long, coverage double, n_items long, doc_id long, p long, q long"
+
+    def matched(sent: Broadcast, every: bool) -> DataFrame:
+        """The best item, its coverage and the number of items found, of ``every`` row or of those with any."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, least)
             for batch in batches:
-                best = []
-                for t in texts_of(batch["text"]):
+                best, rows_out = [], []
+                for i, t in enumerate(texts_of(batch["text"])):
                     found = items.matches(t, coverage)
-                    top = min(found, key=lambda m: (-m[1], m[0] is None, m[0] or 0), default=(None, None))
-                    best.append((*top, len(found)))
+                    if found or every:
+                        top = min(found, key=lambda m: (-m[1], m[0] is None, m[0] or 0), default=(None, None))
+                        best.append((*top, len(found)))
+                        rows_out.append(i)
                 kinds = (pa.int64(), pa.float64(), pa.int64())
                 columns = [pa.array([b[i] for b in best], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*columns, batch["doc_id"]], ["item_id", "coverage", "n_items", "doc_id"])
-
-        passes.append(rows.mapInArrow(run, "item_id long, coverage double, n_items long, doc_id long"))
-    if not passes:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"), F.lit(0).cast("long").alias("n_items"))
-    if len(passes) == 1:
-        merged = passes[0]
-    else:
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
-        # The rows of one document come from every pass; repeated rows of a document agree.
-        order = F.struct((-F.col("coverage")).alias("c"), F.col("item_id").alias("i"))
-        agreed = every.groupBy("doc_id").agg(F.min(F.when(F.col("coverage").isNotNull(), order)).alias("top"), F.sum("n_items").alias("n_items"))
-        merged = agreed.select("doc_id", F.col("top.i").alias("item_id"), (-F.col("top.c")).alias("coverage"), "n_items")
-    return merged.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", "coverage", "n_items")
+                kept = batch.select(["doc_id", "p", "q"]).take(pa.array(rows_out, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, *kept.columns], ["item_id", "coverage", "n_items", "doc_id", "p", "q"])
+
+        return marked.mapInArrow(run, schema)
+
+    if after is None:
+        merged = matched(sc.broadcast(block), True)
+        return merged.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", "coverage", "n_items")
+    found = None
+    while block is not None:
+        sent = sc.broadcast(block)
+        hits = ws.stage(matched(sent, False).distinct(), "hits")
+        sent.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+        block, after = after, next(blocks, None)
+    order = F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("n"), F.col("item_id").alias("i"))
+    name = F.concat_ws(" ", null_safe("doc_id"), F.col("p").cast("string"), F.col("q").cast("string")).alias("row")
+    agreed = found.select(name, order.alias("o"), "n_items").groupBy("row").agg(F.min("o").alias("top"), F.sum("n_items").alias("n"))
+    agreed = ws.stage(agreed.select("row", F.col("top.i").alias("item_id"), (-F.col("top.c")).alias("coverage"), "n"), "agreed")
+    n_items = F.coalesce("n", F.lit(0)).cast("long")
+    return lookup_join(rows.select("doc_id", *marks).select("doc_id", name), agreed, "row", "left").select(
+        "doc_id", (n_items > 0).alias("contaminated"), "item_id", "coverage", n_items.alias("n_items")
+    )
 
 
 def clean(ws: Workspace, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

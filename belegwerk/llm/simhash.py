@@ -96,9 +96,10 @@ def links(ws: Workspace, fps: DataFrame, n: int, radius: int = RADIUS) -> DataFr
     fingerprints only the one with the smaller segment probes, so a pair meets once a segment.
 
     A dense bucket (a large group of near copies) would give the square of its size. Its members
-    are linked without pairs: two points lie within ``radius`` of each other exactly if the balls of
-    half the radius around them share a point, and all that share a point are linked to one of
-    them. So such members send out the points of their small ball and become a star per point.
+    are linked without pairs: two points lie within ``radius`` of each other exactly if some point is within half the
+    radius, rounded down, of one and within the rest of it of the other. All in the larger ball around a
+    point are linked to one in the smaller. So such members send out the points of their ball and become a star
+    per point that has a near one; an even radius has two equal balls.
     """
     m = segments_for(n, radius)
     near = radius // m
@@ -125,14 +126,14 @@ def links(ws: Workspace, fps: DataFrame, n: int, radius: int = RADIUS) -> DataFr
     ).select("u", "v")
     if hot is None:
         return pairs
-    # An odd radius needs the larger ball, whose stars are verified; an even one needs no check.
+    # Of two fingerprints within the radius one lies in the small and one in the large ball around some point.
     low, high = radius // 2, radius - radius // 2
-    points = [0, *[_signed(sum(1 << b for b in c)) for r in range(1, high + 1) for c in combinations(range(BITS), r)]]
-    if low != high:
-        raise ValueError("dense buckets need an even radius")
-    ball = F.transform(F.array(*[F.lit(x).cast("long") for x in points]), lambda x: x.bitwiseXOR(F.col("fp")))
-    spots = ws.stage(hot, "hot").repartition("fp").select("fp", F.explode(ball).alias("point"))
-    centre = spots.groupBy("point").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    points = [(r, _signed(sum(1 << b for b in c))) for r in range(high + 1) for c in combinations(range(BITS), r)]
+    offers = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(r <= low).alias("near")) for r, x in points])
+    ball = F.transform(offers, lambda o: F.struct(o.x.bitwiseXOR(F.col("fp")).alias("point"), o.near.alias("near")))
+    spots = ws.stage(hot, "hot").repartition("fp").select("fp", F.inline(ball))
+    centre = spots.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("c"))
+    centre = centre.where("c > 1 and u is not null").select("point", "u")
     stars = spots.join(centre, "point").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
     return pairs.union(stars)
 

@@ -83,3 +83,19 @@ def test_odd_rows(spark, ws, odd, none):
     assert decontaminate.leaks(ws, none, bench).count() == 0
     assert decontaminate.leaks(ws, odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.clean(ws, odd, bench).columns == odd.columns
+
+
+def test_rows_stay_rows_for_any_block(spark, ws):
+    rng = random.Random(3)
+    items = [" ".join(words(rng, 30)) for _ in range(6)]
+    benchmark = spark.createDataFrame([*enumerate(items), (None, items[0]), (9, None)], "item_id long, text string")
+    rows = [(1, items[0]), (1, items[0]), (1, "clean text here"), (None, items[1] + " " + items[2]), (None, "another clean one"), (2, None), (2, ""), (3, " ".join(items[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = []
+    for block in (1, 300, 1 << 20):
+        found = decontaminate.leaks(ws, docs, benchmark, block_chars=block).collect()
+        got.append(sorted(map(tuple, found), key=repr))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    hits = sorted((r[0] or 0, r[2], r[4]) for r in got[0] if r[1])
+    # Item 0 stands there twice, once without a key, which is not named while another can be.
+    assert hits == [(0, 1, 2), (1, 0, 2), (1, 0, 2), (3, 0, 7)]

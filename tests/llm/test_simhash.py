@@ -49,9 +49,8 @@ def test_fingerprint(monkeypatch):
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("segments", [2, 3, 4])
-@pytest.mark.parametrize("dense", [1000, 3])
-def test_links_keep_components(spark, ws, monkeypatch, segments, dense):
+@pytest.mark.parametrize("segments, dense, radius", [(2, 1000, 4), (3, 3, 4), (4, 3, 4), (2, 3, 3), (3, 1000, 3)])
+def test_links_keep_components(spark, ws, monkeypatch, segments, dense, radius):
     rng = np.random.default_rng(5)
     fps = {0}
     for _ in range(12):
@@ -63,10 +62,10 @@ def test_links_keep_components(spark, ws, monkeypatch, segments, dense):
     monkeypatch.setattr(simhash, "segments_for", lambda n, radius=4: segments)
     monkeypatch.setattr(simhash, "DENSE", dense)
     frame = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    edges = simhash.links(ws, frame, len(fps))
+    edges = simhash.links(ws, frame, len(fps), radius)
     roots = {r.node: r.root for r in components(ws, edges).collect()}
     got = {f: unsigned(roots.get(simhash._signed(f), simhash._signed(f))) for f in fps}
-    want = plain_components({f: f for f in fps})
+    want = plain_components({f: f for f in fps}, radius)
 
     def parts(x):
         return {frozenset(f for f in fps if x[f] == r) for r in set(x.values())}
