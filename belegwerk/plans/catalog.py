@@ -752,6 +752,27 @@ def stream_retry(t: Tables) -> DataFrame:
     return intake.sink_rows(t.spark, out).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_times"))
 
 
+@query
+def stream_poison(t: Tables) -> DataFrame:
+    """One file that no job gets through: all others are filed with their batch, it is retried and then given up."""
+    root, ticks, out = t.page_folder(), t.ws.path("ticks"), t.ws.path("poison")
+
+    def process(batch: DataFrame, batch_id: int) -> DataFrame:
+        broken = F.raise_error(F.lit("no page in this file"))
+        return _page_rows(batch).withColumn("digest", F.when(F.col("page_id") == 1, broken).otherwise(F.col("digest")))
+
+    for hours in (0, 12, 24):
+        now = F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=F.lit(hours))
+        t.spark.range(1).select(now.alias("ts")).write.mode("append").parquet(ticks)
+        clock = t.spark.readStream.schema("ts timestamp").parquet(ticks)
+        files = lambda: src.scan_inbox(t.spark, root)
+        intake.start_forgiving(src.watch_inbox(t.spark, root), clock, files, process, out).awaitTermination()
+    lost = page_of_file(src.scan_inbox(t.spark, root).join(intake.given_up(t.spark, out), "path"))
+    lost = lost.join(intake.given_up(t.spark, out), "path").select("page_id", F.lit(0).cast("long").alias("n_times"), "attempts")
+    filed = intake.sink_rows(t.spark, out).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_times"))
+    return filed.select("page_id", "n_times", F.lit(0).alias("attempts")).unionByName(lost)
+
+
 @query
 def stream_process(t: Tables) -> DataFrame:
     out = t.ws.path("process")

@@ -555,6 +555,8 @@ def oracles() -> dict[str, str]:
         "stream_once": "SELECT page_id, 1 AS n_times, page_id % 2 AS batch_id FROM pages",
         "stream_settled": "SELECT page_id, 1 AS n_times, 2 AS batch_id FROM pages",
         "stream_metrics": "SELECT page_id % 2 AS batch_id, count(*) AS n_files, count(*) AS n_rows FROM pages GROUP BY 1",
+        "stream_poison": """SELECT page_id, CASE WHEN page_id = 1 THEN 0 ELSE 1 END AS n_times, CASE WHEN page_id = 1 THEN 3 ELSE 0 END AS attempts
+            FROM pages WHERE page_id % 4 <> 3""",
         "stream_process": build(
             """SELECT doc_id, CASE WHEN k = 0 THEN base ELSE base || ' (' || k || ')' END || '.pdf' AS dst, bucket, subfolder, 'MOVE' AS action
             FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id % 2, doc_id) - 1 AS k

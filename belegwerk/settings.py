@@ -74,6 +74,8 @@ UNKNOWN_SUBJECT = "Unbekannt"
 TAX_FOLDER = "Steuererklärung/neue Belege"
 TAX_WORDS = ("tax", "steuer")
 SETTLE_SECONDS = 5.0
+ERROR_PAUSE_SECONDS = 7200.0
+FILE_ATTEMPTS = 3
 
 PAYROLL_FOLDER = "Lohnabrechnungen/2016.06.01 Canway"
 FUND_FOLDER = "Versicherungen/Investmentfonds Riester - Deka"

@@ -79,9 +79,11 @@ def start_settled(
         last = waiting.groupBy("inbox").agg(F.max("modificationTime").alias("last"))
         marked = waiting.join(last.select("inbox", (F.col("last") + gap < now.scalar()).alias("quiet")), "inbox")
         marked = Workspace(spark).stage(marked, f"marked-{batch_id}")
-        settled = files().join(marked.where("quiet").select("path"), "path", "left_semi")
+        # A file that is written to after the check has another time when it is read, and waits on.
+        settled = files().join(marked.where("quiet").select("path", "modificationTime"), ["path", "modificationTime"], "left_semi")
+        settled = Workspace(spark).stage(settled, f"settled-{batch_id}")
         process(settled, batch_id).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-        held = marked.where("not coalesce(quiet, false)").select("path", F.col("modificationTime").alias("ts"))
+        held = marked.join(settled.select("path"), "path", "left_anti").select("path", F.col("modificationTime").alias("ts"))
         held = held.unionByName(now.select(F.lit(None).cast("string").alias("path"), F.col("now").alias("ts")))
         held.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
 
@@ -91,6 +93,110 @@ def start_settled(
     return writer.start()
 
 
+# So many failures without one success are no fault of the files.
+WHOLE_BATCH = 8
+LEDGER_SCHEMA = "path string, attempts int, error string, next_try timestamp"
+
+
+def start_forgiving(
+    stream: DataFrame,
+    clock: DataFrame,
+    files: Callable[[], DataFrame],
+    process: Process,
+    out: str,
+    attempts: int = settings.FILE_ATTEMPTS,
+    pause_seconds: float = settings.ERROR_PAUSE_SECONDS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """``start`` for batches in which some file makes ``process`` fail: it is set aside, and the batch goes on.
+
+    ``stream``, ``clock`` and ``files`` are as in ``start_settled``. A batch that fails is halved by file until what
+    fails is one file (``apart``); all others are filed with their batch. A file that failed stands in a
+    ledger, one version per batch under ``out/ledger``, with its error and the time of its next try, which is
+    ``pause_seconds`` away and twice as far after each failure. After ``attempts`` tries it is given up and
+    becomes a row of ``given_up``. If nothing in a batch of several files succeeds, the fault is not
+    the files': the query ends, and a restart takes up the same batch. A file that has gone is forgotten. A
+    replayed batch reads the version before it and overwrites its own.
+    """
+    arrivals = stream.select("path", F.lit(None).cast("timestamp").alias("ts"))
+    both = arrivals.unionByName(clock.select(F.lit(None).cast("string").alias("path"), "ts"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        ws = Workspace(batch.sparkSession)
+        new = batch.where("path is not null").select("path", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("next_try"))
+        ticks = batch.where("path is null").select(F.lit(None).cast("string").alias("path"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"), F.col("ts").alias("next_try"))
+        rows = ws.stage(new.unionByName(ticks).unionByName(ledger(ws.spark, out, batch_id - 1)), f"arrivals-{batch_id}")
+        now = rows.where("path is null").agg(F.max("next_try").alias("now")).first().now
+        due = F.col("next_try").isNull() | (F.col("next_try") <= F.lit(now).cast("timestamp"))
+        tried = ws.stage(rows.where(F.col("path").isNotNull() & due).groupBy("path").agg(F.max("attempts").alias("attempts")), f"due-{batch_id}")
+        given = ws.stage(files().join(tried.select("path"), "path", "left_semi"), f"files-{batch_id}")
+        done, failed = apart(ws, given, process, batch_id)
+        path = f"{out}/rows/batch_id={batch_id}"
+        # Without any success the batch's rows are an empty table, also where a run before has left some.
+        for i, part in enumerate(done or [process(given.limit(0), batch_id)]):
+            part.write.mode("append" if i else "overwrite").parquet(path)
+        errors = ws.spark.createDataFrame(failed, "path string, error string") if failed else empty(ws.spark, "path string, error string")
+        counted = tried.join(errors, "path").withColumn("attempts", F.col("attempts") + 1)
+        pause = F.make_dt_interval(secs=F.lit(pause_seconds) * F.pow(F.lit(2), F.col("attempts") - 1))
+        again = counted.where(F.col("attempts") < attempts).withColumn("next_try", F.coalesce(F.lit(now).cast("timestamp"), F.current_timestamp()) + pause)
+        waiting = rows.where(F.col("path").isNotNull() & ~due)
+        tick = empty(ws.spark, LEDGER_SCHEMA) if now is None else rows.where("path is null").agg(F.max("next_try").alias("next_try")).select(
+            F.lit(None).cast("string").alias("path"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"), "next_try"
+        )
+        kept = waiting.unionByName(again.select(*waiting.columns)).unionByName(tick)
+        kept.write.mode("overwrite").parquet(f"{out}/ledger/batch_id={batch_id}")
+        lost = counted.where(F.col("attempts") >= attempts).select("path", "attempts", "error")
+        lost.write.mode("overwrite").parquet(f"{out}/given_up/batch_id={batch_id}")
+
+    writer = both.writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def apart(ws: Workspace, files: DataFrame, process: Process, batch_id: int) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """The staged rows of what can be processed of staged ``files``, and the path and error of each file that cannot.
+
+    A part that fails is halved by a hash of the path, so one bad file among n costs about twice log2(n)
+    attempts, the larger of them on files that are good.
+    """
+    done: list[DataFrame] = []
+    failed: list[tuple[str, str]] = []
+    parts = [(files, 0)]
+    while parts:
+        part, depth = parts.pop()
+        if depth and part.select("path").isEmpty():
+            continue
+        try:
+            done.append(ws.stage(process(part, batch_id), f"done-{batch_id}"))
+            continue
+        except Exception as error:  # whatever a job raises is data here
+            some = [r.path for r in part.select("path").distinct().limit(2).collect()]
+            if not some:
+                raise
+            reason = (str(error).strip().splitlines() or [type(error).__name__])[0][:1000]
+        if len(some) == 1:
+            failed.append((some[0], reason))
+            if len(failed) >= WHOLE_BATCH and not done:
+                raise RuntimeError(f"nothing in batch {batch_id} could be processed: {reason}")
+            continue
+        side = F.pmod(F.xxhash64(F.lit(depth), "path"), F.lit(2))
+        parts += [(part.where(side == i), depth + 1) for i in (0, 1)]
+    return done, failed
+
+
+def ledger(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """``path, attempts, error, next_try`` of the files that wait after a batch; a null path has the clock's time."""
+    if batch_id < 0:
+        return empty(spark, LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger/batch_id={batch_id}")
+
+
+def given_up(spark: SparkSession, out: str) -> DataFrame:
+    """``path, attempts, error, batch_id`` of the files that no batch takes up again."""
+    return spark.read.option("basePath", f"{out}/given_up").parquet(f"{out}/given_up/batch_id=*")
+
+
 def pending_files(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
     """``path, ts`` that the last batch before this one has left; only that version is read."""
     if batch_id == 0:

@@ -156,6 +156,45 @@ def test_stream_takes_each_file_once_and_replays_a_failed_batch(spark, tmp_path)
     assert intake.totals(metrics).first().asDict() == {"n_batches": 2, "n_files": 2, "n_rows": 2}
 
 
+def test_bad_files_are_set_aside(spark, tmp_path):
+    inbox, out, ticks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ticks")
+    inbox.mkdir()
+    bad = {"b3.pdf", "b7.pdf"}
+    start = datetime.datetime(2024, 1, 1)
+
+    def process(batch, batch_id):
+        name = F.element_at(F.split("path", "/"), -1)
+        return batch.select(F.when(name.isin(*bad) if bad else F.lit(False), F.raise_error(F.lit("broken"))).otherwise(name).alias("name"))
+
+    def run(hours):
+        spark.createDataFrame([(start + datetime.timedelta(hours=hours),)], "ts timestamp").write.mode("append").parquet(ticks)
+        clock = spark.readStream.schema("ts timestamp").parquet(ticks)
+        files = lambda: src.scan_inbox(spark, str(inbox))
+        intake.start_forgiving(src.watch_inbox(spark, str(inbox)), clock, files, process, out, attempts=3, pause_seconds=3600).awaitTermination()
+        return sorted(r.name for r in intake.sink_rows(spark, out).collect())
+
+    for i in range(9):
+        (inbox / f"b{i}.pdf").write_text(str(i))
+    good = [f"b{i}.pdf" for i in range(9) if i not in (3, 7)]
+    assert run(0) == good
+    waiting = intake.ledger(spark, out, 0).where("path is not null").collect()
+    assert {(r.path.rsplit("/", 1)[1], r.attempts) for r in waiting} == {("b3.pdf", 1), ("b7.pdf", 1)} and all("broken" in r.error for r in waiting)
+    assert {r.next_try for r in waiting} == {start + datetime.timedelta(hours=1)}
+    # Too early for another try; then one file is mended, and the other fails to the end.
+    assert run(0.5) == good
+    bad.remove("b7.pdf")
+    assert run(2) == sorted([*good, "b7.pdf"])
+    assert run(20) == sorted([*good, "b7.pdf"])
+    [lost] = intake.given_up(spark, out).collect()
+    assert (lost.path.rsplit("/", 1)[1], lost.attempts) == ("b3.pdf", 3)
+    assert intake.ledger(spark, out, 3).where("path is not null").count() == 0
+    bad.update(f"c{i}.pdf" for i in range(9))
+    for i in range(9):
+        (inbox / f"c{i}.pdf").write_text(str(i))
+    with pytest.raises(Exception, match="nothing in batch 4"):
+        run(30)
+
+
 def test_train_folder_reads_each_content_once(spark, ws, tmp_path):
     from belegwerk.plans.training import folder_corpus
 
