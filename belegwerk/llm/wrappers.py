@@ -33,7 +33,7 @@ BLOCKS = frozenset(
     caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary center""".split()
 )
 SPACES = frozenset("br hr".split())
-SKIPPED = frozenset("script style head noscript template svg canvas iframe object select textarea button math".split())
+SKIPPED = frozenset("script style noscript template svg canvas iframe object select textarea button math".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 NOISE_TAGS = frozenset("nav footer aside form fieldset".split())
 NOISE_WORDS = frozenset(
@@ -45,10 +45,16 @@ NOISE_WORDS = frozenset(
     login search form complementary contentinfo dialog hidden""".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main".split())
+# First words of class names that tell how a block is laid out or filed, not what it is.
+MODIFIERS = frozenset("has with no is not without hide show category tag type format status layout theme js wp".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
 _NAME = re.compile(r"[a-z]+")
+# An open button or list of choices ends here at the latest, though its end tag is missing.
+_CONTROL_END = re.compile(r"<(?:p|h[1-6]|article|section|main|ul|ol|dl|table|blockquote|header|footer|nav|aside)\b|</(?:div|section|article|main|body|header|footer|nav|form|li|td|p)\b", re.I)
+# Blocks deeper than this stand side by side.
+DEEPEST = 100
 # For Spark: what a page does not show, and its markup.
 _UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[a-z/!?][^>]*>"
 
@@ -62,19 +68,47 @@ class Element:
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """Tag and the words of class, id and role; numbers in names are left out, so they do not part pages."""
+    """Tag and what class, id and role say; numbers in names are left out, so they do not part pages.
+
+    A name that begins with a word like has or category is about the layout and says nothing. Of an id only
+    known words stay: headings have ids of their own, which would make each a kind.
+    """
     if not attributes.strip():
         return tag
     words = []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words += _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
+            for token in (a or b or c).split():
+                parts = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if len(parts) > 1 and parts[0] in MODIFIERS:
+                    continue
+                words += parts if name != "id" else [w for w in parts if w in NOISE_WORDS or w in MAIN_WORDS]
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", a or b or c)):
             words.append("hidden")
     return " ".join([tag, *sorted(set(words))]) if words else tag
 
 
+def _skip(text: str, at: int, tag: str, endless: set[str]) -> int:
+    """Where the content of an element that is not shown ends; ``at`` if it has no end, and is passed over."""
+    if tag in endless:
+        return at
+    if tag in ("button", "select"):
+        end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(text, at)
+        stop = _CONTROL_END.search(text, at)
+        return end.end() if end and not (stop and stop.start() < end.start()) else at
+    depth = 1
+    for found in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).finditer(text, at):
+        if tag in RAW and not found[1]:
+            continue
+        depth += -1 if found[1] else int(not found[0].rstrip(">").rstrip().endswith("/"))
+        if not depth:
+            return found.end()
+    endless.add(tag)
+    # A script or style without an end hides the rest, as in a browser.
+    return len(text) if tag in ("script", "style") else at
+
+
 def parse(page: str | None) -> Element:
     """The blocks of a page. Markup within a block only leaves its text; line breaks count as a blank.
 
@@ -83,34 +117,40 @@ def parse(page: str | None) -> Element:
     """
     root = Element("root")
     stack, text = [root], page or ""
-    at, skipping = 0, None
+    endless: set[str] = set()
+    at = 0
+
+    def add(part: Element | str) -> None:
+        """Put a part into the open block, or beside it once blocks are too deep."""
+        if len(stack) <= DEEPEST:
+            stack[-1].parts.append(part)
+            return
+        beside = stack[DEEPEST - 1].parts
+        if isinstance(part, str):
+            if beside[-1] is not stack[-1]:
+                stack[-1] = Element(stack[-1].kind)
+                beside.append(stack[-1])
+            stack[-1].parts.append(part)
+        else:
+            beside.append(part)
+
     while True:
         found = _TOKEN.search(text, at)
         piece = text[at : found.start()] if found else text[at:]
-        if piece and not skipping:
-            stack[-1].parts.append(piece)
+        if piece:
+            add(piece)
         if not found:
             return root
         at = found.end()
         if not found[2]:
             continue
         tag, closing = found[2].lower(), bool(found[1])
-        if skipping:
-            if tag == skipping:
-                depth += -1 if closing else 1
-                if not depth:
-                    skipping = None
-            continue
         if tag in SKIPPED or tag == "title":
             if not closing and not found[3].rstrip().endswith("/"):
-                if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(text, at)
-                    at = end.end() if end else len(text)
-                else:
-                    skipping, depth = tag, 1
+                at = _skip(text, at, tag, endless)
             continue
         if tag in SPACES:
-            stack[-1].parts.append(" ")
+            add(" ")
         elif tag in BLOCKS:
             if closing:
                 names = [e.kind.split(" ", 1)[0] for e in stack]
@@ -119,7 +159,7 @@ def parse(page: str | None) -> Element:
                 continue
             _end_open(stack, tag)
             element = Element(_kind(tag, found[3]))
-            stack[-1].parts.append(element)
+            add(element)
             if not found[3].rstrip().endswith("/"):
                 stack.append(element)
 
@@ -231,9 +271,43 @@ def align(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]
             j += 1
 
 
-def is_noise(kind: str, in_article: bool) -> bool:
-    """Whether a block's tag or names say that it is no article text; an article's own header is."""
+def shelter(page: Element) -> set[int]:
+    """Ids of the blocks that are around the article, whatever their names say.
+
+    These hold an article or main element; and forms with most of the page's text, around all of a page.
+    """
+    held: set[int] = set()
+    sizes: dict[int, int] = {}
+    forms: list[Element] = []
+
+    def walk(element: Element) -> tuple[int, bool]:
+        size, marked = 0, False
+        for part in element.parts:
+            if isinstance(part, str):
+                size += len(part.strip())
+                continue
+            more, inner = walk(part)
+            size += more
+            # An article that is a comment or a widget marks nothing.
+            marked |= inner or (part.kind.split(" ", 1)[0] in ("article", "main") and not is_noise(part.kind, False))
+        if marked:
+            held.add(id(element))
+        sizes[id(element)] = size
+        if element.kind.split(" ", 1)[0] in ("form", "fieldset"):
+            forms.append(element)
+        return size, marked
+
+    total, _ = walk(page)
+    return held | {id(f) for f in forms if sizes[id(f)] * 2 > total}
+
+
+def is_noise(kind: str, in_article: bool, around: bool = False) -> bool:
+    """Whether a block's tag or names say that it is no article text; an article's own header is, and so
+    is what stands ``around`` an article, but for menus, asides and footers.
+    """
     tag, *words = kind.split(" ")
+    if around:
+        return tag in NOISE_TAGS - {"form", "fieldset"}
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
         return True
     names = NOISE_WORDS - {"header"} if in_article else NOISE_WORDS
@@ -247,13 +321,22 @@ def marks_of(wrapper: list) -> list[str]:
     ones whose slots stand on more pages, deepest last.
     """
     found: dict[str, list] = {"article": [], "main": [], "named": []}
+    around: set[int] = set()
+
+    def holds(node: list) -> bool:
+        inner = [holds(c) or (c[0].split(" ", 1)[0] in ("article", "main") and not is_noise(c[0], False)) for c in node[4]]
+        if any(inner) or node[0].split(" ", 1)[0] in ("form", "fieldset"):
+            around.add(id(node))
+        return any(inner)
+
+    holds(wrapper)
 
     def walk(node: list, depth: int) -> int:
         slots = 0
         for child in node[4]:
             if child[0] == "#":
                 slots += child[1] if child[3] is None or child[2] & REPEATED else 0
-            elif not is_noise(child[0], False):
+            elif not is_noise(child[0], False, id(child) in around):
                 slots += walk(child, depth + 1)
         tag, *words = node[0].split(" ")
         if tag in ("article", "main"):
@@ -267,32 +350,30 @@ def marks_of(wrapper: list) -> list[str]:
     return [*(tag for tag in ("article", "main") if found[tag]), *named]
 
 
-def mark_on(page: Element, marks: list[str]) -> str | None:
-    """The first of ``marks`` that holds text on this very page; None for its whole body."""
-    held: set[str] = set()
+def mark_on(page: Element, marks: list[str], around: set[int]) -> str | None:
+    """The first of ``marks`` that holds most of the text that any of them holds on this very page; None for its whole body."""
+    held: dict[str, int] = dict.fromkeys(marks, 0)
 
-    def walk(element: Element, inside: bool) -> bool:
-        text = False
+    def walk(element: Element, inside: tuple[str, ...]) -> None:
         for part in _runs(element):
             if isinstance(part, str):
-                text = True
-            elif not is_noise(part.kind, inside):
-                mine = {part.kind, part.kind.split(" ", 1)[0]}.intersection(marks)
-                if walk(part, inside or bool(mine)):
-                    held.update(mine)
-                    text = True
-        return text
+                for mark in inside:
+                    held[mark] += len(part)
+            elif not is_noise(part.kind, bool(inside), id(part) in around):
+                walk(part, tuple({*inside, *{part.kind, part.kind.split(" ", 1)[0]}.intersection(marks)}))
 
-    walk(page, False)
-    return next((m for m in marks if m in held), None)
+    walk(page, ())
+    most = max(held.values(), default=0)
+    return next((m for m in marks if held[m] and held[m] * 2 >= most), None)
 
 
-def template_texts(wrapper: list) -> tuple[set[int], set[int]]:
+def template_texts(wrapper: list, whole: bool = False) -> tuple[set[int], set[int]]:
     """Ids of the wrapper's template texts, and of all nodes that hold one.
 
     Template is a text inside the articles, outside of groups, that stands in one place of most of the
     host's different pages, of ``AGREE`` at least. Only if something else in the articles differs:
-    else nothing tells template from text.
+    else nothing tells template from text. With ``whole``, for pages on which nothing marks an article, all
+    that the host's pages agree on is template, in whatever element: what is left are the slots.
     """
     texts: set[int] = set()
     above: set[int] = set()
@@ -307,7 +388,7 @@ def template_texts(wrapper: list) -> tuple[set[int], set[int]]:
             if child[0] == "#":
                 if inside and child[3] is None:
                     slots += 1
-                elif inside and not again and child[1] >= AGREE and child[1] * 2 > wrapper[1] and node[0].split(" ", 1)[0] not in ("h1", "p"):
+                elif inside and (whole or not again) and child[3] is not None and child[1] >= AGREE and child[1] * 2 > wrapper[1] and (whole or node[0].split(" ", 1)[0] not in ("h1", "p")):
                     texts.add(id(child))
                     holds = True
             elif walk(child, inside, again):
@@ -316,7 +397,7 @@ def template_texts(wrapper: list) -> tuple[set[int], set[int]]:
             above.add(id(node))
         return holds
 
-    walk(wrapper, False, False)
+    walk(wrapper, whole, False)
     return (texts, above) if slots else (set(), set())
 
 
@@ -337,23 +418,30 @@ def places(parts: list[Element | str], node: list) -> list[list | None]:
 
 
 def extract(page: str | None, wrapper: list) -> str:
-    """The article's blocks in page order, joined by two line feeds, without texts that are template at their place."""
-    root, (dull, above) = parse(page), template_texts(wrapper)
-    mark = mark_on(root, marks_of(wrapper))
+    """The article's blocks in page order, joined by two line feeds, without texts that are template at their place.
+
+    A main heading that stands before the article in the main element belongs to it. On a page that
+    nothing marks, the wrapper alone decides: the slots are the text.
+    """
+    root = parse(page)
+    around = shelter(root)
+    mark = mark_on(root, marks_of(wrapper), around)
+    dull, above = template_texts(wrapper, mark is None)
     out: list[str] = []
 
-    def walk(element: Element, inside: bool, node: list | None) -> None:
+    def walk(element: Element, inside: bool, main: bool, node: list | None) -> None:
         parts = list(_runs(element))
         stand = places(parts, node) if node is not None and id(node) in above else [None] * len(parts)
         for part, place in zip(parts, stand):
             if isinstance(part, str):
                 if inside and not (place is not None and id(place) in dull and place[3] == part):
                     out.append(part)
-            elif not is_noise(part.kind, inside):
+            elif not is_noise(part.kind, inside, id(part) in around):
                 tag = part.kind.split(" ", 1)[0]
-                walk(part, inside or mark is None or part.kind == mark or tag == mark, place)
+                mine = mark is None or part.kind == mark or tag == mark or (main and tag == "h1")
+                walk(part, inside or mine, main or tag == "main", place)
 
-    walk(root, mark is None, wrapper)
+    walk(root, mark is None, False, wrapper)
     return "\n\n".join(out)
 
 
@@ -375,21 +463,23 @@ def infer(ws: Workspace, pages: DataFrame) -> DataFrame:
     hashed = pages.select("host_key", "html", F.explode(F.array(shown)).alias("shown"))
     hashed = hashed.select("host_key", "html", F.xxhash64("shown").alias("p"), F.xxhash64(F.lit(7), "shown").alias("q"))
     source = hashed.groupBy("host_key", "p", "q").agg(F.min("html").alias("html")).select("host_key", "html")
+    source = source.sortWithinPartitions("host_key")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
+        # Hosts come one after another, so a task holds the wrapper of one.
+        part = TaskContext.get().partitionId()
+        current, known = None, None
         for pdf in batches:
             for host, page in zip(pdf["host_key"], pdf["html"]):
                 node = wrapper_of(parse(page))
-                if host in known:
-                    merge(known[host], node)
-                else:
-                    known[host] = node
-        # An empty frame of strings has no Arrow array.
-        if not known:
-            return
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"host_key": list(known), "part": part, "wrapper": [json.dumps(w) for w in known.values()]})
+                if known is not None and host == current:
+                    merge(known, node)
+                    continue
+                if known is not None:
+                    yield pd.DataFrame({"host_key": [current], "part": part, "wrapper": [json.dumps(known)]})
+                current, known = host, node
+        if known is not None:
+            yield pd.DataFrame({"host_key": [current], "part": part, "wrapper": [json.dumps(known)]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
@@ -413,7 +503,11 @@ def main_texts(ws: Workspace, pages: DataFrame, key: str = "page_id", url: str =
 
     The host is that of the URL; pages without one share a wrapper. A null page is empty and has the
     text ''. Character references are decoded, white space within a block becomes one blank. Repeated
-    rows each get a row. A page's text depends on its host's wrapper and on itself only.
+    rows each get a row. A page's text depends on its host's wrapper and on itself only. End tags may be missing:
+    an open head ends with the first block, an open button with the next heading, paragraph or list, other
+    elements that are not shown are passed over; only an open script or style hides the rest. Names of
+    classes that tell the layout, and names of blocks around an article, hide nothing. Blocks nested more than
+    ``DEEPEST`` deep stand side by side in page order.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     rows = rows.withColumn("host_key", null_safe(host_of("url")))

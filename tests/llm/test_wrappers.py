@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from belegwerk.llm import wrappers
 
 
@@ -104,3 +106,51 @@ def test_template_texts_are_those_of_most_pages_at_their_place(spark, ws):
     assert {r.page_id: r.text for r in wrappers.main_texts(ws, frame).collect()} == want
     (wrapper,) = wrappers.infer(ws, frame.selectExpr("'h' AS host_key", "html")).collect()
     assert json.loads(wrapper.wrapper)[1] == 21
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><meta charset=u><body><div class=menu>Menu</div><article><h1>Head</h1><p>One</p></article></body>", "Head\n\nOne"),
+        ("<body><div class='wrapper has-sidebar'><article><p>One</p></article><div class=sidebar>Side</div></div>", "One"),
+        ("<body><div class='sidebar-layout'><main><p>One</p></main></div>", "One"),
+        ("<body><form id=aspnetForm><div id=content><p>One is longest</p></div></form><form>Name</form>", "One is longest"),
+        ("<body><button>Menu<article><p>One</p><p>two</p></article>", "One\n\ntwo"),
+        ("<body><svg><article><p>One</p></article>", "One"),
+        ("<body><button>Menu</button><article><p>One <select><option>x</select>two</p></article>", "One two"),
+        ("<body><article class='post category-search'><p>One</p></article>", "One"),
+        ("<body><main><h1>Title</h1><article><p>One</p></article></main>", "Title\n\nOne"),
+        ("<body><div class=content><p>An intro that is longer</p><article><p>Teaser</p></article></div>", "An intro that is longer\n\nTeaser"),
+        ("<body><main><p>One</p></main><section class=comments><article class=comment><p>I say</p></article></section>", "One"),
+        ("<div>" * 3000 + "<p>Deep</p>after" + "</div>" * 3000 + "<p>end</p>", "Deep\n\nafter\n\nend"),
+    ],
+)
+def test_pages_keep_their_text(page, text):
+    assert wrappers.extract(page, wrappers.wrapper_of(wrappers.parse(page))) == text
+
+
+def test_slots_decide_without_names():
+    """A host whose markup tells nothing: what its pages agree on is template, and the slots are the text."""
+    pages = [
+        f"<body><div class=a><div>Home</div><div>About us</div></div><div class=b><div>Title {i}</div><p>First {i}</p><p>Second {i} text</p></div><div class=c>All rights</div></body>"
+        for i in range(8)
+    ]
+    known = wrappers.wrapper_of(wrappers.parse(pages[0]))
+    for page in pages[1:]:
+        wrappers.merge(known, wrappers.wrapper_of(wrappers.parse(page)))
+    assert [wrappers.extract(p, known) for p in pages] == [f"Title {i}\n\nFirst {i}\n\nSecond {i} text" for i in range(8)]
+    alone = wrappers.wrapper_of(wrappers.parse(pages[0]))
+    assert wrappers.extract(pages[0], alone).startswith("Home\n\nAbout us\n\nTitle 0")
+
+
+def test_own_ids_do_not_grow_the_wrapper():
+    def page(i):
+        return "<body><article>" + "".join(f"<h2 id='part-{w}'>{w}</h2><p>text {i}</p>" for w in ("alpha" * (i + 1), "beta" * (i + 2))) + "</article></body>"
+
+    def size(n):
+        known = wrappers.wrapper_of(wrappers.parse(page(0)))
+        for i in range(1, n):
+            wrappers.merge(known, wrappers.wrapper_of(wrappers.parse(page(i))))
+        return len(str(known))
+
+    assert size(60) <= size(10) + 50
