@@ -19,6 +19,12 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
+def _sized(line: Column) -> Column:
+    """A line's mark and its characters."""
+    mark = _mark(line)
+    return F.struct(mark["a"].alias("a"), mark["b"].alias("b"), F.length(F.btrim(line, F.lit(BLANKS))).alias("size"))
+
+
 def boilerplate(
     ws: Workspace,
     docs: DataFrame,
@@ -34,21 +40,36 @@ def boilerplate(
     one too. A line counts once a page. It is boilerplate if at least ``min_pages`` pages carry it and they are more than ``ratio`` of the
     host's pages. A host has fewer such lines than the mean number of lines of its pages divided by
     ``ratio``, so the list is short however many pages there are.
+
+    Near copies of an article share its lines as a site shares its menu, but there these lines are most of the
+    page. So with ``merge_copies`` a page counts for its frequent lines only if they make up half of its text or
+    less, in characters of its different lines; the lines that are still frequent then are the boilerplate.
     """
-    pages = docs.select(null_safe(host).alias("host_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if merge_copies:
-        # 128 bits stand for a text; copies collapse in their own task before anything is sent.
-        same = [F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q")]
-        pages = pages.groupBy("host_key", *same).agg(F.first("text").alias("text"))
-    totals = pages.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    marks = F.array_distinct(F.transform(F.split("text", "\n"), _mark))
-    lines = spread_rows(pages).select("host_key", F.inline(marks))
-    counts = lines.groupBy("host_key", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    common = counts.join(totals, "host_key").where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
-    blank = _mark(F.lit(""))
-    common = common.where((F.col("a") != blank["a"]) | (F.col("b") != blank["b"]))
-    lists = common.groupBy("host_key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return ws.stage(lists, "boilerplate")
+    # 128 bits stand for a text and for a line; only these are shuffled, and copies collapse before that.
+    same = [F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q")] if merge_copies else []
+    pages = spread_rows(docs.select(null_safe(host).alias("host_key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    pages = pages.select("host_key", *same, F.array_distinct(F.transform(F.split("text", "\n"), _sized)).alias("lines"))
+    page = ["host_key", "p", "q"] if merge_copies else ["host_key"]
+    each = pages.select(*page).distinct() if merge_copies else pages
+    totals = ws.stage(each.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_pages")), "totals")
+
+    def common(lines: DataFrame) -> DataFrame:
+        lines = lines.select(*page, "a", "b").distinct() if merge_copies else lines
+        counts = lines.groupBy("host_key", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+        often = counts.join(totals, "host_key").where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
+        blank = _mark(F.lit(""))
+        often = often.where((F.col("a") != blank["a"]) | (F.col("b") != blank["b"]))
+        lists = often.groupBy("host_key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+        return ws.stage(lists, "boilerplate")
+
+    lists = common(pages.select(*page, F.inline("lines")))
+    if not merge_copies:
+        return lists
+    found = lookup_join(pages, lists, "host_key")
+    mine = F.filter("lines", lambda x: F.array_contains("marks", F.struct(x.a.alias("a"), x.b.alias("b"))))
+    found = found.withColumn("mine", mine).where(F.size("mine") > 0)
+    size = lambda name: F.aggregate(name, F.lit(0), lambda acc, x: acc + x.size)
+    return common(found.where(size("mine") * 2 <= size("lines")).select(*page, F.inline("mine")))
 
 
 def drop_boilerplate(
@@ -66,7 +87,7 @@ def drop_boilerplate(
     Kept lines stay as they are. A null host is a host of its own. A null text stays null and an
     empty one empty, with no line counted; a text of boilerplate only becomes empty. Repeated rows are
     pages of their own, or one page with ``merge_copies``: then a document does not become boilerplate by
-    its copies; each row is still cleaned. Columns named as the new ones are replaced.
+    its copies, nor by near copies; each row is still cleaned. Columns named as the new ones are replaced.
     """
     lists = boilerplate(ws, docs, text, host, ratio, min_pages, merge_copies)
     by, marks, split, kept = fresh(docs, "_host", "_marks", "_lines", "_kept")
@@ -86,19 +107,32 @@ def drop_boilerplate(
     )
 
 
-# Counts rows as pages; it agrees with ``merge_copies`` as long as no copies move a line over the ratio.
 SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS row_no, doc_id, source, text FROM documents),
+texts AS (SELECT row_number() OVER () AS page_no, source, text FROM (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents)),
+marks AS (
+  SELECT DISTINCT page_no, source, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS mark
+  FROM (SELECT page_no, source, unnest(string_split(text, chr(10))) AS line FROM texts)),
+totals AS (SELECT source, count(*) AS n_pages FROM texts GROUP BY source),
+frequent AS (
+  SELECT m.source, m.mark FROM (SELECT source, mark, count(*) AS n FROM marks GROUP BY source, mark) m
+  JOIN totals t ON m.source IS NOT DISTINCT FROM t.source
+  WHERE m.n >= {MIN_PAGES} AND m.n > {RATIO} * t.n_pages AND m.mark <> ''),
+shares AS (
+  SELECT m.page_no, sum(length(m.mark)) AS size, coalesce(sum(length(m.mark)) FILTER (f.mark IS NOT NULL), 0) AS mine
+  FROM marks m LEFT JOIN frequent f ON m.source IS NOT DISTINCT FROM f.source AND m.mark = f.mark GROUP BY m.page_no),
+common AS (
+  SELECT c.source, c.mark FROM (
+    SELECT m.source, m.mark, count(*) AS n
+    FROM marks m JOIN frequent f ON m.source IS NOT DISTINCT FROM f.source AND m.mark = f.mark
+    JOIN shares s ON m.page_no = s.page_no AND s.mine * 2 <= s.size GROUP BY m.source, m.mark) c
+  JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.n_pages),
 lines AS (
   SELECT row_no, source, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS mark
   FROM (SELECT row_no, source, unnest(string_split(text, chr(10))) AS line,
                unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos
         FROM pages WHERE text <> '')),
-totals AS (SELECT source, count(*) AS n_pages FROM pages GROUP BY source),
-common AS (
-  SELECT l.source, l.mark FROM (SELECT source, mark, count(DISTINCT row_no) AS n FROM lines GROUP BY source, mark) l
-  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE l.n >= {MIN_PAGES} AND l.n > {RATIO} * t.n_pages AND l.mark <> ''),
 kept AS (
   SELECT l.row_no, count(*) AS n_lines, count(*) FILTER (c.mark IS NOT NULL) AS n_dropped,
          string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.mark IS NULL) AS text

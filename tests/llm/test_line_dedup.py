@@ -51,7 +51,7 @@ def test_sql_twin(spark, ws, tmp_path):
     frame = spark.createDataFrame(rows(), "doc_id long, text string, source string")
     path = str(tmp_path / "documents")
     frame.write.parquet(path)
-    got = line_dedup.drop_boilerplate(ws, frame).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    got = line_dedup.drop_boilerplate(ws, frame, merge_copies=True).select("doc_id", "n_lines", "n_dropped", "text").collect()
     want = duckdb.sql(line_dedup.SQL.replace("FROM documents", f"FROM '{path}/*.parquet'")).fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -79,3 +79,13 @@ def test_copies_are_one_page(spark, tmp_path):
     assert all(got[i] == (copy.removesuffix("\nMenu"), 1) for i in range(20))
     assert all(got[100 + i] == (f"text {i}", 1) for i in range(40))
     assert all(got[i] == (t, 0) for i, t, s in data if s == "t")
+
+
+def test_near_copies_keep_their_lines(spark, ws):
+    shared = [f"a line of the article, number {k}" for k in range(3)]
+    data = [(i, "\n".join([*shared, f"a fourth line that differs, {i}", "Menu"]), "s") for i in range(10)]
+    data += [(100 + i, f"an article of its own, number {i}\nand more of it, {i}\nMenu", "s") for i in range(20)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(ws, frame, merge_copies=True).collect()}
+    # The ten near copies are a third of the source; the menu goes from them as from all pages.
+    assert got == {i: (t.removesuffix("\nMenu"), 1) for i, t, _ in data}
