@@ -183,8 +183,10 @@ def clean(pieces: list[str]) -> str:
 
 
 # A wrapper node is [kind, pages, flags, text, children]. Flags: 1 optional, 2 repeated. Text nodes have
-# kind '#', and a text while all pages agree, None for a slot.
+# kind '#', and a text while all pages agree, None for a slot; a slot's children are the short texts that
+# come up in it, with the pages that have them, of which only the most frequent are kept.
 OPTIONAL, REPEATED = 1, 2
+SHORT, KEPT_TEXTS = 80, 64
 
 
 def wrapper_of(element: Element) -> list:
@@ -196,9 +198,7 @@ def wrapper_of(element: Element) -> list:
         else:
             node = wrapper_of(part)
         if children and children[-1][0] == node[0]:
-            pages = children[-1][1]
-            merge(children[-1], node)
-            children[-1][1] = pages
+            merge(children[-1], node, True)
             children[-1][2] |= REPEATED
         else:
             children.append(node)
@@ -219,13 +219,28 @@ def _runs(element: Element) -> Iterator[Element | str]:
             yield part
 
 
-def merge(a: list, b: list) -> None:
-    """Align wrapper ``b`` with ``a`` and generalise ``a`` so that it covers both."""
-    a[1] += b[1]
+def _texts(node: list) -> dict[str, int]:
+    if node[3] is None:
+        return node[4] or {}
+    return {node[3]: node[1]} if len(node[3]) <= SHORT else {}
+
+
+def merge(a: list, b: list, same_page: bool = False) -> None:
+    """Align wrapper ``b`` with ``a`` and generalise ``a`` so that it covers both.
+
+    Of neighbours on the ``same_page`` the pages are not added up.
+    """
+    texts = (_texts(a), _texts(b)) if a[0] == "#" and (a[3] is None or a[3] != b[3]) else None
+    a[1] = max(a[1], b[1]) if same_page else a[1] + b[1]
     a[2] |= b[2]
     if a[0] == "#":
-        if a[3] != b[3]:
-            a[3] = None
+        if texts:
+            both, more = dict(texts[0]), texts[1]
+            for text, n in more.items():
+                both[text] = max(both.get(text, 0), n) if same_page else both.get(text, 0) + n
+            if len(both) > KEPT_TEXTS:
+                both = dict(sorted(both.items(), key=lambda x: -x[1])[:KEPT_TEXTS])
+            a[3], a[4] = None, both
         return
     merged: list[list] = []
     for x, y in align([c[0] for c in a[4]], [c[0] for c in b[4]]):
@@ -237,11 +252,9 @@ def merge(a: list, b: list) -> None:
             node[2] |= OPTIONAL
         else:
             node = a[4][x]
-            merge(node, b[4][y])
+            merge(node, b[4][y], same_page)
         if merged and merged[-1][0] == node[0]:
-            pages = max(merged[-1][1], node[1])
-            merge(merged[-1], node)
-            merged[-1][1] = pages
+            merge(merged[-1], node, True)
             merged[-1][2] |= REPEATED
         else:
             merged.append(node)
@@ -324,7 +337,7 @@ def marks_of(wrapper: list) -> list[str]:
     around: set[int] = set()
 
     def holds(node: list) -> bool:
-        inner = [holds(c) or (c[0].split(" ", 1)[0] in ("article", "main") and not is_noise(c[0], False)) for c in node[4]]
+        inner = [holds(c) or (c[0].split(" ", 1)[0] in ("article", "main") and not is_noise(c[0], False)) for c in node[4] if c[0] != "#"]
         if any(inner) or node[0].split(" ", 1)[0] in ("form", "fieldset"):
             around.add(id(node))
         return any(inner)
@@ -367,15 +380,16 @@ def mark_on(page: Element, marks: list[str], around: set[int]) -> str | None:
     return next((m for m in marks if held[m] and held[m] * 2 >= most), None)
 
 
-def template_texts(wrapper: list, whole: bool = False) -> tuple[set[int], set[int]]:
-    """Ids of the wrapper's template texts, and of all nodes that hold one.
+def template_texts(wrapper: list, whole: bool = False) -> tuple[dict[int, set[str]], set[int]]:
+    """The wrapper's template texts by the id of their node, and the ids of all nodes that hold one.
 
     Template is a text inside the articles, outside of groups, that stands in one place of most of the
     host's different pages, of ``AGREE`` at least. Only if something else in the articles differs:
     else nothing tells template from text. With ``whole``, for pages on which nothing marks an article, all
-    that the host's pages agree on is template, in whatever element: what is left are the slots.
+    that most pages of the host agree on is template, in whatever element and in groups as well: what is left
+    are the slots.
     """
-    texts: set[int] = set()
+    texts: dict[int, set[str]] = {}
     above: set[int] = set()
     slots = 0
 
@@ -386,10 +400,13 @@ def template_texts(wrapper: list, whole: bool = False) -> tuple[set[int], set[in
         for child in node[4]:
             again = repeated or bool(child[2] & REPEATED)
             if child[0] == "#":
-                if inside and child[3] is None:
-                    slots += 1
-                elif inside and (whole or not again) and child[3] is not None and child[1] >= AGREE and child[1] * 2 > wrapper[1] and (whole or node[0].split(" ", 1)[0] not in ("h1", "p")):
-                    texts.add(id(child))
+                slots += inside and child[3] is None
+                if not inside or not (whole or (not again and child[3] is not None and node[0].split(" ", 1)[0] not in ("h1", "p"))):
+                    continue
+                counts = {child[3]: child[1]} if child[3] is not None else child[4]
+                dull = {t for t, n in counts.items() if n >= AGREE and n * 2 > wrapper[1]}
+                if dull:
+                    texts[id(child)] = dull
                     holds = True
             elif walk(child, inside, again):
                 holds = True
@@ -398,7 +415,7 @@ def template_texts(wrapper: list, whole: bool = False) -> tuple[set[int], set[in
         return holds
 
     walk(wrapper, whole, False)
-    return (texts, above) if slots else (set(), set())
+    return (texts, above) if slots else ({}, set())
 
 
 def places(parts: list[Element | str], node: list) -> list[list | None]:
@@ -434,7 +451,7 @@ def extract(page: str | None, wrapper: list) -> str:
         stand = places(parts, node) if node is not None and id(node) in above else [None] * len(parts)
         for part, place in zip(parts, stand):
             if isinstance(part, str):
-                if inside and not (place is not None and id(place) in dull and place[3] == part):
+                if inside and not (place is not None and part in dull.get(id(place), ())):
                     out.append(part)
             elif not is_noise(part.kind, inside, id(part) in around):
                 tag = part.kind.split(" ", 1)[0]

@@ -153,4 +153,5 @@ def test_own_ids_do_not_grow_the_wrapper():
             wrappers.merge(known, wrappers.wrapper_of(wrappers.parse(page(i))))
         return len(str(known))
 
-    assert size(60) <= size(10) + 50
+    # A slot keeps some texts at most, so the wrapper stops growing.
+    assert size(240) <= size(120) + 400
