@@ -256,21 +256,25 @@ def fit(
     """Word vectors of all texts, ready for ``pool``, and the network.
 
     The network learns from labelled rows outside the held-out fold only, at most ``max_labelled`` of them,
-    the first by a seeded hash of the key. So few rows are sent to the texts, which stay where they are.
+    the first by a seeded hash of the key. So few rows are sent to the texts, which stay where they are. Where a
+    labelled key stands in several rows of ``docs`` each teaches, of all these again at most
+    ``max_labelled``, the first by a hash of key, label and text.
     """
     squared = with_squares(word_vectors(docs, text))
     given = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     given = given.where(crc_mod("doc_id", folds) != held).withColumn("_draw", F.xxhash64(F.lit(SEED), "doc_id"))
     given = given.orderBy("_draw", "doc_id", "y").limit(max_labelled).drop("_draw")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sample = source.join(F.broadcast(given), "doc_id").select("doc_id", "y", "text")
+    sample = source.join(F.broadcast(given), "doc_id").select("doc_id", "y", F.xxhash64(F.lit(SEED), "doc_id", "y", "text").alias("draw"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(squared)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], _lists(_pooled(batch["text"], sent.value))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], batch["draw"], _lists(_pooled(batch["text"], sent.value))], ["doc_id", "y", "draw", "x"])
 
-    rows = sample.mapInArrow(features, "doc_id long, y int, x array<float>").toPandas().sort_values(["doc_id", "y"])
+    # A labelled key may stand in any number of rows; the bound holds for these as well.
+    found = sample.mapInArrow(features, "doc_id long, y int, draw long, x array<float>").orderBy("draw", "doc_id", "y").limit(max_labelled)
+    rows = found.toPandas().sort_values(["doc_id", "y", "draw"])
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), squared.shape[1] + 1)
     return squared, fit_network(x, (rows["y"].to_numpy() > 0).astype(np.float64))
 

@@ -74,3 +74,13 @@ def test_odd_rows(spark, ws, odd, none):
     assert kept.schema == odd.schema and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
     assert quality.accepted(none, marks).count() == 0
     assert quality.score(odd, marks.limit(0)).where("abs(score - 0.5) > 1e-9").count() == 0
+
+
+def test_repeated_labelled_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    real = quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda x, y: seen.append(len(y)) or real(x, y))
+    docs = spark.range(400).selectExpr("id % 4 as doc_id", "concat('some words of text ', id) as text").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    quality.fit(docs, labels, max_labelled=50)
+    assert seen == [50]
