@@ -13,6 +13,11 @@ from belegwerk import settings
 from belegwerk.functions.dates import reply_date, text_date
 from belegwerk.functions.replies import parse_reply
 from belegwerk.functions.text import first_line_subject, present, prompt_text
+from belegwerk.operators.text_cache import TextCache
+from belegwerk.workspace import Workspace
+
+# Prompts that are asked before their replies are stored.
+REPLY_BATCH = 10_000
 
 
 class Extractor:
@@ -58,6 +63,28 @@ def extract_missing(docs: DataFrame, make: Callable[[], Extractor]) -> DataFrame
     return docs.withColumn("reply", extractor_reply(F.when(missing, F.col("text")), make))
 
 
+def extract_stored(
+    ws: Workspace, docs: DataFrame, make: Callable[[], Extractor], path: str, version: str = "1", batch: int = REPLY_BATCH
+) -> DataFrame:
+    """``extract_missing`` with a store of replies at ``path``: a prompt is asked once per ``version`` of the extractor.
+
+    Equal prompts are asked once. New ones go to the extractor in slices of about ``batch``, and each
+    slice is in the store before the next begins, so a run that fails or is replayed asks at most one slice
+    again. No reply is kept as well, as an empty one, which is turned back into a null.
+    """
+    missing = F.col("date").isNull() | present("subject").isNull()
+    prompt = F.when(missing, prompt_text("text"))
+    marked = docs.withColumn("content_hash", F.md5(F.concat_ws("\n", F.lit(version), prompt).cast("binary")))
+    marked = ws.stage(marked.withColumn("content_hash", F.when(prompt.isNotNull(), F.col("content_hash"))), "prompts")
+    store = TextCache(ws.spark, path)
+    new = ws.stage(store.misses(marked.select("content_hash", prompt_text("text").alias("prompt"))), "unasked")
+    slices = -(-new.count() // batch)
+    for i in range(slices):
+        part = new.where(F.pmod(F.xxhash64("content_hash"), F.lit(slices)) == i)
+        store = store.add(ws, part.select("content_hash", F.coalesce(extractor_reply("prompt", make), F.lit("")).alias("norm_text")))
+    return store.with_text(ws, marked).withColumn("reply", F.nullif("norm_text", F.lit(""))).drop("norm_text", "content_hash")
+
+
 def fill_date(
     docs: DataFrame, as_of: datetime.date, reply: Column | None = None, mtime: str = "mtime"
 ) -> DataFrame:

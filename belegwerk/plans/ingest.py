@@ -11,7 +11,7 @@ from belegwerk.functions.paths import is_pdf
 from belegwerk.functions.text import build_name, normalize_text
 from belegwerk.operators.bayes import Model, classify
 from belegwerk.operators.filing import manifest, route, tax_copies
-from belegwerk.operators.metadata import Extractor, extract_missing, fill_metadata
+from belegwerk.operators.metadata import Extractor, extract_missing, extract_stored, fill_metadata
 from belegwerk.operators.rules import apply_rules
 from belegwerk.settings import JobSettings
 from belegwerk.sources.files import PageReader, page_text, read_pages, scan_inbox
@@ -24,15 +24,19 @@ def understand(
     model: Model,
     job: JobSettings,
     extractor: Callable[[], Extractor] | None = None,
+    replies: str | None = None,
 ) -> DataFrame:
     """Staged ``doc_id, path, subfolder, confidence, date, subject`` of ``doc_id, path, text, mtime``.
 
-    Replies come from ``extractor`` or from a column ``reply`` of the input; both may be absent.
+    Replies come from ``extractor`` or from a column ``reply`` of the input; both may be absent. With a
+    folder ``replies`` the extractor's replies are stored there, and no prompt is asked twice.
     """
     rows = docs.where(is_pdf("path")).withColumn("text", F.coalesce("text", F.lit("")))
     rows = classify(model, rows.withColumn("norm", normalize_text("text"))).drop("norm")
     rows = apply_rules(rows, job.rules, job.as_of, "subject").withColumn("date", F.lit(None).cast("date"))
-    if extractor is not None:
+    if extractor is not None and replies is not None:
+        rows = extract_stored(ws, rows.drop("reply"), extractor, replies)
+    elif extractor is not None:
         rows = extract_missing(rows.drop("reply"), extractor)
     elif "reply" not in rows.columns:
         rows = rows.withColumn("reply", F.lit(None).cast("string"))
@@ -65,8 +69,9 @@ def ingest(
     existing: DataFrame,
     job: JobSettings,
     extractor: Callable[[], Extractor] | None = None,
+    replies: str | None = None,
 ) -> DataFrame:
-    return file_away(ws, understand(ws, docs, model, job, extractor), existing, job)
+    return file_away(ws, understand(ws, docs, model, job, extractor, replies), existing, job)
 
 
 def read_inbox(ws: Workspace, files: DataFrame, reader: PageReader) -> DataFrame:
@@ -94,7 +99,8 @@ def ingest_folder(
     existing: DataFrame,
     job: JobSettings,
     extractor: Callable[[], Extractor] | None = None,
+    replies: str | None = None,
 ) -> DataFrame:
     """The manifest of the PDF files directly in a folder: scan, read, classify, name, route, file."""
     docs = read_inbox(ws, scan_inbox(ws.spark, root), reader).drop("error")
-    return ingest(ws, docs, model, existing, job, extractor)
+    return ingest(ws, docs, model, existing, job, extractor, replies)

@@ -233,12 +233,13 @@ def ingest_batches(
 ) -> Process:
     """A ``process`` that runs the whole job; names given in earlier batches count as taken.
 
-    ``read`` turns file rows into ``doc_id, path, text, mtime``.
+    ``read`` turns file rows into ``doc_id, path, text, mtime``. The extractor's replies are stored under
+    ``out/replies`` before their batch is filed, so a replayed batch asks for none of them again.
     """
 
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
         docs = ws.stage(read(batch), f"batch-{batch_id}")
-        return ingest(ws, docs, model, earlier_names(ws, out, batch_id), job, extractor)
+        return ingest(ws, docs, model, earlier_names(ws, out, batch_id), job, extractor, f"{out}/replies")
 
     return process
 

@@ -117,6 +117,48 @@ def test_extractor_runs_where_something_is_missing(spark):
     assert got == {1: '{"date":"","subject":"4000"}', 2: '{"date":"","subject":"2"}', 3: None, 4: None}
 
 
+def test_replies_are_asked_once(spark, ws, tmp_path):
+    from belegwerk.operators.metadata import extract_stored
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting(Extractor):
+        folder = str(calls)
+        broken = False
+
+        def reply(self, text):
+            import uuid
+
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").write(text)
+            if self.broken and text == "bad":
+                raise RuntimeError("extractor lost")
+            return None if text == "leer" else f'{{"date":"","subject":"{text}"}}'
+
+    class Broken(Counting):
+        broken = True
+
+    rows = [(i, f"text {i % 7}", None, None) for i in range(20)] + [(30, "leer", None, ""), (31, "full", datetime.date(2024, 1, 1), "s"), (32, None, None, None), (33, "bad", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, date date, subject string")
+    store = str(tmp_path / "store")
+
+    def asked():
+        return sorted(p.read_text() for p in calls.iterdir())
+
+    with pytest.raises(Exception, match="extractor lost"):
+        extract_stored(ws, docs, Broken, store, batch=1).collect()
+    before = len(asked())
+    got = {r.doc_id: r.reply for r in extract_stored(ws, docs, Counting, store, batch=3).collect()}
+    assert got[5] == '{"date":"","subject":"text 5"}' and got[30] is None and got[31] is None and got[32] is None and got[33]
+    # Some replies were stored before the failure; none of the nine prompts was lost or asked again but the bad one.
+    assert sorted(set(asked())) == sorted([f"text {i}" for i in range(7)] + ["bad", "leer"])
+    after = len(asked())
+    assert after >= 9 and after - before < 9 + (before == 0)
+    again = extract_stored(ws, docs, Counting, store)
+    assert {r.doc_id: r.reply for r in again.collect()} == got and len(asked()) == after
+    assert extract_stored(ws, docs.limit(1), Counting, store, version="2").first().reply and len(asked()) == after + 1
+
+
 def test_settle(spark):
     start = datetime.datetime(2024, 1, 1)
     seconds = [("a", s) for s in (0, 4, 9, 15)] + [("b", 2), ("b", 7.000001)]
