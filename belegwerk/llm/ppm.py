@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import crc_mod, spread_rows, texts_of
+from belegwerk.llm.common import crc_mod, texts_of
 from belegwerk.workspace import Workspace
 
 ORDER = 5
 ALPHABET = 257
 END = 256
-# The trie keeps at most this many symbols of each order, the most frequent; rarer ones back off.
-MAX_ENTRIES = 1_000_000
 CHUNK = 1 << 20
 BLOCK_BYTES = 16 << 20
-# Different grams that a task holds before it passes their counts on.
+# Grams that a task holds twice before it adds up their counts.
 HELD_GRAMS = 1 << 21
+# Grams in one row on their way out of a task.
+SLICE = 1 << 13
 
 
 def stream(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,72 +60,63 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], sums
 
 
-class Trie:
-    """Counts of symbols after contexts of each order, with escapes by method C and symbol exclusion."""
+def gram_values(ws: Workspace, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, value``: log10 probability of each gram's last symbol after the symbols before it.
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``levels[k]``: sorted keys of ``k + 1`` symbols and their counts.
-
-        Each kept symbol of a context must also be kept after the context's own suffix, as it is when
-        no level has a lower bound of counts than the one below.
-        """
-        a = np.uint64(ALPHABET)
-        self.levels = []
-        for k, (keys, counts) in enumerate(levels):
-            nodes, start = np.unique(keys // a, return_index=True)
-            if len(keys):
-                total = np.add.reduceat(counts, start).astype(np.float64)
-                kinds = np.diff(np.append(start, len(keys))).astype(np.float64)
-            else:
-                total = kinds = np.zeros(0)
-            # Totals and kinds of the suffix context without the symbols that this context has seen.
-            rest, fresh = np.zeros(len(nodes)), np.zeros(len(nodes))
-            if k and len(keys):
-                lower = self.levels[k - 1]
-                place = np.searchsorted(lower["keys"], keys % a**np.uint64(k))
-                seen = np.add.reduceat(lower["counts"][place], start)
-                up = np.searchsorted(lower["nodes"], nodes % a ** np.uint64(k - 1))
-                rest, fresh = lower["total"][up] - seen, lower["kinds"][up] - kinds
-            self.levels.append({"keys": keys, "counts": counts.astype(np.float64), "nodes": nodes, "total": total, "kinds": kinds, "rest": rest, "fresh": fresh})
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each gram after the symbols before it."""
-        order = len(self.levels) - 1
-        a = np.uint64(ALPHABET)
-        out = np.zeros(len(grams))
-        alive = np.arange(len(grams))
-        # What the last escape left of the context below; -1 where no longer context was known.
-        total, kinds = np.full(len(grams), -1.0), np.full(len(grams), -1.0)
-        for k in range(order, -1, -1):
-            level = self.levels[k]
-            if not len(alive) or not len(level["keys"]):
-                continue
-            key = grams[alive] % a ** np.uint64(k + 1)
-            node, known = _find(level["nodes"], key // a)
-            entry, seen = _find(level["keys"], key)
-            came = total[alive] >= 0
-            t = np.where(came, total[alive], level["total"][node])
-            d = np.where(came, kinds[alive], level["kinds"][node])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hit = np.log10(level["counts"][entry] / (t + d))
-                miss = np.where(d > 0, np.log10(d / (t + d)), 0.0)
-            out[alive] += np.where(known, np.where(seen, hit, miss), 0.0)
-            total[alive] = np.where(known, level["rest"][node], total[alive])
-            kinds[alive] = np.where(known, level["fresh"][node], kinds[alive])
-            alive = alive[~(known & seen)]
-        left = ALPHABET - (self.levels[0]["kinds"][0] if len(self.levels[0]["kinds"]) else 0)
-        out[alive] -= np.log10(max(left, 1))
-        return out
+    ``grams`` has ``key, n``, in any number of rows a gram: how often training texts hold it, zero for
+    a gram that is only asked for. The trie is one table per depth, a node being the symbols before
+    the last one. Escapes follow method C with symbol exclusion.
 
+    A depth's rows are the suffixes of the next one's, so what is asked for is there at every depth. A
+    node has at most 257 rows, and a row of a shorter suffix meets at most 257 of the longer one:
+    no key is hot, however the texts are made.
+    """
+    table, tables = grams.groupBy("key").agg(F.sum("n").alias("n")), []
+    for k in range(order, -1, -1):
+        if k < order:
+            table = table.groupBy((F.col("key") % F.lit(ALPHABET ** (k + 1))).alias("key")).agg(F.sum("n").alias("n"))
+        table = ws.stage(table, f"grams{k}")
+        tables.append(table)
+    over = Window.partitionBy("node")
+    known = F.col("n") > 0
+    lower = None
+    for k, table in enumerate(reversed(tables)):
+        rows = table.withColumn("node", F.expr(f"key div {ALPHABET}"))
+        sums = {"total": F.sum("n").over(over), "kinds": F.count(F.when(known, 1)).over(over)}
+        if lower is None:
+            rows = rows.withColumns(sums)
+            after = -F.log10(F.greatest(F.lit(ALPHABET) - F.col("kinds"), F.lit(1)))
+            unseen = F.lit(-math.log10(ALPHABET))
+        else:
+            shorter = lower.select(*[F.col(c).alias(f"{c}_") for c in ("key", "n", "total", "kinds", "after", "value")])
+            rows = rows.join(shorter, F.col("key") % F.lit(ALPHABET**k) == F.col("key_"))
+            rows = rows.withColumns(sums | {"gone": F.coalesce(F.sum(F.when(known, F.col("n_"))).over(over), F.lit(0))})
+            # What the shorter context has left without the symbols that this one has seen.
+            fresh = F.col("kinds_") - F.col("kinds")
+            bottom = F.log10(F.col("total_") - F.col("gone") + fresh)
+            after = (
+                F.when(F.col("n_") > 0, F.log10("n_") - bottom)
+                .when(fresh > 0, F.log10(fresh) - bottom + F.col("after_"))
+                .otherwise(F.col("after_"))
+            )
+            unseen = F.col("value_")
+        rows = rows.withColumn("after", after)
+        bottom = F.log10(F.col("total") + F.col("kinds"))
+        value = (
+            F.when(F.col("total") == 0, unseen)
+            .when(known, F.log10("n") - bottom)
+            .otherwise(F.log10("kinds") - bottom + F.col("after"))
+        )
+        names = ["key", "value"] if k == order else ["key", "n", "total", "kinds", "after", "value"]
+        lower = ws.stage(rows.withColumn("value", value).select(*names), f"values{k}")
+    return lower
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
+def text_scores(table: np.ndarray, values: np.ndarray, texts: list[bytes], order: int) -> list[float]:
+    """log10 probability of each text, from sorted keys of all its grams and their values.
 
-def text_scores(trie: Trie, texts: list[bytes], order: int) -> list[float]:
-    """log10 probability of each text. Each different gram is looked up once: grams are sorted with the
-    number of their text in the low bits, so neither the order nor the texts need a second array.
+    Each different gram is looked up once: grams are sorted with the number of their text in the low
+    bits, so neither the order nor the texts need a second array.
     """
     bits = 64 - int(np.ceil((order + 1) * np.log2(ALPHABET)))
     out: list[float] = []
@@ -137,7 +126,7 @@ def text_scores(trie: Trie, texts: list[bytes], order: int) -> list[float]:
         both = np.sort((keys << np.uint64(bits)) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
         keys = both >> np.uint64(bits)
         head = np.concatenate(([True], keys[1:] != keys[:-1]))
-        value = trie.log10(keys[head])[np.cumsum(head) - 1]
+        value = values[np.searchsorted(table, keys[head])][np.cumsum(head) - 1]
         out += np.bincount((both & np.uint64((1 << bits) - 1)).astype(np.int64), weights=value, minlength=len(part)).tolist()
     return out
 
@@ -158,70 +147,19 @@ def chunked(texts: Iterator[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
         yield run
 
 
-Levels = list[tuple[np.ndarray, np.ndarray]]
-
-_tries: dict[str, Trie] = {}
-
-
-def trie_of(sent: Broadcast[Levels], name: str) -> Trie:
-    """The trie of broadcast counts, built once in each Python worker: counts are far smaller than the trie."""
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = Trie(sent.value)
-    return _tries[name]
-
-
-def train(ws: Workspace, texts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Levels:
-    """Sorted keys and counts per order, for ``Trie``, of all texts in the one column of ``texts``; null is empty.
-
-    Every gram of every text is counted. Lower orders are sums over the counts of the highest. Of an
-    order with more than ``max_entries`` symbols the rare ones are cut by a count that rises until
-    the rest fits: the model's size is a parameter, what it is counted from is all of the corpus.
-    """
-    column = texts.columns[0]
-
-    def sent(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for run in chunked(map(lowered, texts_of(batch[column]))):
-                held.append(tally(stream(run, order)[0]))
-                size += len(held[-1][0])
-                if size > HELD_GRAMS:
-                    held = [tally(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
-                    if size > HELD_GRAMS // 2:
-                        yield sent(*held[0])
-                        held, size = [], 0
-        if held:
-            yield sent(*tally(*map(np.concatenate, zip(*held))))
-
-    table = spread_rows(texts).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    tables = []
-    for k in range(order, -1, -1):
-        if k < order:
-            table = table.groupBy((F.col("key") % ALPHABET ** (k + 1)).alias("key")).agg(F.sum("n").alias("n"))
-        table = ws.stage(table, f"grams{k}")
-        tables.insert(0, table)
-    levels, floor = [], 1
-    for table in tables:
-        rough = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) * F.pow(2, F.floor(F.log2(F.col("n") / 1024))))
-        bins = sorted((int(r.b), r.c) for r in table.groupBy(rough.cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
-        left = sum(c for _, c in bins)
-        for b, c in bins:
-            if left <= max_entries:
-                break
-            left -= c
-            floor = max(floor, b + 1 if b < 1024 else 2 * b)
-        rows = table.where(F.col("n") >= floor).toArrow()
-        keys, counts = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-        del rows
-        by_key = np.argsort(keys)
-        levels.append((keys[by_key], counts[by_key]))
-    return levels
+def gram_counts(texts: Iterator[bytes], held_out: Iterator[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different grams of all texts and how often ``texts`` hold them; those of ``held_out`` count zero."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = limit = 0
+    for group, one in ((texts, 1), (held_out, 0)):
+        for run in chunked(group):
+            keys, n = tally(stream(run, order)[0])
+            parts.append((keys, n * one))
+            size += len(keys)
+            if size > limit + HELD_GRAMS:
+                parts = [tally(*map(np.concatenate, zip(*parts)))]
+                size = limit = len(parts[0][0])
+    return tally(*map(np.concatenate, zip(*parts)))
 
 
 def score(
@@ -232,7 +170,6 @@ def score(
     folds: int = 5,
     held: int = 1,
     order: int = ORDER,
-    max_entries: int = MAX_ENTRIES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes`` for every row.
@@ -243,76 +180,94 @@ def score(
     word counts. Repeated rows count and are scored one by one. An empty training set leaves uniform
     bytes and one unknown token.
 
-    The base needs each word's count over the corpus. Rows are dealt into blocks of bounded size; each
-    block sends its different words once, so a word that a third of all rows hold moves once a block,
-    and gets back the counts of those that other blocks hold too.
+    Neither model has a cap: both grow with the corpus and stay tables. Rows are dealt into blocks of
+    bounded size; a block sends each different gram and word once, so what a third of all rows
+    hold moves once a block, and gets back the values of its grams and the counts of the words that
+    other blocks hold too.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     is_held = crc_mod("doc_id", folds) == held
-    levels = train(ws, source.where(~is_held).select("text"), order, max_entries)
-    sent, name = docs.sparkSession.sparkContext.broadcast(levels), uuid.uuid4().hex
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     dealt = source.select("doc_id", "text", is_held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
-    def words_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    def count_block(rows: pa.Table) -> pa.Table:
         known, every = Counter(), set()
-        for t, out in zip(pdf["text"], pdf["held_out"]):
-            found = lowered(t).split()
-            if out:
-                every.update(found)
-            else:
-                known.update(found)
-                known[b""] += 1
+        kept, out = (rows.filter(mask)["text"] for mask in (pc.invert(rows["held_out"]), rows["held_out"]))
+        keys, counts = gram_counts(map(lowered, texts_of(kept)), map(lowered, texts_of(out)), order)
+        for t in texts_of(kept):
+            known.update(lowered(t).split())
+        if len(kept):
+            known[b""] = len(kept)
+        for t in texts_of(out):
+            every.update(lowered(t).split())
+            every.add(b"")
         every.difference_update(known)
         names = [*known, *every]
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "word": names, "n": [*known.values(), *([0] * len(every))]})
+        ends = np.append(np.arange(0, len(keys), SLICE), len(keys)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(a.astype(np.int64))) for a in (keys, counts)]
+        n_rows = len(names) + len(lists[0])
+        return pa.table(
+            {
+                "block": pa.array(np.full(n_rows, rows["block"][0].as_py(), np.int64)),
+                "word": pa.array(names + [None] * len(lists[0]), pa.binary()),
+                "n": pa.array([*known.values(), *([0] * (n_rows - len(known)))], pa.int64()),
+                **{c: pa.concat_arrays([pa.nulls(len(names), a.type), a]) for c, a in zip(("keys", "counts"), lists)},
+            }
+        )
 
-    rows = dealt.groupBy("block").applyInPandas(words_of, "block long, word binary, n long")
+    sent = dealt.groupBy("block").applyInArrow(count_block, "block long, word binary, n long, keys array<long>, counts array<long>")
+    sent = ws.stage(sent, "blocks")
+    grams = sent.where("keys is not null").select("block", F.inline(F.arrays_zip("keys", "counts"))).toDF("block", "key", "n")
+    values = gram_values(ws, grams.select("key", "n"), order)
     over = Window.partitionBy("word")
+    rows = sent.where("word is not null").select("block", "word", "n")
     rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("lead", F.col("block") == F.min("block").over(over))
     counted = ws.stage(rows, "words")
     row = counted.agg(F.sum("n"), F.count(F.when(F.col("lead") & (F.col("total") > 0), 1))).first()
     n_train, n_words = row[0] or 0, row[1]
     bottom = n_train + 0.5 * (n_words + 1)
-    others = counted.where("total <> n").select("block", "word", "total")
-
-    def score_block(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-        values = Counter()
-        lists = [lowered(t) for t in pdf["text"]]
-        for data, out in zip(lists, pdf["held_out"]):
+    none = F.lit(None).cast("binary")
+    others = counted.where("total <> n").select("block", "word", F.lit(-1).cast("long").alias("key"), F.col("total").cast("double").alias("value"))
+    replies = others.unionByName(grams.join(values, "key").select("block", none.alias("word"), "key", "value"))
+
+    def score_block(rows: pa.Table, more: pa.Table) -> pa.Table:
+        asked = pc.greater_equal(more["key"], 0)
+        table, logs = (more.filter(asked)[c].to_numpy() for c in ("key", "value"))
+        by_key = np.argsort(table)
+        table, logs = table[by_key].astype(np.uint64), logs[by_key]
+        more = more.filter(pc.invert(asked))
+        lists = [lowered(t) for t in texts_of(rows["text"])]
+        found = Counter()
+        for data, out in zip(lists, rows["held_out"].to_pylist()):
             if not out:
-                values.update(data.split())
-                values[b""] += 1
-        for word, total in zip(more["word"], more["total"].tolist()):
-            values[bytes(word)] = total
+                found.update(data.split())
+                found[b""] += 1
+        for batch in more.to_batches():
+            for word, total in zip(batch["word"].to_pylist(), batch["value"].to_pylist()):
+                found[word] = total
         # Counts give way to their logarithms in place: a block has very many words.
-        for word, c in values.items():
-            values[word] = math.log10((c + 0.5) / bottom)
+        for word, c in found.items():
+            found[word] = math.log10((c + 0.5) / bottom)
         unknown = math.log10(0.5 / bottom)
-        base, n_tokens, n_known = [], [], []
+        base, n_tokens, n_known, scores = [], [], [], []
         for data in lists:
-            found = [*data.split(), b""]
-            known = [values[w] for w in found if w in values]
-            missing = len(found) - len(known)
+            tokens = [*data.split(), b""]
+            known = [found[w] for w in tokens if w in found]
+            missing = len(tokens) - len(known)
             base.append(math.fsum(known) + missing * unknown)
-            n_tokens.append(len(found))
-            n_known.append(len(found) - missing)
-        scores, trie = [], trie_of(sent, name)
+            n_tokens.append(len(tokens))
+            n_known.append(len(tokens) - missing)
         for run in chunked(iter(lists)):
-            scores += text_scores(trie, run, order)
-        return pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "held_out": pdf["held_out"],
-                "n_tokens": n_tokens,
-                "n_known": n_known,
-                "train_tokens": n_train,
-                "base_score": base,
-                "score": scores,
-                "n_bytes": [len(d) for d in lists],
-            }
+            scores += text_scores(table, logs, run, order)
+        longs = {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": [n_train] * len(lists)}
+        reals = {"base_score": base, "score": scores}
+        return pa.table(
+            {"doc_id": rows["doc_id"], "held_out": rows["held_out"]}
+            | {c: pa.array(v, pa.int64()) for c, v in longs.items()}
+            | {c: pa.array(v, pa.float64()) for c, v in reals.items()}
+            | {"n_bytes": pa.array([len(d) for d in lists], pa.int64())}
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    return dealt.groupBy("block").cogroup(others.groupBy("block")).applyInPandas(score_block, schema)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block, schema)

@@ -3,7 +3,6 @@ import zlib
 from collections import Counter, defaultdict
 from math import log10
 
-import numpy as np
 import pytest
 
 from belegwerk.llm import ppm
@@ -67,17 +66,29 @@ def test_scores_equal_plain_counts(spark, ws, order):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(tokens), sum(words[w] > 0 for w in tokens), n, held[i])
 
 
-def test_a_cut_trie_is_still_a_distribution(spark, ws):
+def test_values_are_a_distribution_after_every_context(spark, ws):
     rng = random.Random(1)
-    texts = [("".join(rng.choice("aaabbc de") for _ in range(400)),) for _ in range(8)]
-    frame = spark.createDataFrame(texts, "text string")
-    levels = ppm.train(ws, frame, order=3, max_entries=60)
-    assert max(len(keys) for keys, _ in levels) <= 60
-    trie = ppm.Trie(levels)
-    grams = ppm.stream([texts[0][0].encode()], 3)[0][::29]
-    for g in grams.tolist():
-        every = np.array([g // 257 * 257 + s for s in range(257)], np.uint64)
-        assert (10 ** trie.log10(every)).sum() == pytest.approx(1, abs=1e-9)
+    texts = ["".join(rng.choice("aaabbc de") for _ in range(400)).encode() for _ in range(8)]
+    keys, counts = ppm.gram_counts(iter(texts), iter([b"zebra ada"]), 3)
+    assert counts.sum() == sum(len(t) + 1 for t in texts) and (counts == 0).any()
+    contexts = {int(g) // 257 for g in keys[::29]} | {int(g) // 257 for g in keys[counts == 0]}
+    rows = list(zip(keys.tolist(), counts.tolist())) + [(c * 257 + s, 0) for c in contexts for s in range(257)]
+    values = ppm.gram_values(ws, spark.createDataFrame(rows, "key long, n long"), 3)
+    sums = defaultdict(float)
+    for r in values.collect():
+        sums[r.key // 257] += 10**r.value
+    assert len(contexts) > 20 and all(sums[c] == pytest.approx(1, abs=1e-9) for c in contexts)
+
+
+def test_the_model_grows_with_its_texts(spark, ws, monkeypatch):
+    monkeypatch.setattr(ppm, "HELD_GRAMS", 50)
+    monkeypatch.setattr(ppm, "CHUNK", 100)
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(range(256), k=300)) for _ in range(12)]
+    keys, counts = ppm.gram_counts(iter(texts), iter([]), 5)
+    plain = plain_model(texts, 5)
+    assert len(keys) == sum(len(seen) for context, seen in plain.items() if len(context) == 5)
+    assert counts.sum() == 12 * 301
 
 
 def test_odd_rows(spark, ws, odd, none):
