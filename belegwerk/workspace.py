@@ -51,9 +51,10 @@ class Workspace:
     def __exit__(self, *_: object) -> None:
         self.close()
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """``df`` written and read back; ``codec`` is a Parquet compression, the session's where none is given."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
