@@ -24,6 +24,8 @@ BLOCK_BYTES = 16 << 20
 HELD_GRAMS = 1 << 21
 # Grams in one row on their way out of a task.
 SLICE = 1 << 13
+# Words and grams of the blocks are the large staged tables.
+CODEC = "zstd"
 
 
 def stream(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,13 +219,13 @@ def score(
         )
 
     sent = dealt.groupBy("block").applyInArrow(count_block, "block long, word binary, n long, keys array<long>, counts array<long>")
-    sent = ws.stage(sent, "blocks")
+    sent = ws.stage(sent, "blocks", CODEC)
     grams = sent.where("keys is not null").select("block", F.inline(F.arrays_zip("keys", "counts"))).toDF("block", "key", "n")
     values = gram_values(ws, grams.select("key", "n"), order)
     over = Window.partitionBy("word")
     rows = sent.where("word is not null").select("block", "word", "n")
     rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("lead", F.col("block") == F.min("block").over(over))
-    counted = ws.stage(rows, "words")
+    counted = ws.stage(rows, "words", CODEC)
     row = counted.agg(F.sum("n"), F.count(F.when(F.col("lead") & (F.col("total") > 0), 1))).first()
     n_train, n_words = row[0] or 0, row[1]
     bottom = n_train + 0.5 * (n_words + 1)
@@ -253,11 +255,11 @@ def score(
         base, n_tokens, n_known, scores = [], [], [], []
         for data in lists:
             tokens = [*data.split(), b""]
-            known = [found[w] for w in tokens if w in found]
-            missing = len(tokens) - len(known)
-            base.append(math.fsum(known) + missing * unknown)
+            values = [found.get(w, unknown) for w in tokens]
+            base.append(math.fsum(values))
             n_tokens.append(len(tokens))
-            n_known.append(len(tokens) - missing)
+            # A known word has a count above zero, so no known word has the value of an unknown one.
+            n_known.append(len(tokens) - values.count(unknown))
         for run in chunked(iter(lists)):
             scores += text_scores(table, logs, run, order)
         longs = {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": [n_train] * len(lists)}
