@@ -109,7 +109,14 @@ def fit(
         raise NotEnoughData("no training data")
     tagged = lookup_join(docs, labels.select("label", "label_id"), "label")
     tf = ws.stage(term_freq(tagged, ("label_id",)), "tf")
-    vocab = top_vocabulary(ws, doc_freq(tf, n_docs, min_df, max_df), n_docs, max_terms)
+    return fit_counts(ws, labels, tf, doc_freq(tf, n_docs, min_df, max_df), n_docs, max_terms, alpha)
+
+
+def fit_counts(
+    ws: Workspace, labels: DataFrame, tf: DataFrame, freqs: DataFrame, n_docs: int, max_terms: int, alpha: float
+) -> Model:
+    """Fit on ``doc_id, label_id, term, tf`` and the frequencies of the terms that may be used."""
+    vocab = top_vocabulary(ws, freqs, n_docs, max_terms)
     n_terms = vocab.count()
     if not n_terms:
         raise NotEnoughData("no term is within the frequency limits")

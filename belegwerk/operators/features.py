@@ -38,12 +38,12 @@ def doc_freq(
     tf: DataFrame, n_docs: int, min_df: int = settings.MIN_DF, max_df: float = settings.MAX_DF
 ) -> DataFrame:
     """``term, df, cf`` of the terms that are neither too rare nor too common."""
-    return (
-        tf.where("term is not null")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    )
+    freqs = tf.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return within_limits(freqs, n_docs, min_df, max_df)
+
+
+def within_limits(freqs: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
+    return freqs.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
 
 
 def top_vocabulary(

@@ -796,6 +796,19 @@ def train(t: Tables) -> DataFrame:
     return _model_table(training.train(t.ws, t.doc_paths, "/root"))
 
 
+@query
+def train_changes(t: Tables) -> DataFrame:
+    """The model of the whole corpus, after a store learned an older state of it: other texts, labels and files."""
+    store, now = t.ws.path("terms"), t.doc_paths
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 100
+    text = F.when(draw == 2, F.reverse("text")).otherwise(F.col("text"))
+    path = F.when(draw == 3, F.replace("path", F.lit("/root/"), F.lit("/root/old/"))).otherwise(F.col("path"))
+    older = now.where(draw != 1).withColumn("text", text).withColumn("path", path)
+    removed = now.where(draw == 4).withColumn("doc_id", -1 - F.col("doc_id"))
+    training.train_changes(t.ws, older.unionByName(removed), "/root", store)
+    return _model_table(training.train_changes(t.ws, now, "/root", store))
+
+
 INGEST_RULES = (
     Rule(1, "en/src1", "keyword", "the", "Englischer Beleg", group="a"),
     Rule(2, "en/src1", "keyword", "and", "Zweiter Beleg", group="a"),

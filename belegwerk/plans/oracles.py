@@ -409,6 +409,7 @@ def oracles() -> dict[str, str]:
         ),
         # Files at the top of the folder have no label.
         "train": build(MODEL_TABLE, *MODEL, fitted="SELECT doc_id, label, norm FROM corpus WHERE doc_id % 50 <> 0"),
+        "train_changes": build(MODEL_TABLE, *MODEL, fitted="SELECT doc_id, label, norm FROM corpus WHERE doc_id % 50 <> 0"),
         "class_filter": build("SELECT doc_id, label FROM fine JOIN fine_sizes USING (label) WHERE n_docs >= 2", "fine_sizes"),
         "excluded_classes": build("SELECT label FROM fine_sizes WHERE n_docs < 2", "fine_sizes"),
         "data_guard": build(
