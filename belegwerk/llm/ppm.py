@@ -21,7 +21,7 @@ END = 256
 CHUNK = 1 << 20
 BLOCK_BYTES = 16 << 20
 # Grams that a task holds twice before it adds up their counts.
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 1 << 20
 # Grams in one row on their way out of a task.
 SLICE = 1 << 13
 # Words and grams of the blocks are the large staged tables.
@@ -233,35 +233,37 @@ def score(
     others = counted.where("total <> n").select("block", "word", F.lit(-1).cast("long").alias("key"), F.col("total").cast("double").alias("value"))
     replies = others.unionByName(grams.join(values, "key").select("block", none.alias("word"), "key", "value"))
 
+    def gram_scores(more: pa.Table, lists: list[bytes]) -> list[float]:
+        keys = more["key"].to_numpy()
+        at = np.flatnonzero(keys >= 0)
+        at = at[np.argsort(keys[at])]
+        keys, values = keys[at].view(np.uint64), more["value"].to_numpy()[at]
+        return [x for run in chunked(iter(lists)) for x in text_scores(keys, values, run, order)]
+
     def score_block(rows: pa.Table, more: pa.Table) -> pa.Table:
-        asked = pc.greater_equal(more["key"], 0)
-        table, logs = (more.filter(asked)[c].to_numpy() for c in ("key", "value"))
-        by_key = np.argsort(table)
-        table, logs = table[by_key].astype(np.uint64), logs[by_key]
-        more = more.filter(pc.invert(asked))
         lists = [lowered(t) for t in texts_of(rows["text"])]
+        scores = gram_scores(more, lists)
         found = Counter()
         for data, out in zip(lists, rows["held_out"].to_pylist()):
             if not out:
                 found.update(data.split())
                 found[b""] += 1
-        for batch in more.to_batches():
-            for word, total in zip(batch["word"].to_pylist(), batch["value"].to_pylist()):
-                found[word] = total
         # Counts give way to their logarithms in place: a block has very many words.
         for word, c in found.items():
             found[word] = math.log10((c + 0.5) / bottom)
+        for batch in more.to_batches():
+            batch = batch.filter(pc.less(batch["key"], 0))
+            for word, total in zip(batch["word"].to_pylist(), batch["value"].to_pylist()):
+                found[word] = math.log10((total + 0.5) / bottom)
         unknown = math.log10(0.5 / bottom)
-        base, n_tokens, n_known, scores = [], [], [], []
+        base, n_tokens, n_known = [], [], []
         for data in lists:
             tokens = [*data.split(), b""]
-            values = [found.get(w, unknown) for w in tokens]
-            base.append(math.fsum(values))
+            logs = [found.get(w, unknown) for w in tokens]
+            base.append(math.fsum(logs))
             n_tokens.append(len(tokens))
             # A known word has a count above zero, so no known word has the value of an unknown one.
-            n_known.append(len(tokens) - values.count(unknown))
-        for run in chunked(iter(lists)):
-            scores += text_scores(table, logs, run, order)
+            n_known.append(len(tokens) - logs.count(unknown))
         longs = {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": [n_train] * len(lists)}
         reals = {"base_score": base, "score": scores}
         return pa.table(
