@@ -18,8 +18,8 @@ from belegwerk.workspace import Workspace
 ORDER = 5
 ALPHABET = 257
 END = 256
-CHUNK = 1 << 20
-BLOCK_BYTES = 16 << 20
+CHUNK = 1 << 19
+BLOCK_BYTES = 14 << 20
 # Grams that a task holds twice before it adds up their counts.
 HELD_GRAMS = 1 << 20
 # Grams in one row on their way out of a task.
@@ -195,20 +195,24 @@ def score(
 
     def count_block(rows: pa.Table) -> pa.Table:
         known, every = Counter(), set()
-        kept, out = (rows.filter(mask)["text"] for mask in (pc.invert(rows["held_out"]), rows["held_out"]))
-        keys, counts = gram_counts(map(lowered, texts_of(kept)), map(lowered, texts_of(out)), order)
-        for t in texts_of(kept):
-            known.update(lowered(t).split())
-        if len(kept):
-            known[b""] = len(kept)
-        for t in texts_of(out):
-            every.update(lowered(t).split())
+        flags = rows["held_out"].to_pylist()
+
+        def fold(out: bool) -> Iterator[bytes]:
+            return (lowered(rows["text"][i].as_py()) for i, flag in enumerate(flags) if flag == out)
+
+        keys, counts = gram_counts(fold(False), fold(True), order)
+        for data in fold(False):
+            known.update(data.split())
+            known[b""] += 1
+        for data in fold(True):
+            every.update(data.split())
             every.add(b"")
         every.difference_update(known)
         names = [*known, *every]
         ends = np.append(np.arange(0, len(keys), SLICE), len(keys)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(ends, pa.array(a.astype(np.int64))) for a in (keys, counts)]
         n_rows = len(names) + len(lists[0])
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 "block": pa.array(np.full(n_rows, rows["block"][0].as_py(), np.int64)),
@@ -264,6 +268,7 @@ def score(
             n_tokens.append(len(tokens))
             # A known word has a count above zero, so no known word has the value of an unknown one.
             n_known.append(len(tokens) - logs.count(unknown))
+        pa.default_memory_pool().release_unused()
         longs = {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": [n_train] * len(lists)}
         reals = {"base_score": base, "score": scores}
         return pa.table(
