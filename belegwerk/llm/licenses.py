@@ -1,31 +1,27 @@
-"""License notices in texts, by the Dice coefficient over word bigrams."""
+"""License notices and texts inside documents, by the Dice coefficient over word bigrams."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from belegwerk.llm.common import spread_rows
+from belegwerk.llm.license_texts import FULL_TEXTS, NOTICES
 from belegwerk.workspace import Workspace
 
 DICE = 0.8
-
-# Wordings of the licenses.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+TEMPLATES = NOTICES + FULL_TEXTS
+# Pairs of words of a document that one row holds; windows run on into what follows.
+CHUNK = 2048
 
 
-def _bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
+def _pairs(words: Column) -> Column:
+    """Pairs of neighbouring words, in order."""
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(F.array_distinct(pairs), lambda pair: pair.isNotNull())
+    return F.slice(pairs, F.lit(1), F.size(words) - 1)
 
 
 def normalised(text: Column) -> Column:
@@ -39,11 +35,66 @@ def _once(value: Column) -> Column:
 
 
 def template_table(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``license, grams, size`` of the templates, made without Python workers."""
-    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("wording")) for n, t in templates])
+    """``template, license, grams, length`` of the templates, made without Python workers; ``length`` counts pairs."""
+    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("wording")) for i, (n, t) in enumerate(templates)])
     named = docs.sparkSession.range(1).select(F.inline(rows))
-    grams = _bigrams(F.split(normalised(F.col("wording")), " "))
-    return named.select("license", grams.alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
+    named = named.withColumn("words", F.split(normalised(F.col("wording")), " ")).where("size(words) > 1")
+    return named.select(
+        "template", "license", F.array_distinct(_pairs(F.col("words"))).alias("grams"), (F.size("words") - 1).alias("length")
+    )
+
+
+def bounds(size: int, dice: float) -> tuple[int, int]:
+    """The smallest and largest size of a set that can reach ``dice`` with one of ``size``.
+
+    With sizes a and b the coefficient is at most ``2 min(a, b) / (a + b)``. The smallest size is also the least
+    number of common members. The margin is for products like 6 * 0.8 / 1.2 that come out above 4.
+    """
+    return math.ceil(size * dice / (2 - dice) - 1e-9), math.floor(size * (2 - dice) / dice + 1e-9)
+
+
+def _offer(listed: list[Row], dice: float) -> Column:
+    """The templates as one constant array; their number and wordings are fixed, so its size is."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(t["license"]).alias("license"),
+                F.split(F.lit("|".join(t["grams"])), "[|]").alias("grams"),
+                F.lit(t["length"]).alias("own"),
+                F.lit(bounds(len(t["grams"]), dice)[0]).alias("least"),
+                F.lit(bounds(len(t["grams"]), dice)[1]).alias("most"),
+            )
+            for t in listed
+        ]
+    )
+
+
+def _best_window() -> Column:
+    """The best ``score`` and the ``minus`` of its place in a chunk's ``pairs``, from ``at``, the places of the template's pairs."""
+
+    def score(place: Column, turn: Column, length: str) -> Column:
+        inside = F.filter(F.slice("at", turn + 1, F.col(length)), lambda q: q < place + F.col(length))
+        window = F.slice("pairs", place, F.element_at(inside, -1) - place + 1)
+        common = F.size(F.array_intersect(window, F.col("grams")))
+        return F.lit(2.0) * common / (F.size(F.array_distinct(window)) + F.size("grams"))
+
+    def at_start(place: Column, turn: Column) -> Column:
+        longest = F.greatest("own", "most")
+        enough = (place <= CHUNK) & (F.get("at", turn + F.col("least") - 1) - place < longest)
+        best = F.greatest(score(place, turn, "own"), score(place, turn, "most"))
+        return F.when(enough, F.struct(best.alias("score"), (-place).alias("minus")))
+
+    return F.array_max(F.transform("at", at_start))
+
+
+def _chunks(docs: DataFrame, key: str, text: str, overlap: int) -> DataFrame:
+    """``doc_id, chunk, pairs``: each row's pairs of words, ``CHUNK`` at a time and ``overlap`` more."""
+    rows = spread_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    rows = rows.where(F.length("text") > 0).select("doc_id", _once(F.split(normalised(F.col("text")), " ")).alias("words"))
+    starts = F.sequence(F.lit(0), F.size("words") - 2, F.lit(CHUNK))
+    cut: Callable[[Column], Column] = lambda s: F.slice("words", s + 1, F.lit(CHUNK + overlap + 1))
+    rows = rows.where(F.size("words") > 1).select("doc_id", F.posexplode(F.transform(starts, cut)).alias("chunk", "words"))
+    return rows.select("doc_id", "chunk", _once(_pairs(F.col("words"))).alias("pairs"))
 
 
 def scan(
@@ -54,45 +105,47 @@ def scan(
     dice: float = DICE,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
 ) -> DataFrame:
-    """``doc_id, line_no, license, score``: lines of a text that match a template.
-
-    Both sides are sets of word bigrams, the score is twice the common ones over the sum of the two
-    sizes. With sizes a and b it is at most ``2 min(a, b) / (a + b)``, so a template is compared only
-    with lines whose size lies between ``b t / (2 - t)`` and ``b (2 - t) / t``; a line with too few
-    words for the smallest template is left before its bigrams are made. Null and empty texts have no
-    lines. A line may match several templates; each is a row, so is each of repeated rows.
+    """``doc_id, license, score, word``: licenses whose notice or text stands somewhere in a document.
+
+    The whole text is normalised, line ends included, so notices may be wrapped or stand inside other text. A
+    template is compared with windows of the text: sets of pairs of neighbouring words, by the Dice
+    coefficient. A window starts at a pair that the template has, is as long as the template or as the largest
+    size that can reach ``dice`` (``bounds``), and ends with the last pair in it that the template has. A license
+    has the score of its best window over all its templates, and ``word`` is that window's first word, counted
+    from 0; ties go to the earlier one.
+
+    What cannot match is left in steps, each by the bounds: chunks with too few pairs of any template, templates with
+    too few pairs in a chunk, starts with too few pairs ahead. Null and empty texts and those of one word have no hits. Rows
+    with equal or null keys share their hits. A chunk is bounded, so a very long text is no large value past its split.
     """
-    known = template_table(docs, templates)
-    listed = ws.stage(known, "templates").collect()
-    low = min((t["size"] for t in listed), default=0) * dice / (2 - dice)
-    offer = F.array(
-        *[
-            F.struct(F.lit(t["license"]).alias("license"), F.array(*map(F.lit, t["grams"])).alias("grams"), F.lit(t["size"]).alias("size"))
-            for t in listed
-        ]
-    )
-    lines = spread_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
-    # A bigram takes three characters or more, which spares short lines the normalising.
-    rows = lines.where(F.length("line") > low + 1).select("doc_id", "line_no", _once(normalised(F.col("line"))).alias("norm"))
-    blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    rows = rows.where(blanks >= low).select("doc_id", "line_no", _once(F.split("norm", " ")).alias("words"))
-    rows = rows.select("doc_id", "line_no", _once(_bigrams(F.col("words"))).alias("mine")).withColumn("n", F.size("mine"))
+    listed = ws.stage(template_table(docs, templates), "templates").collect() if templates else []
+    if not listed:
+        return docs.select(F.col(key).alias("doc_id")).limit(0).selectExpr("doc_id", "'' license", "0D score", "0L word")
+    overlap = max(max(t["length"], bounds(len(t["grams"]), dice)[1]) for t in listed)
+    low = min(bounds(len(t["grams"]), dice)[0] for t in listed)
+    known = sorted({gram for t in listed for gram in t["grams"]})
+    rows = _chunks(docs, key, text, overlap)
+    theirs = F.array_distinct(F.filter("pairs", lambda pair: pair.isin(known)))
+    rows = rows.select("doc_id", "chunk", "pairs", _once(theirs).alias("theirs")).where(F.size("theirs") >= low)
     fits = F.filter(
-        offer,
-        lambda t: (F.col("n") >= t["size"] * dice / (2 - dice)) & (F.col("n") <= t["size"] * (2 - dice) / dice),
+        _offer(listed, dice),
+        lambda t: (F.size("theirs") >= t["least"]) & (F.size(F.array_intersect(F.col("theirs"), t["grams"])) >= t["least"]),
     )
-    fitting = rows.withColumn("fits", fits).where(F.size("fits") > 0)
-    pairs = fitting.select("doc_id", "line_no", "mine", "n", F.inline("fits"))
-    score = F.lit(2.0) * F.size(F.array_intersect("mine", "grams")) / (F.col("n") + F.col("size"))
-    return pairs.select("doc_id", F.col("line_no").cast("long"), "license", score.alias("score")).where(F.col("score") >= dice)
+    rows = rows.select("doc_id", "chunk", "pairs", F.inline(fits))
+    places = F.transform("pairs", lambda pair, i: F.when(F.array_contains(F.col("grams"), pair), i + 1))
+    rows = rows.withColumn("at", _once(F.filter(places, lambda place: place.isNotNull())))
+    rows = rows.select("doc_id", "chunk", "license", _once(_best_window()).alias("best")).where(F.col("best.score") >= dice)
+    word = F.col("chunk").cast("long") * CHUNK - F.col("best.minus") - 1
+    hits = rows.select("doc_id", "license", (-F.col("best.score")).alias("minus"), word.alias("word"))
+    best = hits.groupBy("doc_id", "license").agg(F.min(F.struct("minus", "word")).alias("best"))
+    return best.select("doc_id", "license", (-F.col("best.minus")).alias("score"), F.col("best.word").alias("word"))
 
 
 def licensed(ws: Workspace, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as ``doc_id, license, score, n_hits``: its best match, or nulls and zero.
+    """Every row of ``docs`` as ``doc_id, license, score, n_hits``: its best license, or nulls and zero.
 
-    Ties go to the first license by name. Rows with equal or null keys share their hits.
+    ``n_hits`` counts the different licenses found. Ties go to the first license by name. Rows with equal or null
+    keys share their hits.
     """
     hits = scan(ws, docs, key, text)
     best = hits.groupBy("doc_id").agg(
@@ -114,24 +167,41 @@ def _quoted(text: str) -> str:
 
 
 _NORM = "lower(trim(regexp_replace({0}, '[^a-zA-Z0-9]+', ' ', 'g')))"
-_GRAMS = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))])"
+_PAIRS = "[{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))]"
 
 SQL = f"""
-WITH wordings(license, wording) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEMPLATES)}),
+WITH wordings(template, license, wording) AS (VALUES
+  {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))}),
 templates AS (
-  SELECT license, {_GRAMS.format("w")} AS grams FROM
-    (SELECT license, string_split({_NORM.format("wording")}, ' ') AS w FROM wordings)),
-lines AS (
-  SELECT doc_id, {_GRAMS.format("w")} AS mine FROM
-    (SELECT doc_id, string_split({_NORM.format("line")}, ' ') AS w FROM
-      (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> ''))),
-hits AS (
-  SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(mine, grams)) / (len(mine) + len(grams)) AS score
-  FROM lines, templates
-  WHERE len(mine) BETWEEN len(grams) * {DICE} / (2 - {DICE}) AND len(grams) * (2 - {DICE}) / {DICE}),
+  SELECT template, license, pairs, list_distinct(pairs) AS grams FROM
+    (SELECT template, license, {_PAIRS.format("w")} AS pairs FROM
+      (SELECT template, license, string_split({_NORM.format("wording")}, ' ') AS w FROM wordings))),
+lengths AS (
+  SELECT template, license, len(grams) AS size,
+    unnest(list_distinct([len(pairs), floor(len(grams) * (2 - {DICE}) / {DICE} + 1e-9)::BIGINT])) AS length FROM templates),
+docs AS (
+  SELECT rid, doc_id, {_PAIRS.format("w")} AS pairs FROM
+    (SELECT row_number() OVER () AS rid, doc_id, string_split({_NORM.format("text")}, ' ') AS w FROM documents WHERE text <> '')),
+members AS (SELECT template, unnest(grams) AS gram FROM templates),
+places AS (
+  SELECT rid, unnest(pairs) AS gram, generate_subscripts(pairs, 1) AS pos FROM docs),
+occurrences AS (SELECT rid, template, gram, pos FROM places JOIN members USING (gram)),
+likely AS (
+  SELECT rid, template FROM occurrences JOIN templates USING (template)
+  GROUP BY rid, template HAVING count(DISTINCT gram) >= any_value(len(grams)) * {DICE} / (2 - {DICE}) - 1e-9),
+marks AS (SELECT o.* FROM occurrences o JOIN likely USING (rid, template)),
+windows AS (
+  SELECT s.rid, s.template, l.license, l.size, s.pos AS first, max(e.pos) AS last, count(DISTINCT e.gram) AS common
+  FROM marks s JOIN lengths l USING (template)
+  JOIN marks e ON e.rid = s.rid AND e.template = s.template AND e.pos BETWEEN s.pos AND s.pos + l.length - 1
+  GROUP BY s.rid, s.template, l.license, l.size, s.pos, l.length),
+scores AS (
+  SELECT doc_id, license, 2.0::DOUBLE * common / (len(list_distinct(pairs[first:last])) + size) AS score
+  FROM windows JOIN docs USING (rid)
+  WHERE common >= size * {DICE} / (2 - {DICE}) - 1e-9),
+hits AS (SELECT doc_id, license, max(score) AS score FROM scores WHERE score >= {DICE} GROUP BY doc_id, license),
 best AS (
-  SELECT doc_id, min({{'minus': -score, 'license': license}}) AS best, count(*) AS n_hits
-  FROM hits WHERE score >= {DICE} GROUP BY doc_id)
+  SELECT doc_id, min({{'minus': -score, 'license': license}}) AS best, count(*) AS n_hits FROM hits GROUP BY doc_id)
 SELECT d.doc_id, b.best.license AS license, -b.best.minus AS score, coalesce(b.n_hits, 0) AS n_hits
 FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id
 """
