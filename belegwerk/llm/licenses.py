@@ -18,15 +18,15 @@ TEMPLATES = NOTICES + FULL_TEXTS
 CHUNK = 2048
 
 
-def _pairs(words: Column) -> Column:
-    """Pairs of neighbouring words, in order."""
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.slice(pairs, F.lit(1), F.size(words) - 1)
+def word_list(text: Column) -> Column:
+    """Runs of A-Z, a-z and 0-9; whatever else stands between them is left out."""
+    return F.array_remove(F.split(text, "[^a-zA-Z0-9]+"), "")
 
 
-def normalised(text: Column) -> Column:
-    """Each run of anything but A-Z, a-z and 0-9 becomes one blank, none at the ends; A-Z are lower-cased."""
-    return F.lower(F.btrim(F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")))
+def _pairs(words: Column) -> Column:
+    """Pairs of neighbouring words, in order and in lower case."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))
+    return F.slice(pairs, F.lit(1), F.size(words) - 1)
 
 
 def _once(value: Column) -> Column:
@@ -38,7 +38,7 @@ def template_table(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     """``template, license, grams, length`` of the templates, made without Python workers; ``length`` counts pairs."""
     rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("wording")) for i, (n, t) in enumerate(templates)])
     named = docs.sparkSession.range(1).select(F.inline(rows))
-    named = named.withColumn("words", F.split(normalised(F.col("wording")), " ")).where("size(words) > 1")
+    named = named.withColumn("words", word_list(F.col("wording"))).where("size(words) > 1")
     return named.select(
         "template", "license", F.array_distinct(_pairs(F.col("words"))).alias("grams"), (F.size("words") - 1).alias("length")
     )
@@ -90,7 +90,7 @@ def _best_window() -> Column:
 def _chunks(docs: DataFrame, key: str, text: str, overlap: int) -> DataFrame:
     """``doc_id, chunk, pairs``: each row's pairs of words, ``CHUNK`` at a time and ``overlap`` more."""
     rows = spread_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    rows = rows.where(F.length("text") > 0).select("doc_id", _once(F.split(normalised(F.col("text")), " ")).alias("words"))
+    rows = rows.where(F.length("text") > 0).select("doc_id", _once(word_list(F.col("text"))).alias("words"))
     starts = F.sequence(F.lit(0), F.size("words") - 2, F.lit(CHUNK))
     cut: Callable[[Column], Column] = lambda s: F.slice("words", s + 1, F.lit(CHUNK + overlap + 1))
     rows = rows.where(F.size("words") > 1).select("doc_id", F.posexplode(F.transform(starts, cut)).alias("chunk", "words"))
