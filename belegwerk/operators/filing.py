@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from belegwerk.operators.naming import resolve_names
 from belegwerk.workspace import Workspace
 
 BUCKETS = ("Inbox", "Review", "Unsure")
+Existing = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 class PromotionConflict(RuntimeError):
@@ -22,15 +25,19 @@ def route(confidence: Column | str, threshold: float = settings.REVIEW_THRESHOLD
     return F.when(c >= threshold, F.lit("Review")).otherwise(F.lit("Unsure"))
 
 
-def manifest(ws: Workspace, docs: DataFrame, existing: DataFrame, mode: str) -> DataFrame:
+def manifest(ws: Workspace, docs: DataFrame, existing: Existing, mode: str) -> DataFrame:
     """``doc_id, src, dst, bucket, subfolder, action`` of ``doc_id, path, bucket, root, subfolder, name``.
 
-    MOVE and COPY take a free name. NO_CHANGE only reports the wanted target.
+    MOVE and COPY take a free name. NO_CHANGE only reports the wanted target. ``existing`` are the names
+    already there, ``folder, name``, or a function that finds those among them that wanted ones can meet.
     """
     rows = docs.withColumn("folder", join_path("root", "subfolder"))
     if mode == "NO_CHANGE":
         named = rows.withColumn("final_name", F.col("name"))
     else:
+        if callable(existing):
+            rows = ws.stage(rows, "named")
+            existing = existing(rows.select("folder", "name"))
         named = resolve_names(ws, rows, existing)
     return named.select(
         "doc_id",

@@ -12,8 +12,8 @@ from belegwerk.functions.paths import stem, suffix
 from belegwerk.operators.ranking import numbered, running_sum
 from belegwerk.workspace import Workspace
 
-_NUMBERED = r"^(.*) \(([1-9][0-9]*)\)$"
-_ENDINGS = r"( \([1-9][0-9]*\))+$"
+NUMBERED = r"^(.*) \(([1-9][0-9]*)\)$"
+ENDINGS = r"( \([1-9][0-9]*\))+$"
 
 
 def used_numbers(names: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def used_numbers(names: DataFrame) -> DataFrame:
     ``a (1).pdf`` is number 1 of ``a.pdf`` and number 0 of its own name.
     """
     parts = names.select("folder", stem("name").alias("stem"), suffix("name").alias("ext"))
-    inner = F.regexp_extract("stem", _NUMBERED, 1)
+    inner = F.regexp_extract("stem", NUMBERED, 1)
     # More than 18 digits cannot be a number that was ever given.
-    number = F.regexp_extract("stem", _NUMBERED, 2).try_cast("long")
+    number = F.regexp_extract("stem", NUMBERED, 2).try_cast("long")
     own = F.struct(F.col("stem").alias("base"), F.lit(0).cast("long").alias("number"))
     as_numbered = F.struct(inner.alias("base"), number.alias("number"))
     takes = F.when(number.isNotNull() & (inner != ""), F.array(own, as_numbered)).otherwise(F.array(own))
@@ -78,11 +78,11 @@ def resolve_names(ws: Workspace, docs: DataFrame, existing: DataFrame) -> DataFr
     with the rows.
     """
     docs = docs.withColumns({"base": stem("name"), "ext": suffix("name")})
-    docs = docs.withColumn("_family", F.regexp_replace("base", _ENDINGS, ""))
-    endings = F.regexp_extract("base", f"({_ENDINGS})", 1)
+    docs = docs.withColumn("_family", F.regexp_replace("base", ENDINGS, ""))
+    endings = F.regexp_extract("base", f"({ENDINGS})", 1)
     docs = ws.stage(docs.withColumn("_depth", F.size(F.split(endings, " \\(")) - 1), "wanted")
     keys = ["folder", "_family", "ext"]
-    used = used_numbers(existing).withColumn("_family", F.regexp_replace("base", _ENDINGS, ""))
+    used = used_numbers(existing).withColumn("_family", F.regexp_replace("base", ENDINGS, ""))
     used = ws.stage(used.join(docs.select(*keys).distinct(), keys, "left_semi").drop("_family"), "used")
     depths = [row[0] for row in docs.select("_depth").distinct().orderBy("_depth").collect()]
     out: DataFrame | None = None
@@ -116,7 +116,7 @@ def _meetings(ws: Workspace, newcomers: DataFrame, longer: DataFrame, used: Data
     three integers are enough, and one is carried from number to number.
     """
     name = ["folder", "base", "ext"]
-    inner, number = F.regexp_extract("base", _NUMBERED, 1), F.regexp_extract("base", _NUMBERED, 2).try_cast("long")
+    inner, number = F.regexp_extract("base", NUMBERED, 1), F.regexp_extract("base", NUMBERED, 2).try_cast("long")
     first = longer.groupBy(*name).agg(F.min("doc_id").alias("first"))
     first = first.select("folder", inner.alias("base"), "ext", number.alias("number"), "first").where("number is not null")
     first = first.join(newcomers.select(*name).distinct(), name, "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from belegwerk.functions.paths import is_pdf
 from belegwerk.functions.text import build_name, normalize_text
 from belegwerk.operators.bayes import Model, classify
-from belegwerk.operators.filing import manifest, route, tax_copies
+from belegwerk.operators.filing import Existing, manifest, route, tax_copies
 from belegwerk.operators.metadata import Extractor, extract_missing, extract_stored, fill_metadata
 from belegwerk.operators.rules import apply_rules
 from belegwerk.settings import JobSettings
@@ -46,8 +46,8 @@ def understand(
     )
 
 
-def file_away(ws: Workspace, understood: DataFrame, existing: DataFrame, job: JobSettings) -> DataFrame:
-    """Manifest rows, tax copies included, given ``folder, name`` of the files already there."""
+def file_away(ws: Workspace, understood: DataFrame, existing: Existing, job: JobSettings) -> DataFrame:
+    """Manifest rows, tax copies included, given ``folder, name`` of the files already there (see ``filing.manifest``)."""
     bucket = route("confidence", job.threshold)
     root = F.when(bucket == "Review", F.lit(job.review_root)).otherwise(F.lit(job.unsure_root))
     named = understood.select(
@@ -66,7 +66,7 @@ def ingest(
     ws: Workspace,
     docs: DataFrame,
     model: Model,
-    existing: DataFrame,
+    existing: Existing,
     job: JobSettings,
     extractor: Callable[[], Extractor] | None = None,
     replies: str | None = None,
@@ -96,7 +96,7 @@ def ingest_folder(
     root: str,
     reader: PageReader,
     model: Model,
-    existing: DataFrame,
+    existing: Existing,
     job: JobSettings,
     extractor: Callable[[], Extractor] | None = None,
     replies: str | None = None,

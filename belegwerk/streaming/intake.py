@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from belegwerk import settings
-from belegwerk.functions.paths import file_name, parent
+from belegwerk.functions.paths import parent
 from belegwerk.operators.bayes import Model
 from belegwerk.operators.metadata import Extractor
+from belegwerk.operators.name_index import NameIndex
 from belegwerk.plans.ingest import ingest
 from belegwerk.settings import JobSettings
 from belegwerk.workspace import Workspace, empty
@@ -233,21 +233,14 @@ def ingest_batches(
 ) -> Process:
     """A ``process`` that runs the whole job; names given in earlier batches count as taken.
 
-    ``read`` turns file rows into ``doc_id, path, text, mtime``. The extractor's replies are stored under
+    Those names are looked up in an index under ``out/names``, so a batch does not read all earlier rows. ``read`` turns file rows into ``doc_id, path, text, mtime``. The extractor's replies are stored under
     ``out/replies`` before their batch is filed, so a replayed batch asks for none of them again.
     """
 
+    index = NameIndex(ws, f"{out}/names", f"{out}/rows")
+
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
         docs = ws.stage(read(batch), f"batch-{batch_id}")
-        return ingest(ws, docs, model, earlier_names(ws, out, batch_id), job, extractor, f"{out}/replies")
+        return ingest(ws, docs, model, lambda wanted: index.meeting(wanted, batch_id), job, extractor, f"{out}/replies")
 
     return process
-
-
-def earlier_names(ws: Workspace, out: str, batch_id: int) -> DataFrame:
-    """``folder, name`` of the files that earlier batches have filed."""
-    try:
-        rows = sink_rows(ws.spark, out).where(F.col("batch_id") < batch_id)
-    except AnalysisException:
-        return empty(ws.spark, "folder string, name string")
-    return rows.select(parent("dst").alias("folder"), file_name("dst").alias("name"))
