@@ -18,16 +18,26 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 PageReader = Callable[[bytes], Sequence[str]]
 
 
-def _top_level(root: str) -> str:
-    """Only what lies directly in a folder: subfolders are neither listed nor taken for partitions."""
-    return f"{root.rstrip('/')}/{PDF_GLOB}"
+def _is_top_level(spark: SparkSession, root: str) -> Column:
+    """Whether a file lies directly in a folder, told by the depth of its path; Spark reads no others.
+
+    The folder is listed as one directory. A pattern for its files would make each of them a path of its own to
+    Spark, which lists up to 10,000 of them with a task each.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    depth = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).depth()
+    return F.size(F.split(F.regexp_replace("_metadata.file_path", "^[^/]*//[^/]*", ""), "/")) == depth + 2
+
+
+def _pdf_files(reader):
+    """A reader of PDF files at any depth, whose folders are not taken for partitions."""
+    return reader.format("binaryFile").option("pathGlobFilter", PDF_GLOB).option("recursiveFileLookup", "true")
 
 
 def scan_inbox(spark: SparkSession, root: str) -> DataFrame:
     """PDF files directly in a folder, the suffix in any case; a folder without any gives no rows."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        return reader.load(_top_level(root))
+        return _pdf_files(spark.read).load(root).where(_is_top_level(spark, root))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -36,12 +46,7 @@ def scan_inbox(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """PDF files at any depth below a folder."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", PDF_GLOB)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
+    return _pdf_files(spark.read).load(root)
 
 
 def scan_review(spark: SparkSession, root: str) -> DataFrame:
@@ -52,10 +57,10 @@ def scan_review(spark: SparkSession, root: str) -> DataFrame:
 
 def watch_inbox(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
     """Streaming form of ``scan_inbox``: each file once, those already there first."""
-    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+    reader = _pdf_files(spark.readStream).schema(FILE_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(_top_level(root))
+    return reader.load(root).where(_is_top_level(spark, root))
 
 
 def read_pages(files: DataFrame, reader: PageReader, keep: str = "") -> DataFrame:

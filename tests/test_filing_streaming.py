@@ -382,3 +382,24 @@ def test_workspace_removes_its_tables(spark):
         folder = Path(run.root.removeprefix("file:"))
         assert folder.exists()
     assert not folder.exists()
+
+
+def test_a_folder_is_listed_as_one_path(spark, tmp_path):
+    """No listing job with a task per file, and files of subfolders are not read."""
+    (tmp_path / "in box" / "below").mkdir(parents=True)
+    for i in range(40):
+        (tmp_path / "in box" / f"{i} ä.PDF").write_bytes(b"x")
+        (tmp_path / "in box" / "below" / f"{i}.pdf").write_bytes(b"y" * 1000)
+    (tmp_path / "in box" / "note.txt").write_bytes(b"z")
+    spark.sparkContext.setJobGroup("listing", "")
+    files = src.scan_inbox(spark, f"{tmp_path}/in box/")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    spark.sparkContext.setJobGroup("reading", "")
+    assert {bytes(r.content) for r in files.collect()} == {b"x"} and files.count() == 40
+    assert files.columns == ["path", "modificationTime", "length", "content"]
+    plan = files._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    scan.executeColumnar if scan.supportsColumnar() else scan.execute().count()
+    assert scan.metrics().apply("numFiles").value() == 40
+    assert src.scan_inbox(spark, f"file:{tmp_path}/in box").count() == 40
+    assert src.scan_inbox(spark, f"{tmp_path}/none").count() == 0
