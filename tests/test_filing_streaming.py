@@ -403,3 +403,15 @@ def test_a_folder_is_listed_as_one_path(spark, tmp_path):
     assert scan.metrics().apply("numFiles").value() == 40
     assert src.scan_inbox(spark, f"file:{tmp_path}/in box").count() == 40
     assert src.scan_inbox(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_document_folder_is_written_by_all_tasks(spark, tmp_path):
+    """One folder that holds all files is no single task's work."""
+    from belegwerk.plans.derived import Tables
+
+    rows = [(i, f"text {i}", "de", "src1") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    root = Tables(spark, str(tmp_path)).document_folder()
+    names = [r.path for r in src.scan_corpus(spark, root).select("path").collect()]
+    assert len(names) == 8 and all("/lang=de/source=src1/" in n for n in names)
+    assert len({n.rsplit("/", 1)[1].split("-")[1] for n in names}) > 1
