@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.operators import evaluation as ev
 from belegwerk.operators.bayes import NotEnoughData, best_class, fit
+from belegwerk.operators.features import text_slices
 from belegwerk.workspace import Workspace
 
 
@@ -28,7 +29,7 @@ def evaluate(ws: Workspace, corpus: DataFrame) -> DataFrame:
     """
     try:
         parts = split_corpus(ws, corpus)
-        both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts")
+        both = ws.stage(corpus.join(parts.select("doc_id", "is_test"), "doc_id"), "parts", slices=text_slices(corpus))
         model = fit(ws, both.where("not is_test").select("doc_id", "label", "norm"))
     except NotEnoughData as refusal:
         # Without Python workers; a fit refuses where no term is left for the vocabulary.

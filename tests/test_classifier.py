@@ -1,14 +1,16 @@
 """Classifier against a plain computation, and the joins on their shuffled way."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from belegwerk.operators import bayes, evaluation, joins
+from belegwerk.operators import bayes, evaluation, features, joins
 from belegwerk.plans.evaluate import evaluate
 from belegwerk.sources.model_store import ModelMissing, load_model, save_model
+from belegwerk.workspace import shuffled_in
 
 DOCS = [
     (1, "a", "alpha beta beta gamma"),
@@ -157,3 +159,32 @@ def test_salted_join(spark, how, monkeypatch):
     got = joins.salted_join(big, small, "k", how, salts=4)
     want = big.join(small, "k", how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_tasks_follow_the_texts(spark, ws, docs, monkeypatch):
+    """Terms are counted, grouped and scored over more tasks where there is more text; results stay."""
+    few = bayes.fit(ws, docs)
+    before = sorted(bayes.top_classes(few, docs).collect())
+    for module, name in ((features, "COUNT_CHARS"), (features, "COUNT_ROWS"), (bayes, "SCORE_ENTRIES"), (bayes, "STEP_ENTRIES")):
+        monkeypatch.setattr(module, name, 2)
+    chars = docs.selectExpr("sum(length(norm))").first()[0]
+    assert features.term_freq(docs).rdd.getNumPartitions() >= chars // 2
+    at = spark.conf.get("spark.sql.shuffle.partitions")
+    many = bayes.fit(ws, docs)
+    entries = many.vocab.agg({"df": "sum"}).first()[0]
+    scored = bayes.class_scores(many, docs, 1)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(part#\d+, block#\d+, (\d+)\)", plan)) >= entries // 2
+    assert [tuple(r[:3]) for r in sorted(bayes.top_classes(many, docs).collect())] == [tuple(r[:3]) for r in before]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == at
+
+
+def test_shuffles_of_a_staged_step(spark, ws):
+    """A step may ask for more shuffle partitions than the session has; the session keeps its own."""
+    at = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    with shuffled_in(spark, int(at) + 3):
+        seen.append(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffled_in(spark, 1):
+        seen.append(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seen == [str(int(at) + 3), at] and spark.conf.get("spark.sql.shuffle.partitions") == at
