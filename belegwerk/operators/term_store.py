@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from belegwerk import settings
 from belegwerk.functions.text import long_enough
 from belegwerk.operators.bayes import Model, NotEnoughData, fit_counts, label_table
-from belegwerk.operators.features import term_freq, within_limits
+from belegwerk.operators.features import row_slices, term_freq, text_slices, within_limits
 from belegwerk.operators.joins import lookup_join
-from belegwerk.workspace import Workspace, empty
+from belegwerk.workspace import Workspace, empty, shuffled_in
 
 DOCS = "doc_id long, label string, content_hash string, kept boolean, part string"
 TERMS = "doc_id long, terms array<struct<term string, tf bigint>>"
@@ -105,7 +105,10 @@ class TermStore:
         stay = matched.where("part is not null")
         if whole:
             added = added.unionByName(self.terms_of(stay.select("doc_id", "part")).select("doc_id", "terms"))
-        added.write.parquet(f"{at}/terms")
+        # What tasks group grows with the texts that came and with the terms that are there.
+        slices = text_slices(norms) + row_slices(self.freqs.agg(F.sum("df")).first()[0] or 0)
+        with shuffled_in(self.spark, slices):
+            added.write.parquet(f"{at}/terms")
 
         came = self._read(TERMS, folder, "terms")
         if whole:
@@ -115,7 +118,8 @@ class TermStore:
         if self.version is not None and not gone.isEmpty():
             freqs = freqs.unionByName(_frequencies(self.terms_of(gone), -1))
         freqs = freqs.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-        freqs.where("df > 0").write.parquet(f"{at}/freqs")
+        with shuffled_in(self.spark, slices):
+            freqs.where("df > 0").write.parquet(f"{at}/freqs")
 
         if whole:
             stay = stay.withColumn("part", F.lit(folder))
