@@ -19,19 +19,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from belegwerk.llm.common import spread_rows, texts_of, words
 from belegwerk.llm.components import components
 from belegwerk.operators.joins import lookup_join
-from belegwerk.workspace import Workspace, empty
+from belegwerk.workspace import Workspace, empty, shuffles_dropped
 
 SHINGLE = 4
 PERCENT = 85
 SEED = 42
 # Shingles whose hash lies in this share of all are counted over the corpus; the rarest of them come first.
 BAND = 0.22
+# Leading bits of a shingle's hash that stand for it where partners are looked for: what is moved most is kept short.
+BITS = 48
 # A region of at most so many documents and shingles is joined by one task.
 LEAF = 512
 LEAF_SHINGLES = 4 << 20
@@ -87,15 +90,18 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int, percent: int, salt: int) -> DataFrame:
-    """``doc_id, n, x, y, held`` for every row: its set's size, 128 bits that stand for the set, and the shingles it is found by.
+    """``doc_id, n, x, y, i, have, held`` for every row: its set's size, 128 bits that stand for the set, the row's number, and the shingles it is found by.
 
     ``held`` are the set's hashes in the band, at least as many as the prefix needs: a set and its partner share
-    one of the first ``n - needed(n) + 1`` shingles of either, in any order that holds for all sets.
+    one of the first ``n - needed(n) + 1`` shingles of either, in any order that holds for all sets. Of each hash
+    the first ``BITS`` are held. Shingles that agree in them are one here, which can only add to who meets.
     """
-    limit = int(BAND * (1 << 64))
+    limit = int(BAND * (1 << BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        # Rows of a task have near numbers, so that numbers take little room in a shuffle, whatever its partitions.
+        start = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes, marks, held = [], [], []
             for text in texts_of(batch["text"]):
@@ -110,14 +116,24 @@ def described(docs: DataFrame, shingle: int, percent: int, salt: int) -> DataFra
                     seen.clear()
                 seen.add(mark)
                 least = len(s) - needed(len(s), percent) + 1
-                held.append(s[: max(least, int(np.searchsorted(s, np.uint64(limit))))])
+                s = s >> np.uint64(64 - BITS)
+                held.append(np.unique(s[: max(least, int(np.searchsorted(s, np.uint64(limit))))]))
             pairs = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
             ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, pa.array(_signed(np.concatenate(held) if held else np.zeros(0, np.uint64))))
-            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "x", "y", "held"])
+            numbers, start = pa.array(np.arange(start, start + len(sizes), dtype=np.int64)), start + len(sizes)
+            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), numbers, pa.array(np.diff(ends)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "x", "y", "i", "have", "held"])
 
-    return spread_rows(docs).mapInArrow(run, "doc_id long, n long, x long, y long, held array<long>")
+    return spread_rows(docs).mapInArrow(run, "doc_id long, n long, x long, y long, i long, have int, held array<long>")
+
+
+def held_shingles(ws: Workspace, sets: DataFrame) -> DataFrame:
+    """``s, i``: the shingles held, each by one row ``i`` of every class of equal sets."""
+    holders = sets.where("have > 0")
+    first = holders.groupBy("x").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last")
+    copies = ws.stage(holders.join(first, "x").where("i > first").select("i"), "copies")
+    return lookup_join(holders.select("i", "held"), copies, "i", "left_anti").select(F.explode("held").alias("s"), "i")
 
 
 def first_regions(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,12 +142,12 @@ def first_regions(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
     The order of shingles: those of the band by how many rows hold them, then by hash, then all others. A
     set whose prefix is made of shingles of its own has no partner and is left here, as most are.
     """
-    rows = sets.where(F.size("held") > 0).select("x", "n", F.size("held").alias("have"), F.explode("held").alias("s"))
-    shared = rows.groupBy("s").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
-    shared = ws.stage(shared.select("s", "c"), "shared")
-    in_band = F.col("s").between(0, int(BAND * (1 << 64)) - 1)
+    rows = held_shingles(ws, sets)
+    shared = ws.stage(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    in_band = F.col("s") < int(BAND * (1 << BITS))
     place = F.struct((~in_band).alias("later"), F.when(in_band, F.col("c")).otherwise(0).alias("c"), "s")
-    lists = rows.join(shared, "s").groupBy("x").agg(F.max("n").alias("n"), F.max("have").alias("have"), F.collect_set(place).alias("l"))
+    lists = rows.join(shared, "s").select("i", "c", "s").repartition("i").groupBy("i").agg(F.collect_list(place).alias("l"))
+    lists = lists.join(sets.where("have > 0").select("i", "x", "n", "have"), "i")
     # What is not shared comes first in the band; beyond it, all that is held belongs to the prefix.
     own = F.col("have") - F.size("l")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -291,8 +307,19 @@ def _by_blocks(ws: Workspace, rows: DataFrame, sets: DataFrame, percent: int, le
     return ws.stage(_join_groups(dealt.join(sets, "x"), ["r", "i", "j"], percent), "links")
 
 
-def linked(ws: Workspace, regions: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """Edges ``u, v`` that connect what is connected by links within the regions ``r, x, n``; ``sets`` is ``x, s``.
+def _sizes(ws: Workspace, regions: DataFrame, leaf: int) -> DataFrame:
+    """``r, m, total, small``: the regions ``r, x, n`` of two documents or more, and whether a task joins them whole."""
+    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
+    # Two documents meet whatever their length.
+    small = (F.col("m") <= leaf) & ((F.col("total") <= LEAF_SHINGLES) | (F.col("m") == 2))
+    return ws.stage(sizes.withColumn("small", small), "sizes")
+
+
+def linked(ws: Workspace, regions: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+    """Edges ``u, v`` that connect what is connected by links within the regions ``r, x, n`` of the given sizes.
+
+    ``sets`` is ``x, s, rs``; ``rs`` are the small regions that a document is in, so that its set goes
+    to them without a join.
 
     Regions of at most ``leaf`` documents are joined by one task each. Larger ones are split at ``PIVOTS``
     pivots: the documents meet the pivots in slices, links to pivots are kept, and the cells become the
@@ -300,15 +327,14 @@ def linked(ws: Workspace, regions: DataFrame, sets: DataFrame, percent: int = PE
     after ``rounds`` is joined block by block, each pair of blocks by one task.
     """
     edges = [empty(ws.spark, "u long, v long")]
-    now = regions
+    now, ready = regions, sets.select(F.explode("rs").alias("r"), "x", "s")
+    sets = sets.select("x", "s")
     for turn in range(rounds + 1):
-        total = F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
-        sizes = ws.stage(now.groupBy("r").agg(*total).where("m > 1"), "sizes")
-        # Two documents meet whatever their length.
-        small = (F.col("m") <= leaf) & ((F.col("total") <= LEAF_SHINGLES) | (F.col("m") == 2))
-        ready = now.join(sizes.where(small).select("r"), "r", "left_semi")
-        edges.append(ws.stage(_join_groups(ready.join(sets, "x"), ["r"], percent), "links"))
-        large = sizes.where(~small)
+        if turn:
+            sizes = _sizes(ws, now, leaf)
+            ready = now.join(sizes.where("small").select("r"), "r", "left_semi").join(sets, "x")
+        edges.append(ws.stage(_join_groups(ready, ["r"], percent), "links"))
+        large = sizes.where("not small").select("r", "m", "total")
         if large.isEmpty():
             break
         rows = now.join(large, "r")
@@ -368,10 +394,21 @@ def join(
     Sets are compared as 64-bit hashes of shingles. Equal sets are one from the start. Only the sets of
     documents that share a rare shingle with another are worked out again and moved.
     """
+    with shuffles_dropped(ws.spark):
+        rows, classes, named = _named(ws, docs, key, text, shingle, percent, leaf, rounds)
+    # Most classes are their own component: only the linked ones need a second look.
+    all_named = classes.select("x", "least").join(named, "x", "left").select("x", F.coalesce("component", "least").alias("component"))
+    out = rows.where("n > 0").select("doc_id", "n", "x").join(all_named, "x").select("doc_id", "n", "component")
+    bare = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    return out.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _named(ws: Workspace, docs: DataFrame, key: str, text: str, shingle: int, percent: int, leaf: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: the rows ``doc_id, n, x``, the classes ``x, least``, and ``x, component`` of the classes that are linked."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     salt = 0
     while True:
-        rows = ws.stage(described(source, shingle, percent, salt), "sets")
+        rows = ws.stage(described(source, shingle, percent, salt), "sets", "zstd")
         classes = rows.where("n > 0").groupBy("x").agg(F.min("doc_id").alias("least"), F.min("y").alias("y"), F.max("y").alias("other"))
         classes = ws.stage(classes, "classes")
         # 64 bits name a class; should two ever share them, the next salt parts them.
@@ -379,7 +416,11 @@ def join(
             break
         salt += 1
     regions = first_regions(ws, rows, percent)
-    wanted = ws.stage(regions.select("x").distinct().join(classes.select("x", "least"), "x"), "wanted")
+    sizes = _sizes(ws, regions, leaf)
+    # Nulls, of regions that are not small, are not collected.
+    goes = regions.join(sizes.where("small").select("r", F.col("r").alias("to")), "r", "left")
+    goes = goes.groupBy("x").agg(F.collect_list("to").alias("rs"))
+    wanted = ws.stage(goes.join(classes.select("x", "least"), "x"), "wanted")
     ids = ws.stage(wanted.where("least is not null").select(F.col("least").alias("doc_id")).distinct(), "ids")
     texts = lookup_join(source, ids, "doc_id", "left_semi")
     if not wanted.where("least is null").isEmpty():
@@ -393,16 +434,12 @@ def join(
             lists = pa.ListArray.from_arrays(ends, pa.array(_signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(marks), "<i8")), lists], ["x", "s"])
 
-    sets = texts.select("text").mapInArrow(again, "x long, s array<long>").join(wanted.select("x"), "x", "left_semi")
+    sets = texts.select("text").mapInArrow(again, "x long, s array<long>").join(wanted.select("x", "rs"), "x")
     sets = ws.stage(sets.dropDuplicates(["x"]), "arrays")
-    found = components(ws, linked(ws, regions, sets, percent, leaf, rounds))
+    found = components(ws, linked(ws, regions, sizes, sets, percent, leaf, rounds))
     member = ws.stage(classes.join(found, classes["x"] == found["node"]).select("x", "least", "root"), "members")
     roots = classes.join(member.select(F.col("root").alias("x")).distinct(), "x", "left_semi").select("x", "least", F.col("x").alias("root"))
     member = member.unionByName(roots)
     tops = member.groupBy("root").agg(F.min("least").alias("component"))
     named = ws.stage(member.join(tops, "root").select("x", "component"), "named")
-    # Most classes are their own component: only the linked ones need a second look.
-    all_named = classes.select("x", "least").join(named, "x", "left").select("x", F.coalesce("component", "least").alias("component"))
-    out = rows.where("n > 0").select("doc_id", "n", "x").join(all_named, "x").select("doc_id", "n", "component")
-    bare = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return out.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return rows, classes, named

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -149,3 +150,56 @@ def test_salt_parts_equal_names(spark, ws, monkeypatch):
     monkeypatch.setattr(jaccard_join, "described", clash)
     rows = [(1, "a b c d e"), (2, "f g h i j")]
     assert found(spark, ws, rows) == [(1, 2, 1), (2, 2, 2)] and salts == [0, 1]
+
+
+def shuffle_bytes(spark):
+    sc = spark.sparkContext
+    files = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_stages_drop_their_shuffles(spark, ws):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    frame = ws.stage(spark.createDataFrame(corpus(3, 60, 4), "doc_id long, text string"), "documents")
+    before, setting = shuffle_bytes(spark), spark.conf.get(key)
+    jaccard_join.join(ws, frame)
+    for _ in range(20):
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.25)
+    assert shuffle_bytes(spark) <= before and spark.conf.get(key) == setting
+
+
+def test_bytes_of_a_held_shingle_do_not_grow_with_partitions(spark, ws):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices([f"v{j}" for j in range(9000)], k=300))) for i in range(1500)]
+    sets = ws.stage(jaccard_join.described(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 4, 85, 0), "sets")
+    held = jaccard_join.held_shingles(ws, sets)
+    total = held.count()
+    assert total == sets.selectExpr("sum(size(held))").first()[0] > 90_000
+
+    def moved(parts):
+        before = shuffle_bytes(spark)
+        held.repartition(parts, "s").write.format("noop").mode("overwrite").save()
+        return (shuffle_bytes(spark) - before) / total
+
+    few, many = moved(4), moved(40)
+    assert many < 1.1 * few and many < 16
+
+
+def test_copies_hold_once(spark, ws):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"v{j}" for j in range(900)], k=80)) for _ in range(12)]
+    frame = spark.createDataFrame([(i, texts[i % 12]) for i in range(96)], "doc_id long, text string").repartition(6)
+    sets = ws.stage(jaccard_join.described(frame, 4, 85, 0), "sets")
+    held = jaccard_join.held_shingles(ws, sets)
+    assert held.count() == held.select("s").distinct().count() > 0
+    assert sets.where("have <> size(held)").isEmpty() and sets.select("i").distinct().count() == 96
+
+
+@pytest.mark.parametrize("bits", [5, 12])
+def test_short_hashes_lose_no_link(spark, ws, monkeypatch, bits):
+    # Shingles that cannot be told apart where partners are looked for only add candidates.
+    monkeypatch.setattr(jaccard_join, "BITS", bits)
+    rows = corpus(13, 40, 6)
+    assert found(spark, ws, rows) == plain(rows)
