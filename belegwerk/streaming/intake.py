@@ -15,6 +15,7 @@ from belegwerk.operators.metadata import Extractor
 from belegwerk.operators.name_index import NameIndex
 from belegwerk.plans.ingest import ingest
 from belegwerk.settings import JobSettings
+from belegwerk.sources.files import taken_up
 from belegwerk.workspace import Workspace, empty
 
 Process = Callable[[DataFrame, int], DataFrame]
@@ -39,7 +40,7 @@ def start(stream: DataFrame, process: Process, out: str, available_now: bool = T
         metrics = n_files.select("n_files", n_rows.scalar().alias("n_rows"))
         metrics.write.mode("overwrite").parquet(f"{out}/metrics/batch_id={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint")
+    writer = taken_up(stream, out).writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -64,7 +65,7 @@ def start_settled(
     replayed batch reads the version before it and overwrites its own.
     """
     gap = F.make_dt_interval(secs=F.lit(gap_seconds))
-    arrivals = stream.select("path", F.col("modificationTime").alias("ts"))
+    arrivals = taken_up(stream, out).select("path", F.col("modificationTime").alias("ts"))
     both = arrivals.unionByName(clock.select(F.lit(None).cast("string").alias("path"), "ts"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -118,7 +119,7 @@ def start_forgiving(
     the files': the query ends, and a restart takes up the same batch. A file that has gone is forgotten. A
     replayed batch reads the version before it and overwrites its own.
     """
-    arrivals = stream.select("path", F.lit(None).cast("timestamp").alias("ts"))
+    arrivals = taken_up(stream, out).select("path", F.lit(None).cast("timestamp").alias("ts"))
     both = arrivals.unionByName(clock.select(F.lit(None).cast("string").alias("path"), "ts"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -158,7 +159,8 @@ def apart(ws: Workspace, files: DataFrame, process: Process, batch_id: int) -> t
     """The staged rows of what can be processed of staged ``files``, and the path and error of each file that cannot.
 
     A part that fails is halved by a hash of the path, so one bad file among n costs about twice log2(n)
-    attempts, the larger of them on files that are good.
+    attempts, the larger of them on files that are good. A part of a part is written before it is halved again:
+    a condition on the whole table would read all its contents for every attempt.
     """
     done: list[DataFrame] = []
     failed: list[tuple[str, str]] = []
@@ -180,6 +182,8 @@ def apart(ws: Workspace, files: DataFrame, process: Process, batch_id: int) -> t
             if len(failed) >= WHOLE_BATCH and not done:
                 raise RuntimeError(f"nothing in batch {batch_id} could be processed: {reason}")
             continue
+        if depth:
+            part = ws.stage(part, f"part-{batch_id}")
         side = F.pmod(F.xxhash64(F.lit(depth), "path"), F.lit(2))
         parts += [(part.where(side == i), depth + 1) for i in (0, 1)]
     return done, failed
