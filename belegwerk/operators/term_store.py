@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 from belegwerk import settings
 from belegwerk.functions.text import long_enough
-from belegwerk.operators.bayes import Model, NotEnoughData, fit_counts, label_table
-from belegwerk.operators.features import row_slices, term_freq, text_slices, within_limits
+from belegwerk.operators.bayes import Model, NotEnoughData, fit_vectors, label_table
+from belegwerk.operators.features import known_vectors, row_slices, term_freq, text_slices, within_limits
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace, empty, shuffled_in
 
 DOCS = "doc_id long, label string, content_hash string, kept boolean, part string"
 TERMS = "doc_id long, terms array<struct<term string, tf bigint>>"
 FREQS = "term string, df long, cf long"
+# The lists of all terms are the largest tables of a training.
+CODEC = "zstd"
 # More parts than this are written anew as one.
 MOST_PARTS = 16
 
@@ -80,10 +82,14 @@ class TermStore:
 
     def terms_of(self, docs: DataFrame) -> DataFrame:
         """``docs`` (``doc_id, part`` and more) with their ``terms``; documents and parts meet by key, one row each."""
+        return docs.join(self._all_terms(), ["doc_id", "part"])
+
+    def _all_terms(self) -> DataFrame:
+        """``doc_id, terms, part`` of all parts, with documents that have gone or have a newer content in another part."""
         rows = empty(self.spark, DOCS).select("doc_id", F.lit(None).cast("array<struct<term: string, tf: bigint>>").alias("terms"), "part")
         for part in self.version.parts if self.version else ():
             rows = rows.unionByName(self._read(TERMS, part, "terms").withColumn("part", F.lit(part)))
-        return docs.join(rows, ["doc_id", "part"])
+        return rows
 
     def advance(self, ws: Workspace, files: DataFrame, read: Callable[[DataFrame], DataFrame]) -> TermStore:
         """The store for ``files`` (``doc_id, label, content_hash``), whose ``doc_id`` is unique.
@@ -98,32 +104,35 @@ class TermStore:
         match = ["doc_id", "content_hash"]
         matched = ws.stage(files.select("doc_id", "label", "content_hash").join(old.drop("label"), match, "left"), "matched")
         fresh = matched.where("part is null")
-        norms = ws.stage(read(fresh.select(*match)).select("doc_id", "norm", F.coalesce(long_enough("norm"), F.lit(False)).alias("kept")), "norms")
-        counts = term_freq(norms.where("kept")).where("term is not null")
-        added = counts.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
         whole = self.version is not None and len(self.version.parts) >= MOST_PARTS
         stay = matched.where("part is not null")
-        if whole:
-            added = added.unionByName(self.terms_of(stay.select("doc_id", "part")).select("doc_id", "terms"))
-        # What tasks group grows with the texts that came and with the terms that are there.
-        slices = text_slices(norms) + row_slices(self.freqs.agg(F.sum("df")).first()[0] or 0)
-        with shuffled_in(self.spark, slices):
-            added.write.parquet(f"{at}/terms")
+        # The texts go as soon as they are counted.
+        with Workspace(ws.spark, ws.path("texts")) as texts:
+            norms = texts.stage(read(fresh.select(*match)).select("doc_id", "norm", F.coalesce(long_enough("norm"), F.lit(False)).alias("kept")), "norms", CODEC)
+            counts = term_freq(norms.where("kept")).where("term is not null")
+            added = counts.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+            if whole:
+                added = added.unionByName(self.terms_of(stay.select("doc_id", "part")).select("doc_id", "terms"))
+            # What tasks group grows with the texts that came and with the terms that are there.
+            slices = text_slices(norms) + row_slices(self.freqs.agg(F.sum("df")).first()[0] or 0)
+            with shuffled_in(self.spark, slices):
+                added.write.option("compression", CODEC).parquet(f"{at}/terms")
+            entered = ws.stage(norms.select("doc_id", "kept"), "entered")
 
         came = self._read(TERMS, folder, "terms")
         if whole:
-            came = came.join(norms.select("doc_id"), "doc_id", "left_semi")
+            came = came.join(entered.select("doc_id"), "doc_id", "left_semi")
         gone = ws.stage(old.where("kept").join(files, match, "left_anti").select("doc_id", "part"), "gone")
         freqs = self.freqs.unionByName(_frequencies(came, 1))
         if self.version is not None and not gone.isEmpty():
             freqs = freqs.unionByName(_frequencies(self.terms_of(gone), -1))
         freqs = freqs.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         with shuffled_in(self.spark, slices):
-            freqs.where("df > 0").write.parquet(f"{at}/freqs")
+            freqs.where("df > 0").write.option("compression", CODEC).parquet(f"{at}/freqs")
 
         if whole:
             stay = stay.withColumn("part", F.lit(folder))
-        entered = fresh.drop("kept", "part").join(norms.select("doc_id", "kept"), "doc_id").withColumn("part", F.lit(folder))
+        entered = fresh.drop("kept", "part").join(entered, "doc_id").withColumn("part", F.lit(folder))
         stay.unionByName(entered).select("doc_id", "label", "content_hash", "kept", "part").write.parquet(f"{at}/docs")
         parts = (folder,) if whole or self.version is None else (*self.version.parts, folder)
         self._commit(Version(folder, parts))
@@ -144,8 +153,14 @@ class TermStore:
         if not n_docs:
             raise NotEnoughData("no training data")
         tagged = lookup_join(docs.select("doc_id", "label", "part"), labels.select("label", "label_id"), "label")
-        tf = self.terms_of(tagged.select("doc_id", "label_id", "part")).select("doc_id", "label_id", F.inline("terms"))
-        return fit_counts(ws, labels, tf, within_limits(self.freqs, n_docs, min_df, max_df), n_docs, max_terms, alpha)
+        tagged = tagged.select("doc_id", "label_id", "part")
+        tf = self._all_terms().select("doc_id", "part", F.inline("terms"))
+
+        def rows_of(vocab: DataFrame) -> DataFrame:
+            # Labels meet vectors of known terms, which are far smaller than the lists of all terms.
+            return known_vectors(tf, vocab, ("part",)).join(tagged, ["doc_id", "part"])
+
+        return fit_vectors(ws, labels, rows_of, within_limits(self.freqs, n_docs, min_df, max_df), n_docs, max_terms, alpha)
 
 
 def _frequencies(terms: DataFrame, sign: int) -> DataFrame:

@@ -81,3 +81,24 @@ def test_an_empty_corpus_and_an_unread_text(spark, ws):
     asked = []
     unread.advance(ws, some, lambda new: asked.extend(r.doc_id for r in new.collect()) or new.select("doc_id", F.lit("").alias("norm")))
     assert asked == [2]
+
+
+def test_texts_do_not_stay_and_the_fit_shuffles_known_terms(spark, ws, monkeypatch):
+    """The disk of a training holds its texts until they are counted; a fit moves vectors, not lists of all terms."""
+    from pathlib import Path
+
+    from belegwerk.operators.joins import lookup_join
+
+    docs = spark.createDataFrame(state(0), "doc_id long, path string, text string")
+    path = ws.path("store")
+    joined = []
+    inner = TermStore.terms_of
+    monkeypatch.setattr(TermStore, "terms_of", lambda self, rows: joined.append(rows) or inner(self, rows))
+    model = training.train_changes(ws, docs, "/root", path)
+    assert not joined
+    kept = {p.parent.name for p in Path(ws.root).rglob("part-*.parquet") if "norm" in spark.read.parquet(str(p)).columns}
+    assert not kept
+    # A document without any known term has no weights, but counts for its label.
+    store = TermStore(spark, path)
+    assert model.classes.agg(F.sum("n_docs")).first()[0] == store.docs.where("kept").count()
+    assert lookup_join(model.weights, model.classes.select("label_id", "label"), "label_id").count() == model.weights.count()
