@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from belegwerk import settings
 from belegwerk.functions.text import long_enough
-from belegwerk.operators.bayes import Model, NotEnoughData, fit_vectors, label_table
+from belegwerk.operators.bayes import Model, NotEnoughData, fit_counts, fit_vectors, label_table
 from belegwerk.operators.features import known_vectors, row_slices, term_freq, text_slices, within_limits
 from belegwerk.operators.joins import lookup_join
 from belegwerk.workspace import Workspace, empty, shuffled_in
@@ -154,13 +154,18 @@ class TermStore:
             raise NotEnoughData("no training data")
         tagged = lookup_join(docs.select("doc_id", "label", "part"), labels.select("label", "label_id"), "label")
         tagged = tagged.select("doc_id", "label_id", "part")
+        freqs = within_limits(self.freqs, n_docs, min_df, max_df)
+        if docs.agg(F.countDistinct("doc_id")).first()[0] < n_docs:
+            # Rows of a repeated key make up one vector, so they meet before it gets its length.
+            tf = self.terms_of(tagged).select("doc_id", "label_id", F.inline("terms"))
+            return fit_counts(ws, labels, tf, freqs, n_docs, max_terms, alpha)
         tf = self._all_terms().select("doc_id", "part", F.inline("terms"))
 
         def rows_of(vocab: DataFrame) -> DataFrame:
             # Labels meet vectors of known terms, which are far smaller than the lists of all terms.
             return known_vectors(tf, vocab, ("part",)).join(tagged, ["doc_id", "part"])
 
-        return fit_vectors(ws, labels, rows_of, within_limits(self.freqs, n_docs, min_df, max_df), n_docs, max_terms, alpha)
+        return fit_vectors(ws, labels, rows_of, freqs, n_docs, max_terms, alpha)
 
 
 def _frequencies(terms: DataFrame, sign: int) -> DataFrame:
