@@ -109,7 +109,8 @@ def train(rows: DataFrame, entries: int = ENTRIES, parts: int = PARTS, rounds: i
     task adds up the parts nearest to each entry, and the driver gets one total per entry and place.
     """
     first = rows.orderBy(F.asc_nulls_last("id"), "v").limit(entries).select("v").collect()
-    books = np.array([r.v for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy()
+    width = len(first[0].v) // parts if first else 1
+    books = np.array([r.v for r in first], np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds if first else 0):
         flat = books.reshape(-1, books.shape[2]).copy()
         for r in _sums(rows, books):
